@@ -61,8 +61,7 @@ def ticks_to_bars(ticks: DataFrame, timeframe: str, keys: Sequence[str] = ("symb
             F.min_by("spread", "time").alias("spread_open"),
             F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"),
         )
-        .select(*keys, F.lit(timeframe.lower()).alias("timeframe"), F.col("_w.start").alias("time"), "*")
-        .drop("_w")
+        .withColumn("timeframe", F.lit(timeframe.lower())).withColumn("time", F.col("_w.start")).drop("_w")
     )
 
 
@@ -132,20 +131,26 @@ def strided(bars: DataFrame, max_bars: int, keys: Sequence[str] = ("symbol",), i
     return bars.join(sizes, list(keys)).filter(F.col(idx) % step == 0).drop("_n")
 
 
-def session_blocks(
-    bars: DataFrame, offset: int = 0, keys: Sequence[str] = ("symbol",), idx: str = "bar_idx",
-    chunk: int = CHUNK, bucket_seconds: int = 86_400 * 30,
+def session_starts(
+    bars: DataFrame, offset: int = 0, keys: Sequence[str] = ("symbol",), idx: str = "bar_idx", chunk: int = CHUNK,
 ) -> DataFrame:
-    """Number the maximal runs of equal session id; adds session, block_id and block_start."""
+    """Add session, and `block_idx` / `block_start`: where its maximal run of equal session began."""
     tagged = bars.withColumn("session", session_id(F.col("time"), offset))
-    opened = over_chunks(
-        tagged, lambda w: {"_opens": (F.coalesce(F.lag("session").over(w), F.lit(-1)) != F.col("session")).cast("long")},
-        before=1, keys=keys, idx=idx, chunk=chunk, keep_chunk=True)
-    numbered = running(opened, {"block_id": ("sum", F.col("_opens"))}, keys, [idx], F.col("_chunk"))
-    return (
-        carry_last(numbered, {"block_start": F.when(F.col("_opens") == 1, F.col("time"))}, keys, idx, chunk)
-        .withColumn("block_id", F.col("block_id").cast("long") - 1).drop("_opens")
-    )
+    opens = lambda w: {"_opens": F.coalesce(F.lag("session").over(w), F.lit(-1)) != F.col("session")}
+    opened = over_chunks(tagged, opens, before=1, keys=keys, idx=idx, chunk=chunk, keep_chunk=True)
+    start = F.when(F.col("_opens"), F.struct(F.col(idx).alias("i"), F.col("time").alias("t")))
+    carried = carry_last(opened, {"_start": start}, keys, idx, chunk)
+    return carried.withColumns({"block_idx": F.col("_start.i"), "block_start": F.col("_start.t")}).drop("_opens", "_start")
+
+
+def session_blocks(
+    bars: DataFrame, offset: int = 0, keys: Sequence[str] = ("symbol",), idx: str = "bar_idx", chunk: int = CHUNK,
+) -> DataFrame:
+    """`session_starts` plus a running `block_id` per key."""
+    started = session_starts(bars, offset, keys, idx, chunk)
+    opened = (F.col(idx) == F.col("block_idx")).cast("long")
+    numbered = running(started, {"block_id": ("sum", opened)}, keys, [idx], F.floor(F.col(idx) / chunk))
+    return numbered.withColumn("block_id", F.col("block_id").cast("long") - 1).drop("block_idx")
 
 
 def daily_pnl(

@@ -8,17 +8,34 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip, flag, full, non_zero, session_id
 from tickloom.operators.scan import CHUNK, RollingQuantile, carry_last, ema, exp_smooth, over_chunks, wilder
-from tickloom.operators.bars import session_blocks
+from tickloom.operators.bars import session_starts
 from tickloom.schema import require_columns
+from tickloom.session import cut_lineage
 
 c = F.col
 
 
+def macd_signal(fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
+    """The smoothed MACD line as a combination of EMAs of the close.
+
+    Two smoothers in a row answer like the difference of both taken alone (partial
+    fractions), so the signal line needs no second scan.  The weights sum to zero.
+    """
+    alpha = {n: 2.0 / (n + 1) for n in (fast, slow, signal)}
+    keep = {n: 1 - alpha[n] for n in (fast, slow, signal)}
+
+    def cascade(n: int) -> Column:
+        gap = keep[signal] - keep[n]
+        return (c(f"_ema{signal}") * alpha[n] * keep[signal] - c(f"_ema{n}") * alpha[signal] * keep[n]) / gap
+
+    return cascade(fast) - cascade(slow)
+
+
 def base_features(
     bars: DataFrame, session_offset: int = 0, keys: Sequence[str] = ("symbol",), idx: str = "bar_idx",
     chunk: int = CHUNK,
@@ -39,11 +56,10 @@ def base_features(
         name: F.when(c(idx) > 0, c(name)) for name in ("_gain", "_loss")})
     out = exp_smooth(out, {
         "ema20": ema("close", 20), "ema50": ema("close", 50), "ema200": ema("close", 200),
-        "_ema12": ema("close", 12), "_ema26": ema("close", 26),
+        "_ema9": ema("close", 9), "_ema12": ema("close", 12), "_ema26": ema("close", 26),
         "_up": wilder("_gain", 14, start=1), "_down": wilder("_loss", 14, start=1), "atr14": wilder("_tr", 14),
-    }, keys, idx, chunk, keep_chunk=True)
-    out = out.withColumn("_macd", c("_ema12") - c("_ema26"))
-    out = exp_smooth(out, {"_signal": ema("_macd", 9)}, keys, idx, chunk)
+    }, keys, idx, chunk)
+    histogram = c("_ema12") - c("_ema26") - macd_signal()
     rising = (c("ema20") > c("ema50")) & (c("ema50") > c("ema200"))
     falling = (c("ema20") < c("ema50")) & (c("ema50") < c("ema200"))
     atr = non_zero(c("atr14"))
@@ -51,7 +67,7 @@ def base_features(
     reach = non_zero(c("high") - c("low"))
     return out.withColumns({
         "rsi14": 100 - 100 / (1 + c("_up") / non_zero(c("_down"))),
-        "macd_hist": c("_macd") - c("_signal"),
+        "macd_hist": histogram,
         "trend": F.when(rising, 1).when(falling, -1).otherwise(0),
         "rng": c("high") - c("low"),
         "body": F.abs(c("close") - c("open")),
@@ -63,9 +79,9 @@ def base_features(
         "lwk_pct": (body_bottom - c("low")) / reach,
         "rng_atr": (c("high") - c("low")) / atr,
         "atr_pct": c("atr14") / c("close"),
-        "macd_norm": (c("_macd") - c("_signal")) / atr,
+        "macd_norm": histogram / atr,
         "session": session_id(c("time"), session_offset),
-    }).drop("_gain", "_loss", "_tr", "_up", "_down", "_ema12", "_ema26", "_macd", "_signal")
+    }).drop("_gain", "_loss", "_tr", "_up", "_down", "_ema9", "_ema12", "_ema26")
 
 
 # ---- bounded frames; each function maps the chunk window to columns ----
@@ -219,25 +235,25 @@ def previous_session_bias(
     frame: DataFrame, offset: int = 0, keys: Sequence[str] = ("symbol",), idx: str = "bar_idx", chunk: int = CHUNK,
 ) -> DataFrame:
     """`prev_sess_bias`: sign of the last minus the first close of the session block before this one."""
-    blocks = session_blocks(frame, offset, keys, idx, chunk)
-    moves = blocks.groupBy(*keys, "block_id").agg(
-        (F.max_by("close", idx) - F.min_by("close", idx)).alias("_move"))
-    shifted = moves.select(*keys, (c("block_id") + 1).alias("block_id"), F.signum("_move").alias("_bias"))
-    return (
-        blocks.join(shifted, [*keys, "block_id"], "left")
-        .withColumn("prev_sess_bias", F.coalesce("_bias", F.lit(0.0))).drop("_bias", "block_id", "block_start")
-    )
+    blocks = session_starts(frame, offset, keys, idx, chunk)
+    moves = blocks.groupBy(*keys, "block_idx").agg((F.max_by("close", idx) - F.min_by("close", idx)).alias("_move"))
+    by_block = Window.partitionBy(*keys).orderBy("block_idx")
+    bias = moves.select(*keys, "block_idx", F.coalesce(F.signum(F.lag("_move").over(by_block)), F.lit(0.0)).alias("prev_sess_bias"))
+    return blocks.join(bias, [*keys, "block_idx"]).drop("block_idx", "block_start")
 
 
 def build_features(
     bars: DataFrame, session_offset: int = 0, keys: Sequence[str] = ("symbol",), idx: str = "bar_idx",
     chunk: int = CHUNK, htf_rsi: str | None = None,
 ) -> DataFrame:
-    """All trailing columns of a bar table that carries `bar_idx`."""
+    """All trailing columns of a bar table that carries `bar_idx`.
+
+    The wide table is written twice on the way: every later pass reads it more than once.
+    """
     if "volume" not in bars.columns:
         bars = bars.withColumn("volume", c("tick_volume").cast("double") if "tick_volume" in bars.columns else F.lit(1.0))
-    frame = add_frames(base_features(bars, session_offset, keys, idx, chunk), keys, idx, chunk, htf_rsi)
-    frame = point_of_control(frame, keys, idx, chunk)
+    frame = cut_lineage(add_frames(base_features(bars, session_offset, keys, idx, chunk), keys, idx, chunk, htf_rsi))
+    frame = cut_lineage(point_of_control(frame, keys, idx, chunk))
     return previous_session_bias(frame, session_offset, keys, idx, chunk)
 
 

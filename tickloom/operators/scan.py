@@ -228,8 +228,13 @@ def carry_last(
     idx: str = "bar_idx",
     chunk: int = CHUNK,
     keep_chunk: bool = False,
+    lagged: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Forward-fill: the latest non-null value of each expression up to the row."""
+    """Forward-fill: the latest non-null value of each expression up to the row.
+
+    `lagged` maps a new name to a filled one and holds its value on the row before.
+    """
+    lagged = lagged or {}
     keys = list(keys)
     base = _chunked(df, idx, chunk).withColumns(
         {f"_v_{name}": value for name, value in columns.items()})
@@ -240,7 +245,12 @@ def carry_last(
         .select(*keys, "_chunk", *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in columns])
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    filled = {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")) for n in columns}
+    prior = Window.partitionBy(*keys, "_chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
+
+    def fill(source: str, window: WindowSpec) -> Column:
+        return F.coalesce(F.last(f"_v_{source}", ignorenulls=True).over(window), F.col(f"_c_{source}"))
+
+    filled = {n: fill(n, inside) for n in columns} | {n: fill(source, prior) for n, source in lagged.items()}
     return (
         base.join(summary, [*keys, "_chunk"]).withColumns(filled)
         .drop(*([] if keep_chunk else ["_chunk"]), *[f"_v_{n}" for n in columns], *[f"_c_{n}" for n in columns])

@@ -1,6 +1,7 @@
 """The shared star-schema tables read as market tables.
 
-`events` are quotes, `lineitem` are daily prices, `orders` are closed trades.
+`events` are quotes, `lineitem` are daily prices, `orders` are closed trades.  Bars are
+written once with their position, as a stored bar table would be.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.bars import ticks_to_bars
 from tickloom.operators.scan import with_position
+from tickloom.session import cut_lineage
 
 DAY = 86_400
 
@@ -30,7 +32,7 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
 def quote_bars(spark: SparkSession, folder: str, timeframe: str = "h1") -> DataFrame:
     """Bid/ask/mid bars per event type, with position."""
     bars = ticks_to_bars(ticks(spark, folder), timeframe).withColumn("volume", F.col("tick_volume").cast("double"))
-    return with_position(bars, ["time"], bucket_seconds=30 * DAY)
+    return cut_lineage(with_position(bars, ["time"], bucket_seconds=30 * DAY))
 
 
 def daily_bars(spark: SparkSession, folder: str, symbol: str = "l_returnflag") -> DataFrame:
@@ -43,7 +45,7 @@ def daily_bars(spark: SparkSession, folder: str, symbol: str = "l_returnflag") -
     bars = prices.groupBy("symbol", "time").agg(
         F.min_by("p", "line").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"),
         F.max_by("p", "line").alias("close"), F.sum("q").alias("volume"))
-    return with_position(bars, ["time"], bucket_seconds=1024 * DAY)
+    return cut_lineage(with_position(bars, ["time"], bucket_seconds=1024 * DAY))
 
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,14 +43,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`; a scratch one only if it names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="tickloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
-    The folder comes from `spark.checkpoint.dir`; a scratch folder is set only when
-    the session names none, as in tests.
+
+def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back.
+
+    Used where a wide result feeds several later passes: without it each pass would
+    recompute everything before it.  Unlike a checkpointed RDD, the Parquet table still
+    prunes columns and pushes filters, and it outlives the executors that wrote it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
