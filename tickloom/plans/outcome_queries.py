@@ -70,11 +70,11 @@ o AS (SELECT a.symbol, a.time, a.close AS e, a.atr, CASE WHEN ks IS NOT NULL AND
 @query("f4_triple_barrier", f"""
 WITH {sql.SUPPLIERS}, {_barrier_sql(6)}
 SELECT symbol, time, CAST(label AS BIGINT) AS label, CASE label WHEN -1 THEN ks WHEN 1 THEN kg ELSE n END AS bars_to_hit,
-  round(CASE label WHEN -1 THEN e - 0.7 * atr WHEN 1 THEN e + atr ELSE last END, 8) AS exit_price, round(CASE label WHEN -1 THEN -1 WHEN 1 THEN 1 / 0.7 ELSE (last - e) / (0.7 * atr) END, 8) AS ret_r,
+  round(CASE label WHEN -1 THEN e - 0.7 * atr WHEN 1 THEN e + atr ELSE last END / e - 1, 6) AS ret, round(CASE label WHEN -1 THEN -1 WHEN 1 THEN 1 / 0.7 ELSE (last - e) / (0.7 * atr) END, 6) AS ret_r,
   label = 0 AND n < 6 AS truncated FROM o""")
 def triple_barrier(spark, folder):
     out = L.triple_barrier(S.daily_bars(spark, folder, "l_suppkey"), 1.0, 0.7, 6).filter(c("ret_r").isNotNull())
-    return rounded(out.select("symbol", "time", "label", "bars_to_hit", "exit_price", "ret_r", "truncated"), 8)
+    return rounded(out.select("symbol", "time", "label", "bars_to_hit", "ret", "ret_r", "truncated"))
 
 
 _EXC = f"""x AS (SELECT b.*, lead(open) OVER {_O} AS en, max(high) OVER t AS h3, min(low) OVER t AS l3, max(high) OVER f AS hi, min(low) OVER f AS lo FROM (SELECT *, high - low AS atr14 FROM bars) b
