@@ -111,12 +111,9 @@ def normal_cdf(x: Column) -> Column:
     the continued fraction of Mills' ratio is used.
     """
     a = F.abs(x)
-    series = F.lit(1.0)
-    for k in range(60, 0, -1):
-        series = 1 + series * a * a / (2 * k + 1)
+    down = F.sequence(F.lit(60), F.lit(1), F.lit(-1))
+    series = F.aggregate(down, F.lit(1.0), lambda s, k: 1 + s * a * a / (2 * k + 1))
     density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
-    fraction = a
-    for k in range(60, 0, -1):
-        fraction = a + F.lit(float(k)) / fraction
+    fraction = F.aggregate(down, a.cast("double"), lambda s, k: a + k / s)
     upper = F.when(a < 3, 0.5 - density * a * series).otherwise(density / fraction)
     return F.when(x >= 0, 1 - upper).otherwise(upper)
