@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bar_queries", "structure_queries", "quality_queries", "outcome_queries", "signal_queries", "ledger_queries"]
+MODULES = ["bar_queries", "structure_queries", "quality_queries", "outcome_queries", "signal_queries", "ledger_queries", "source_queries"]
 
 
 def load_all() -> None:

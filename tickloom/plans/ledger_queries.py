@@ -303,11 +303,11 @@ def bootstrap(spark, folder):
 
 @query("m2_long_run_paths", f"""{_PATHS}, e AS (SELECT *, 10000 + sum(pnl) OVER (PARTITION BY strategy_id, p ORDER BY s) AS raw FROM pt), ru AS (SELECT strategy_id, p, min(s) FILTER (raw <= 9000) AS r FROM e GROUP BY 1, 2),
 f AS (SELECT e.*, r, CASE WHEN r IS NOT NULL AND s >= r THEN 9000 ELSE raw END AS eq, raw - pnl AS prev FROM e JOIN ru USING (strategy_id, p)), g AS (SELECT *, greatest(10000, max(eq) OVER (PARTITION BY strategy_id, p ORDER BY s)) AS pk FROM f)
-SELECT strategy_id, p AS path_id, round(arg_max(eq, s), 4) AS final_equity, round(greatest(max((pk - eq) / pk), 0), 6) AS max_drawdown, any_value(r) + 1 AS ruin_step,
+SELECT strategy_id, p AS path_id, round(arg_max(eq, s), 6) AS final_equity, round(greatest(max((pk - eq) / pk), 0), 6) AS max_drawdown, any_value(r) + 1 AS ruin_step,
   round(CASE WHEN count(*) FILTER (r IS NULL OR s < r) > 1 THEN avg(pnl / prev) FILTER (r IS NULL OR s < r) / stddev_pop(pnl / prev) FILTER (r IS NULL OR s < r) * sqrt(252) ELSE 0 END, 4) AS sharpe FROM g GROUP BY 1, 2""")
 def long_run(spark, folder):
     out = M.long_run(_paths(spark, folder), 10_000.0, 0.1)
-    return out.select("strategy_id", "path_id", F.round("final_equity", 4).alias("final_equity"), F.round("max_drawdown", 6).alias("max_drawdown"), c("ruin_step").cast("long").alias("ruin_step"), F.round("sharpe", 4).alias("sharpe"))
+    return out.select("strategy_id", "path_id", F.round("final_equity", 6).alias("final_equity"), F.round("max_drawdown", 6).alias("max_drawdown"), c("ruin_step").cast("long").alias("ruin_step"), F.round("sharpe", 4).alias("sharpe"))
 
 
 _RACE = f"""{_PATHS}, e AS (SELECT *, sum(pnl) OVER w AS cum, sum(o) OVER w AS tr FROM pt WINDOW w AS (PARTITION BY strategy_id, p ORDER BY s)),
@@ -339,9 +339,9 @@ def trailing_race(spark, folder):
 
 
 @query("m5_equity_fan", f"""{_PATHS}, e AS (SELECT strategy_id, p, s, 10000 + sum(pnl) OVER (PARTITION BY strategy_id, p ORDER BY s) AS eq FROM pt)
-SELECT strategy_id, CAST(s AS BIGINT) AS step, {', '.join(f'round(quantile_cont(eq, {q / 100}), 4) AS p{q}' for q in (5, 25, 50, 75, 95))} FROM e GROUP BY 1, 2""")
+SELECT strategy_id, CAST(s AS BIGINT) AS step, {', '.join(f'round(quantile_cont(eq, {q / 100}), 6) AS p{q}' for q in (5, 25, 50, 75, 95))} FROM e GROUP BY 1, 2""")
 def fan(spark, folder):
-    return rounded(M.equity_fan(_paths(spark, folder), 10_000.0), 4)
+    return rounded(M.equity_fan(_paths(spark, folder), 10_000.0))
 
 
 @query("m6_ruin_by_horizon", f"""{_PATHS}, e AS (SELECT strategy_id, p, s, 10000 + sum(pnl) OVER (PARTITION BY strategy_id, p ORDER BY s) AS eq FROM pt), ru AS (SELECT strategy_id, p, min(s) FILTER (eq <= 9500) + 1 AS r FROM e GROUP BY 1, 2)
@@ -420,12 +420,12 @@ def rolling_race(spark, folder):
 _ONE = f"""WITH RECURSIVE {sql.LEDGER}, cl AS (SELECT strategy_id, CAST(entry_time AS DATE) AS d, entry_time, trade_id, net_pnl / initial_risk AS r FROM ledger), fk AS (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY strategy_id, d ORDER BY entry_time, trade_id) = 1),
 sp AS (SELECT strategy_id, min(d) AS a, max(d) AS b FROM cl GROUP BY 1), ss AS (SELECT strategy_id, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(greatest(b - 30, a) AS TIMESTAMP), INTERVAL 14 DAY)) AS DATE) AS s FROM sp),
 w AS (SELECT ss.strategy_id, s, fk.d, r, row_number() OVER (PARTITION BY ss.strategy_id, s ORDER BY d) AS k FROM ss JOIN fk ON fk.strategy_id = ss.strategy_id AND d >= s AND d < s + 30),
-st AS (SELECT strategy_id, s, 0 AS k, 100000.0::DOUBLE AS eq, 100000.0::DOUBLE AS pk, 0.0::DOUBLE AS dd, NULL::VARCHAR AS e, 0 AS taken, NULL::DATE AS at FROM ss UNION ALL
+st AS (SELECT strategy_id, s, 0 AS k, 100000.0::DOUBLE AS eq, 100000.0::DOUBLE AS pk, 0.0::DOUBLE AS dd, NULL::VARCHAR AS e, 0 AS taken, NULL::DATE AS hd FROM ss UNION ALL
   SELECT q.strategy_id, q.s, q.k + 1, q.eq * (1 + 0.01 * w.r), greatest(q.pk, q.eq * (1 + 0.01 * w.r)), greatest(q.dd, (greatest(q.pk, q.eq * (1 + 0.01 * w.r)) - q.eq * (1 + 0.01 * w.r)) / greatest(q.pk, q.eq * (1 + 0.01 * w.r)) * 100),
     CASE WHEN q.eq * (1 + 0.01 * w.r) >= 110000 THEN 'pass' WHEN q.eq * (1 + 0.01 * w.r) <= 90000 THEN 'max_loss' WHEN q.eq - q.eq * (1 + 0.01 * w.r) >= 5000 THEN 'daily_loss' END, q.taken + 1, w.d
   FROM st q JOIN w ON w.strategy_id = q.strategy_id AND w.s = q.s AND w.k = q.k + 1 WHERE q.e IS NULL),
 en AS (SELECT *, row_number() OVER (PARTITION BY strategy_id, s ORDER BY k DESC) AS z FROM st),
-atts AS (SELECT strategy_id, s, CASE WHEN k = 0 THEN 'no_trades' ELSE coalesce(e, 'timeout') END AS status, eq, dd, taken, CASE WHEN e = 'pass' THEN CAST(at - s AS DOUBLE) END AS days FROM en WHERE z = 1)"""
+atts AS (SELECT strategy_id, s, CASE WHEN k = 0 THEN 'no_trades' ELSE coalesce(e, 'timeout') END AS status, eq, dd, taken, CASE WHEN e = 'pass' THEN CAST(hd - s AS DOUBLE) END AS days FROM en WHERE z = 1)"""
 
 
 def _attempts(spark, folder):
