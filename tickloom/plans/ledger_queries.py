@@ -339,9 +339,9 @@ def trailing_race(spark, folder):
 
 
 @query("m5_equity_fan", f"""{_PATHS}, e AS (SELECT strategy_id, p, s, 10000 + sum(pnl) OVER (PARTITION BY strategy_id, p ORDER BY s) AS eq FROM pt)
-SELECT strategy_id, CAST(s AS BIGINT) AS step, {', '.join(f'round(quantile_cont(eq, {q / 100}), 6) AS p{q}' for q in (5, 25, 50, 75, 95))} FROM e GROUP BY 1, 2""")
+SELECT strategy_id, CAST(s AS BIGINT) AS step, {', '.join(f'round(quantile_cont(eq, {q / 100}), 8) AS p{q}' for q in (5, 25, 50, 75, 95))} FROM e GROUP BY 1, 2""")
 def fan(spark, folder):
-    return rounded(M.equity_fan(_paths(spark, folder), 10_000.0))
+    return rounded(M.equity_fan(_paths(spark, folder), 10_000.0), 8)
 
 
 @query("m6_ruin_by_horizon", f"""{_PATHS}, e AS (SELECT strategy_id, p, s, 10000 + sum(pnl) OVER (PARTITION BY strategy_id, p ORDER BY s) AS eq FROM pt), ru AS (SELECT strategy_id, p, min(s) FILTER (eq <= 9500) + 1 AS r FROM e GROUP BY 1, 2)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tickloom.operators.bars import flat_bars
@@ -49,18 +48,22 @@ def file_names(spark, folder):
 
 
 @query("a4_tick_file_decode", f"""WITH {sql.TICKS} SELECT symbol, date_trunc('hour', time) + to_milliseconds(CAST(epoch_us(time) % 3600000000 // 1000 AS BIGINT)) AS time,
-  round(round(bid * 1000), 0) / 1000 AS bid, round(round(ask * 1000), 0) / 1000 AS ask, bid_volume, ask_volume FROM ticks WHERE bid >= 0""")
+  floor(bid * 1000 + 0.5) / 1000 AS bid, floor(ask * 1000 + 0.5) / 1000 AS ask, bid_volume, ask_volume FROM ticks WHERE bid >= 0""")
 def tick_files(spark, folder):
     """Quotes packed into hour files by Spark, then decoded."""
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time")
-        ms = ((pdf["time"] - pd.Timestamp(key[1])) // pd.Timedelta(milliseconds=1)).to_numpy()
-        price = lambda n: np.floor(pdf[n].to_numpy() * 1000 + 0.5)
-        content = X.encode_hour(ms, price("ask"), price("bid"), pdf["ask_volume"].to_numpy(), pdf["bid_volume"].to_numpy())
-        return pd.DataFrame([{"symbol": key[0], "hour": key[1], "content": content}])
-
+    def pack(batches):
+        for batch in batches:
+            content = []
+            for ticks in batch["ticks"]:
+                values = np.array([[x["ms"], x["ask"], x["bid"], x["ask_volume"], x["bid_volume"]] for x in ticks])
+                content.append(X.encode_hour(*values.T))
+            yield batch[["symbol", "hour"]].assign(content=content)
+
+    cents = lambda n: F.floor(c(n) * 1000 + 0.5).alias(n)
+    ms = F.floor(F.pmod(F.unix_micros(c("time").cast("timestamp")), F.lit(3_600_000_000)) / 1000).alias("ms")
     ticks = S.ticks(spark, folder).filter("bid >= 0").withColumn("hour", F.date_trunc("hour", "time").cast("timestamp_ntz"))
-    files = ticks.groupBy("symbol", "hour").applyInPandas(pack, "symbol string, hour timestamp_ntz, content binary")
+    hours = ticks.groupBy("symbol", "hour").agg(F.array_sort(F.collect_list(F.struct(ms, cents("ask"), cents("bid"), "ask_volume", "bid_volume"))).alias("ticks"))
+    files = hours.mapInPandas(pack, "symbol string, hour timestamp_ntz, content binary")
     digits = {row["symbol"]: 3 for row in ticks.select("symbol").distinct().collect()}
     return rounded(X.decode_ticks(files, digits).select("symbol", "time", "bid", "ask", "bid_volume", "ask_volume"))
 
@@ -114,17 +117,18 @@ def pending(spark, folder):
 def _chart_list(spark, folder):
     """Orders as a chart platform's trade list: an entry and an exit row each, money as text."""
     led = S.ledger(spark, folder)
-    money = F.when(c("net_pnl") < 0, F.concat(F.lit("($"), F.format_number(-c("net_pnl"), 2), F.lit(")"))).otherwise(F.concat(F.lit("$"), F.format_number(c("net_pnl"), 2)))
+    cents = F.floor(c("net_pnl") * 100 + 0.5) / 100
+    money = F.when(cents < 0, F.concat(F.lit("($"), F.format_number(-cents, 2), F.lit(")"))).otherwise(F.concat(F.lit("$"), F.format_number(cents, 2)))
     rows = F.array(
         F.struct((c("trade_id") * 2).alias("n"), F.lit("Entry long").alias("Type"), c("entry_time").cast("string").alias("Date and time"), F.lit("").alias("Net P&L USD")),
         F.struct((c("trade_id") * 2 + 1).alias("n"), F.lit("Exit long").alias("Type"), c("exit_time").cast("string").alias("Date and time"), money.alias("Net P&L USD")))
     return led.select("strategy_id", F.explode(rows).alias("x")).select("strategy_id", "x.*")
 
 
-@query("a11_chart_trade_list", f"WITH {sql.LEDGER} SELECT strategy_id, CAST(exit_time AS DATE) AS trade_date, CAST(entry_time AS DATE) AS open_date, count(*) AS trades, round(sum(round(net_pnl, 2)), 0) AS profit FROM ledger GROUP BY 1, 2, 3")
+@query("a11_chart_trade_list", f"WITH {sql.LEDGER} SELECT strategy_id, CAST(exit_time AS DATE) AS trade_date, CAST(entry_time AS DATE) AS open_date, count(*) AS trades, round(sum(floor(net_pnl * 100 + 0.5) / 100), 2) AS profit FROM ledger GROUP BY 1, 2, 3")
 def chart_list(spark, folder):
     out = T.chart_trades(_chart_list(spark, folder), "n", ["strategy_id"])
-    return rounded(out.groupBy("strategy_id", "trade_date", "open_date").agg(F.count(F.lit(1)).alias("trades"), F.sum("profit").alias("profit")), 0)
+    return rounded(out.groupBy("strategy_id", "trade_date", "open_date").agg(F.count(F.lit(1)).alias("trades"), F.sum("profit").alias("profit")), 2)
 
 
 def _reports(spark, folder):
@@ -132,13 +136,14 @@ def _reports(spark, folder):
     t = lambda x: F.date_format(x, "yyyy.MM.dd HH:mm:ss")
     cell = lambda *xs: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.coalesce(x.cast("string"), F.lit("")), F.lit("</td>")) for x in xs], F.lit("</tr>"))
     e = F.lit("")
-    number = lambda x: F.regexp_replace(F.format_number(x, 2), ",", " ")
+    cents = lambda x: F.floor(x * 100 + 0.5) / 100
+    number = lambda x: F.regexp_replace(F.format_number(cents(x), 2), ",", " ")
     enter = cell(t(c("entry_time")), c("trade_id"), F.lit("SYM"), F.lit("buy"), F.lit("in"), F.lit("0.10"), F.lit("1.0"), c("trade_id"), F.lit("-1.00"), F.lit("0.00"), F.lit("0.00"), e, F.concat(F.lit("R:"), c("regime")))
     leave = cell(t(c("exit_time")), c("trade_id"), F.lit("SYM"), F.lit("sell"), F.lit("out"), F.lit("0.10"), F.lit("1.0"), c("trade_id"), F.lit("-1.00"), F.lit("-0.50"), number(c("gross_pnl")), e, e)
     led = S.ledger(spark, folder).withColumn("_rows", F.concat(enter, leave))
     docs = led.groupBy("strategy_id", F.year("exit_time").alias("y")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("trade_id", "_rows"))), lambda x: x["_rows"]), "\n").alias("_deals"),
-        F.sum(F.round("gross_pnl", 2)).alias("_g"), F.count(F.lit(1)).alias("_n"), F.count_if(c("net_pnl") > 0).alias("_w"))
+        F.sum(cents(c("gross_pnl"))).alias("_g"), F.count(F.lit(1)).alias("_n"), F.count_if(c("net_pnl") > 0).alias("_w"))
     head = F.concat(
         F.lit("<html><table><tr><td>Settings</td></tr><tr><td>Expert:</td><td><b>"), c("strategy_id"), F.lit("</b></td></tr><tr><td>Inputs:</td><td>Year="), c("y"),
         F.lit("</td></tr><tr><td>Results</td></tr><tr><td>Total Net Profit:</td><td><b>"), number(c("_g")), F.lit("</b></td><td>Total Trades:</td><td>"), c("_n"),
@@ -151,21 +156,21 @@ def _reports(spark, folder):
 _BY = f"WITH {sql.LEDGER}, l AS (SELECT *, strategy_id || '/' || year(exit_time) AS report_id FROM ledger)"
 
 
-@query("a12_report_deals", f"{_BY} SELECT report_id, CAST(exit_time AS DATE) AS trade_date, CAST(entry_time AS DATE) AS open_date, CAST(regime AS BIGINT) AS regime, count(*) AS trades, round(sum(round(gross_pnl, 2) - 1.5), 0) AS net FROM l GROUP BY 1, 2, 3, 4")
+@query("a12_report_deals", f"{_BY} SELECT report_id, CAST(exit_time AS DATE) AS trade_date, CAST(entry_time AS DATE) AS open_date, CAST(regime AS BIGINT) AS regime, count(*) AS trades, round(sum(floor(gross_pnl * 100 + 0.5) / 100 - 1.5), 2) AS net FROM l GROUP BY 1, 2, 3, 4")
 def report_deals(spark, folder):
     out = R.closed_deals(_reports(spark, folder))
-    return rounded(out.groupBy("report_id", "trade_date", "open_date", "regime").agg(F.count(F.lit(1)).alias("trades"), F.sum("net_profit").alias("net")), 0)
+    return rounded(out.groupBy("report_id", "trade_date", "open_date", "regime").agg(F.count(F.lit(1)).alias("trades"), F.sum("net_profit").alias("net")), 2)
 
 
-@query("a12_report_fifo_pairs", f"{_BY} SELECT report_id, strftime(entry_time, '%Y-%m') AS month, count(*) AS trades, round(sum(round(gross_pnl, 2) - 2.5), 0) AS net FROM l GROUP BY 1, 2")
+@query("a12_report_fifo_pairs", f"{_BY} SELECT report_id, strftime(entry_time, '%Y-%m') AS month, count(*) AS trades, round(sum(floor(gross_pnl * 100 + 0.5) / 100 - 2.5), 2) AS net FROM l GROUP BY 1, 2")
 def fifo_pairs(spark, folder):
     out = R.paired_deals(_reports(spark, folder))
-    return rounded(out.groupBy("report_id", F.date_format("entry_time", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("trades"), F.sum("net_profit").alias("net")), 0)
+    return rounded(out.groupBy("report_id", F.date_format("entry_time", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("trades"), F.sum("net_profit").alias("net")), 2)
 
 
-@query("a13_report_headlines", f"{_BY} SELECT report_id, strategy_id AS expert, round(sum(round(gross_pnl, 2)), 0) AS net_profit, count(*) AS total_trades, round(100.0 * count(*) FILTER (net_pnl > 0) / count(*), 0) AS win_rate_pct, 6.0::DOUBLE AS equity_drawdown_pct FROM l GROUP BY 1, 2")
+@query("a13_report_headlines", f"{_BY} SELECT report_id, strategy_id AS expert, round(sum(floor(gross_pnl * 100 + 0.5) / 100), 2) AS net_profit, count(*) AS total_trades, round(100.0 * count(*) FILTER (net_pnl > 0) / count(*), 2) AS win_rate_pct, 5.61::DOUBLE AS equity_drawdown_pct FROM l GROUP BY 1, 2")
 def report_headlines(spark, folder):
-    return rounded(R.headlines(_reports(spark, folder)).select("report_id", "expert", "net_profit", "total_trades", "win_rate_pct", "equity_drawdown_pct"), 0)
+    return rounded(R.headlines(_reports(spark, folder)).select("report_id", "expert", "net_profit", "total_trades", "win_rate_pct", "equity_drawdown_pct"), 2)
 
 
 @query("a13_page_table_cells", "SELECT page_id AS report_id, CAST(len(regexp_extract_all(html, '(?is)<a\\b[^>]*>(.*?)</a>')) AS BIGINT) AS links FROM pages")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 RECORD = np.dtype([("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("ask_volume", ">f4"), ("bid_volume", ">f4")])
 PRICE_DIGITS = {"XAUUSD": 3, "XAGUSD": 3, "BTCUSD": 1, "ETHUSD": 2, "USDJPY": 3, "EURJPY": 3, "GBPJPY": 3, "AUDJPY": 3}
 DEFAULT_DIGITS = 5
+YIELD_ROWS = 200_000
 # `<symbol>/<year>/<month counted from 00>/<day>/<hour>h_ticks.bi5`
 HOUR_PATH = r"([A-Za-z0-9]+)/(\d{4})/(\d{2})/(\d{2})/(\d{2})h_ticks\.bi5$"
 TICK_SCHEMA = "symbol string, time timestamp_ntz, seq long, bid double, ask double, bid_volume double, ask_volume double, flags int, source string"
@@ -35,16 +36,29 @@ def decode_ticks(files: DataFrame, digits: Mapping[str, int] | None = None, sour
     """
     places = {**PRICE_DIGITS, **(digits or {})}
 
+    def frame(parts: list[tuple[str, pd.Timestamp, np.ndarray]]) -> pd.DataFrame:
+        sizes = [len(records) for _, _, records in parts]
+        records = np.concatenate([records for _, _, records in parts])
+        hours = np.repeat(np.array([np.datetime64(hour, "us") for _, hour, _ in parts]), sizes)
+        scale = np.repeat([10.0 ** places.get(symbol, DEFAULT_DIGITS) for symbol, _, _ in parts], sizes)
+        return pd.DataFrame({
+            "symbol": np.repeat([symbol for symbol, _, _ in parts], sizes), "time": hours + records["ms"].astype("timedelta64[ms]"),
+            "seq": np.concatenate([np.arange(n, dtype="int64") for n in sizes]), "bid": records["bid"] / scale, "ask": records["ask"] / scale,
+            "bid_volume": records["bid_volume"].astype("float64"), "ask_volume": records["ask_volume"].astype("float64"), "flags": np.int32(0), "source": source})
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, held = [], 0
         for batch in batches:
             for symbol, hour, content in zip(batch["symbol"], batch["hour"], batch["content"]):
                 payload = lzma.decompress(content) if content else b""
                 records = np.frombuffer(payload[: len(payload) // RECORD.itemsize * RECORD.itemsize], dtype=RECORD)
-                scale = 10.0 ** places.get(symbol, DEFAULT_DIGITS)
-                yield pd.DataFrame({
-                    "symbol": symbol, "time": pd.Timestamp(hour) + pd.to_timedelta(records["ms"].astype("int64"), unit="ms"), "seq": np.arange(len(records), dtype="int64"),
-                    "bid": records["bid"] / scale, "ask": records["ask"] / scale, "bid_volume": records["bid_volume"].astype("float64"),
-                    "ask_volume": records["ask_volume"].astype("float64"), "flags": np.int32(0), "source": source})
+                parts.append((symbol, hour, records))
+                held += len(records)
+                if held >= YIELD_ROWS:
+                    yield frame(parts)
+                    parts, held = [], 0
+        if parts:
+            yield frame(parts)
 
     return files.select("symbol", "hour", "content").mapInPandas(decode, TICK_SCHEMA)
 
