@@ -268,8 +268,8 @@ def tick_first_touch(
     `entries` has `entry_id`, `entry_idx` (the bar holding the entry), `entry_time`, `side`,
     `entry_price`, `stop_price`, `target_price` and `deadline` (NULL for none).  A bar whose
     extremes stay inside the levels and that ends before the deadline cannot hold the exit,
-    so ticks are read for the entry bar and for the first later bar that can, and for no
-    other.  An entry with no exit within `max_bars` bars or before the data ends comes back
+    so ticks are read for the entry bar, for the first later bar that can, and for the first
+    bar after the deadline (the bar around it may end before it in ticks), and for no other.  An entry with no exit within `max_bars` bars or before the data ends comes back
     as "open" with the last bar searched.
     """
     keys = list(keys)
@@ -289,7 +289,8 @@ def tick_first_touch(
 
     placed = entries.join(ahead, [*keys, "entry_idx"])
     first = F.get(F.filter("_path", crosses), F.lit(0))["t"]
-    searched = placed.withColumn("_bar", F.explode(F.array_compact(F.array(c("_now.t"), first)))).drop("_path", "_now")
+    after = F.get(F.filter("_path", lambda x: truth(x["t"] >= F.unix_micros(c("deadline").cast("timestamp")))), F.lit(0))["t"]
+    searched = placed.withColumn("_bar", F.explode(F.array_distinct(F.array_compact(F.array(c("_now.t"), first, after))))).drop("_path", "_now")
     micros = F.unix_micros(c("time").cast("timestamp"))
     quotes = ticks.select(*keys, c("time").alias("tick_time"), "bid", "ask", (micros - F.pmod(micros, F.lit(bar_seconds * 1_000_000))).alias("_bar"))
     met = searched.join(quotes, [*keys, "_bar"]).filter(c("tick_time") > c("entry_time"))
