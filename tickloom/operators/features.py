@@ -78,7 +78,7 @@ def base_features(
         "uwk_pct": (c("high") - body_top) / reach,
         "lwk_pct": (body_bottom - c("low")) / reach,
         "rng_atr": (c("high") - c("low")) / atr,
-        "atr_pct": c("atr14") / c("close"),
+        "atr_pct": c("atr14") / non_zero(c("close")),
         "macd_norm": histogram / atr,
         "session": session_id(c("time"), session_offset),
     }).drop("_gain", "_loss", "_tr", "_up", "_down", "_ema9", "_ema12", "_ema26")
@@ -91,7 +91,7 @@ def bands(w: WindowSpec) -> dict[str, Column]:
     n = F.count("close").over(f)
     mid = full(F.avg("close").over(f), n, 20)
     sigma = full(F.stddev_pop("close").over(f), n, 20)
-    return {"bb_up": mid + 2 * sigma, "bb_mid": mid, "bb_lo": mid - 2 * sigma, "bb_width": (mid + 2 * sigma - (mid - 2 * sigma)) / mid}
+    return {"bb_up": mid + 2 * sigma, "bb_mid": mid, "bb_lo": mid - 2 * sigma, "bb_width": (mid + 2 * sigma - (mid - 2 * sigma)) / non_zero(mid)}
 
 
 def _volume() -> Column:
@@ -154,7 +154,7 @@ def vwap_distance(w: WindowSpec) -> dict[str, Column]:
     f = w.rowsBetween(-95, 0)
     typical = (c("high") + c("low") + c("close")) / 3
     vwap = F.sum(typical * _volume()).over(f) / F.sum(_volume()).over(f)
-    return {"vwap_dist": F.coalesce(clip((c("close") - vwap) / vwap * 100, -5, 5), F.lit(0.0))}
+    return {"vwap_dist": F.coalesce(clip((c("close") - vwap) / non_zero(vwap) * 100, -5, 5), F.lit(0.0))}
 
 
 REGIME_QUANTILES = {

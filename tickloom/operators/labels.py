@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import full
+from tickloom.functions.columns import full, non_zero
 from tickloom.operators.outcomes import forward_path, touch
 from tickloom.operators.scan import CHUNK, over_chunks
 
@@ -19,19 +19,19 @@ c = F.col
 
 def forward_return(w: WindowSpec, bars: int, price: str = "close", log: bool = False) -> dict[str, Column]:
     """Return over the next `bars` bars; NULL on the last ones."""
-    ratio = F.lead(price, bars).over(w) / c(price)
+    ratio = F.lead(price, bars).over(w) / non_zero(c(price))
     return {f"fwd_ret_{bars}": F.log(ratio) if log else ratio - 1}
 
 
 def excess_over_benchmark(w: WindowSpec, bars: int, benchmark: str, beta: float = 1.0) -> dict[str, Column]:
     """Forward return minus beta times the benchmark's, both columns of the same row."""
-    own = F.lead("close", bars).over(w) / c("close") - 1
-    market = F.lead(benchmark, bars).over(w) / c(benchmark) - 1
+    own = F.lead("close", bars).over(w) / non_zero(c("close")) - 1
+    market = F.lead(benchmark, bars).over(w) / non_zero(c(benchmark)) - 1
     return {f"fwd_excess_{bars}": own - beta * market}
 
 
 def one_bar_return(w: WindowSpec) -> dict[str, Column]:
-    return {"_one": c("close") / F.lag("close").over(w) - 1}
+    return {"_one": c("close") / non_zero(F.lag("close").over(w)) - 1}
 
 
 def excess_over_drift(w: WindowSpec, bars: int, rows: int = 500, minimum: int | None = None) -> dict[str, Column]:
@@ -39,7 +39,7 @@ def excess_over_drift(w: WindowSpec, bars: int, rows: int = 500, minimum: int |
     minimum = max(2, rows // 5) if minimum is None else minimum
     f = w.rowsBetween(-rows, -1)
     drift = full(F.avg("_one").over(f), F.count("_one").over(f), minimum)
-    return {f"fwd_detrended_{bars}": F.lead("close", bars).over(w) / c("close") - 1 - drift * bars}
+    return {f"fwd_detrended_{bars}": F.lead("close", bars).over(w) / non_zero(c("close")) - 1 - drift * bars}
 
 
 def simple_atr(w: WindowSpec, length: int = 14) -> dict[str, Column]:
@@ -72,16 +72,17 @@ def triple_barrier(
         "exit_price": F.coalesce(c("_hit.exit_price"), F.when(sized, c("close"))),
         "truncated": F.coalesce(c("_hit.truncated"), F.lit(True)),
     }).withColumns({
-        "ret": side * (c("exit_price") / price - 1),
+        "ret": side * (c("exit_price") / non_zero(price) - 1),
         "ret_r": F.when(c("label") == 1, F.lit(target_atr / stop_atr)).when(c("label") == -1, F.lit(-1.0))
-        .otherwise(side * (c("exit_price") - price) / (stop_atr * atr)),
+        .otherwise(side * (c("exit_price") - price) / non_zero(stop_atr * atr)),
     }).drop("_path", "_hit", "_tr", "simple_atr")
 
 
 def best_move(w: WindowSpec, bars: int) -> dict[str, Column]:
     """The larger of the up and down excursion over the next `bars` bars, signed."""
     f = w.rowsBetween(1, bars)
-    up, down = F.max("high").over(f) / c("close") - 1, 1 - F.min("low").over(f) / c("close")
+    base = non_zero(c("close"))
+    up, down = F.max("high").over(f) / base - 1, 1 - F.min("low").over(f) / base
     return {f"fwd_best_move_{bars}": F.when(up >= down, up).otherwise(-down)}
 
 
@@ -107,7 +108,7 @@ def excursions(
     long = (c("_hi3") - c("_entry")) > (c("_entry") - c("_lo3"))
     up, down = (c("_hi") - c("_entry")) / c("_entry"), (c("_entry") - c("_lo")) / c("_entry")
     gain = lambda x: F.when(long, x["h"] - c("_entry")).otherwise(c("_entry") - x["l"]) / (c("close") + 1e-9)
-    limit = F.lit(threshold_atr * 0.5) * (F.lit(1.0) if exact_threshold else c("atr14") / c("close"))
+    limit = F.lit(threshold_atr * 0.5) * (F.lit(1.0) if exact_threshold else c("atr14") / non_zero(c("close")))
     run = F.aggregate(
         "_ahead", F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
         lambda s, x: F.struct(

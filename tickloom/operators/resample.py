@@ -87,11 +87,11 @@ def long_run(paths: DataFrame, balance: float, ruin_drawdown: float) -> DataFram
             (a["n"] + counted.cast("int")).alias("n"), F.when(broke, a["day"] + 1).otherwise(a["ruin"]).alias("ruin"), (a["day"] + 1).alias("day"))
 
     out = paths.withColumn("_z", F.aggregate("pnl", start, step)).drop("pnl", "opened")
-    n, s, q = c("_z.n"), c("_z.s"), c("_z.q")
+    n, s, q = F.greatest(c("_z.n"), F.lit(1)), c("_z.s"), c("_z.q")
     var = F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))
     return out.withColumns({
         "final_equity": c("_z.eq"), "max_drawdown": c("_z.dd"), "ruin_step": c("_z.ruin"),
-        "sharpe": F.when((n > 1) & (var > 1e-18), s / n / F.sqrt(var) * (252.0 ** 0.5)).otherwise(0.0)}).drop("_z")
+        "sharpe": F.when((c("_z.n") > 1) & (var > 1e-18), s / n / F.sqrt(var) * (252.0 ** 0.5)).otherwise(0.0)}).drop("_z")
 
 
 def target_race(
@@ -273,7 +273,7 @@ def rolling_start_race(
         lost = opened - eq
         end = F.when(trade, F.when(eq >= goal, "pass").when(eq <= floor, "max_loss").when(lost >= limit, "daily_loss"))
         new = {
-            "eq": eq, "peak": peak, "dd": F.greatest(a["dd"], (peak - eq) / peak * 100), "day": x["_day"], "open": opened, "today": today + trade.cast("int"),
+            "eq": eq, "peak": peak, "dd": F.greatest(a["dd"], (peak - eq) / F.when(peak > 0, peak).otherwise(1.0) * 100), "day": x["_day"], "open": opened, "today": today + trade.cast("int"),
             "halted": halted | (trade & (lost >= balance * c("daily_stop_pct") / 100)), "taken": a["taken"] + trade.cast("int"), "end": end, "at": x["entry_time"]}
         return F.struct(*[F.when(live, v).otherwise(a[k]).alias(k) for k, v in new.items()])
 

@@ -151,7 +151,7 @@ def deflated_sharpe(returns: DataFrame, value: str, trials: int, keys: Sequence[
     """Sharpe per period, bias-corrected moments, and the chance that it beats the best of `trials` lucky ones."""
     n = F.count(value).cast("double")
     base = returns.groupBy(*keys).agg(
-        n.alias("n_obs"), (F.avg(value) / F.stddev_samp(value)).alias("observed_sr"), F.skewness(value).alias("_g1"), F.kurtosis(value).alias("_g2")
+        n.alias("n_obs"), F.try_divide(F.avg(value), F.stddev_samp(value)).alias("observed_sr"), F.skewness(value).alias("_g1"), F.kurtosis(value).alias("_g2")
     ).filter((c("n_obs") >= 2) & c("observed_sr").isNotNull())
     t, sr = c("n_obs"), c("observed_sr")
     skew = F.when(t >= 3, F.sqrt(t * (t - 1)) / (t - 2) * c("_g1")).otherwise(0.0)
@@ -174,7 +174,7 @@ def overfitting_logits(performance: DataFrame, parts: int = 16, config: str = "c
     length = performance.agg((F.max(period) + 1).alias("_n"))
     placed = performance.join(F.broadcast(length)).withColumn("_part", part_of(c(period), c("_n"), parts))
     filled = placed.groupBy(config, "_part").agg(F.sum(value).alias("s"), F.count(value).alias("k"), F.count(F.lit(1)).alias("rows"))
-    means = filled.groupBy(config).agg((F.sum("s") / F.sum("k")).alias("_mean"))
+    means = filled.groupBy(config).agg(F.try_divide(F.sum("s"), F.sum("k")).alias("_mean"))
     whole = filled.join(means, config).filter("_mean IS NOT NULL").withColumn("s", F.coalesce("s", F.lit(0.0)) + (c("rows") - c("k")) * c("_mean"))
     packed = whole.groupBy(config).agg(F.map_from_entries(F.collect_list(F.struct("_part", F.struct("s", "rows")))).alias("_m"))
     masks = [m for m in range(1 << parts) if m.bit_count() == parts // 2]
@@ -185,7 +185,7 @@ def overfitting_logits(performance: DataFrame, parts: int = 16, config: str = "c
     pick = lambda inside, field: F.aggregate(
         F.filter(numbers, lambda i: F.getbit(c("mask"), i) == (1 if inside else 0)), F.lit(0.0),
         lambda acc, i: acc + F.coalesce(c("_m")[i][field].cast("double"), F.lit(0.0)))
-    matrix = cut_lineage(spread.select("mask", config, (pick(True, "s") / pick(True, "rows")).alias("_is"), (pick(False, "s") / pick(False, "rows")).alias("_os")))
+    matrix = cut_lineage(spread.select("mask", config, F.try_divide(pick(True, "s"), pick(True, "rows")).alias("_is"), F.try_divide(pick(False, "s"), pick(False, "rows")).alias("_os")))
     champion = matrix.groupBy("mask").agg(F.max("_is").alias("_top")).join(matrix, "mask").filter("_is = _top").groupBy("mask").agg(
         F.min(config).alias("champion"), F.min_by("_os", config).alias("_champion_os"))
     ranked = matrix.join(champion, "mask").groupBy("mask", "champion").agg(
