@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.columns import session_id
 from tickloom.operators.scan import CHUNK, carry_last, epoch_seconds, over_chunks, running
 from tickloom.schema import require_columns
+from tickloom.session import spread
 
 # Minutes per timeframe name.
 TIMEFRAME_MINUTES = {
@@ -178,7 +179,7 @@ def dense_daily_pnl(
     else:
         span = closed.select(*keys).distinct().select(
             *keys, F.lit(period[0]).cast("date").alias("_from"), F.lit(period[1]).cast("date").alias("_to"))
-    days = span.select(*keys, F.explode(F.sequence("_from", "_to")).alias("day"))
+    days = spread(span, *keys).select(*keys, F.explode(F.sequence("_from", "_to")).alias("day"))
     opened = trades.select(*keys, F.to_date(open_time).alias("day")).distinct().withColumn("_opened", F.lit(True))
     on = [*keys, "day"]
     return (

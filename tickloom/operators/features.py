@@ -150,10 +150,17 @@ def supply_demand(w: WindowSpec) -> dict[str, Column]:
     return {"sd_zone": F.when((top - c("close")) / atr < 1, -1.0).when((c("close") - bottom) / atr < 1, 1.0).otherwise(0.0)}
 
 
-def vwap_distance(w: WindowSpec) -> dict[str, Column]:
-    f = w.rowsBetween(-95, 0)
+def volume_totals(w: WindowSpec) -> dict[str, Column]:
+    """Running totals of the chunk: a long sum frame is then one subtraction per row."""
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     typical = (c("high") + c("low") + c("close")) / 3
-    vwap = F.sum(typical * _volume()).over(f) / F.sum(_volume()).over(f)
+    return {"_pv": F.sum(typical * _volume()).over(upto), "_vv": F.sum(_volume()).over(upto)}
+
+
+def vwap_distance(w: WindowSpec, rows: int = 96) -> dict[str, Column]:
+    """Distance of the close from the 96-bar VWAP in percent; needs `volume_totals`."""
+    window = lambda name: c(name) - F.coalesce(F.lag(name, rows).over(w), F.lit(0.0))
+    vwap = window("_pv") / non_zero(window("_vv"))
     return {"vwap_dist": F.coalesce(clip((c("close") - vwap) / non_zero(vwap) * 100, -5, 5), F.lit(0.0))}
 
 
@@ -187,11 +194,11 @@ def add_frames(
 ) -> DataFrame:
     """Every bounded-frame column in one pass (reach 222 rows)."""
     first = lambda w: {**bands(w), **volume_ratio(w), **stochastic(w), **candle_patterns(w), **returns(w),
-                       **supply_demand(w), **vwap_distance(w), **htf_divergence(htf_rsi)(w)}
-    second = lambda w: {**volume_confirmation(w), **stochastic_signal(w), **rolling_sharpe(w)}
+                       **supply_demand(w), **volume_totals(w), **htf_divergence(htf_rsi)(w)}
+    second = lambda w: {**volume_confirmation(w), **stochastic_signal(w), **rolling_sharpe(w), **vwap_distance(w)}
     out = over_chunks(
         frame, first, second, before=222, keys=keys, idx=idx, chunk=chunk, quantiles=REGIME_QUANTILES)
-    return out.withColumn("regime", regime()).drop("_ret", *REGIME_QUANTILES)
+    return out.withColumn("regime", regime()).drop("_ret", "_pv", "_vv", *REGIME_QUANTILES)
 
 
 def point_of_control(

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import market_closed
 from tickloom.operators.bars import minutes_of
-from tickloom.operators.scan import CHUNK, epoch_seconds, over_chunks
+from tickloom.operators.scan import CHUNK, epoch_seconds, over_chunks, with_position
 from tickloom.schema import require_columns
+from tickloom.session import cut_lineage, spread
 
 c = F.col
 
@@ -60,53 +61,69 @@ def missing_open_hours(ticks: DataFrame, keys: Sequence[str] = ("symbol",), span
         *keys, c("_w.start").alias("hour"))
     if span is None:
         span = present.groupBy(*keys).agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
-    hours = span.select(*keys, F.explode(F.sequence("first_hour", "last_hour", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
+    hours = spread(span, *keys).select(*keys, F.explode(F.sequence("first_hour", "last_hour", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
     return hours.filter(expected_open(c("hour"))).join(present, [*keys, "hour"], "left_anti")
 
 
-def missing_trading_days(bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def market_calendar(bars: DataFrame) -> DataFrame:
+    """One row per calendar day of the table's span: open or not, and how many open days came before.
+
+    Its size is the number of days, whatever the number of bars.  It is written down
+    because the optimizer would otherwise infer the holiday test for every joined row.
+    """
+    span = bars.agg(F.min(F.to_date("time")).alias("_a"), F.max(F.to_date("time")).alias("_b"))
+    days = span.select(F.explode(F.sequence("_a", "_b")).alias("day")).withColumn("is_open", ~market_closed(c("day")))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return cut_lineage(days.withColumn("open_before", F.coalesce(F.sum(c("is_open").cast("int")).over(before), F.lit(0))))
+
+
+def missing_trading_days(bars: DataFrame, keys: Sequence[str] = ("symbol",), calendar: DataFrame | None = None) -> DataFrame:
     """Calendar days the market was open between the first and last bar, without any bar."""
     keys = list(keys)
     present = bars.select(*keys, F.to_date("time").alias("day")).distinct()
     span = present.groupBy(*keys).agg(F.min("day").alias("_a"), F.max("day").alias("_b"))
-    days = span.select(*keys, F.explode(F.sequence("_a", "_b")).alias("day"))
-    return days.filter(~market_closed(c("day"))).join(present, [*keys, "day"], "left_anti")
+    days = spread(span, *keys).select(*keys, F.explode(F.sequence("_a", "_b")).alias("day"))
+    open_days = (calendar or market_calendar(bars)).filter("is_open").select("day")
+    return days.join(open_days, "day").join(present, [*keys, "day"], "left_anti")
 
 
 def suspicious_gaps(
     bars: DataFrame, timeframe: str, keys: Sequence[str] = ("symbol",), idx: str = "bar_idx", chunk: int = CHUNK,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Steps longer than 18 bars (at least 90 minutes) that do more than span closed days."""
     limit = max(minutes_of(timeframe) * 60 * 18, 90 * 60)
     stepped = over_chunks(
         bars.select(*keys, idx, "time"), lambda w: {"next_time": F.lead("time").over(w)}, after=1, keys=keys, idx=idx, chunk=chunk)
     long = stepped.withColumn("gap_seconds", epoch_seconds("next_time") - epoch_seconds("time")).filter(c("gap_seconds") > limit)
-    a, b = F.to_date("time"), F.to_date("next_time")
-    between = F.when(F.datediff(b, a) > 1, F.sequence(F.date_add(a, 1), F.date_sub(b, 1))).otherwise(F.array().cast("array<date>"))
-    only_closed = (a != b) & F.forall(between, market_closed) & (market_closed(a) | market_closed(b) | (F.weekday(a) == 4))
-    return long.filter(~only_closed).select(*keys, "time", "next_time", (c("gap_seconds") / 60).alias("minutes"))
+    calendar = calendar or market_calendar(bars)
+    side = lambda tag: calendar.select(c("day").alias(f"_{tag}"), c("is_open").alias(f"_{tag}_open"), c("open_before").alias(f"_{tag}_before"))
+    placed = long.withColumns({"_a": F.to_date("time"), "_b": F.to_date("next_time")}).join(side("a"), "_a").join(side("b"), "_b")
+    open_between = c("_b_before") - c("_a_before") - c("_a_open").cast("int")
+    only_closed = (c("_a") != c("_b")) & (open_between == 0) & (~c("_a_open") | ~c("_b_open") | (F.weekday("_a") == 4))
+    return placed.filter(~only_closed).select(*keys, "time", "next_time", (c("gap_seconds") / 60).alias("minutes"))
 
 
 def bar_audit(
     bars: DataFrame, timeframe: str, keys: Sequence[str] = ("symbol",), bucket_seconds: int = 86_400 * 30,
 ) -> DataFrame:
     """One row per key with every bar defect count and the list of issues."""
-    from tickloom.operators.scan import with_position
     keys = list(keys)
     require_columns(bars, [*keys, "time", "open", "high", "low", "close"], "bars")
     prices = [c(name).cast("double") for name in ("open", "high", "low", "close")]
     o, h, l, x = prices
     unknown = o.isNull() | h.isNull() | l.isNull() | x.isNull()
     invalid = (h < F.greatest(o, x, l)) | (l > F.least(o, x, h)) | (o <= 0) | (h <= 0) | (l <= 0) | (x <= 0)
-    per_time = bars.groupBy(*keys, "time").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(unknown).alias("_null"), F.count_if(invalid).alias("_bad"))
+    per_time = cut_lineage(bars.groupBy(*keys, "time").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(unknown).alias("_null"), F.count_if(invalid).alias("_bad")))
     base = per_time.groupBy(*keys).agg(
         F.sum("_n").alias("rows"), F.min("time").alias("first_time"), F.max("time").alias("last_time"),
         (F.sum("_n") - F.count(F.lit(1))).alias("duplicate_timestamps"),
         F.sum("_null").alias("null_ohlc_rows"), F.sum("_bad").alias("invalid_ohlc_rows"))
-    days = missing_trading_days(bars, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("missing_trading_days"))
+    calendar = market_calendar(per_time)
+    days = missing_trading_days(per_time, keys, calendar).groupBy(*keys).agg(F.count(F.lit(1)).alias("missing_trading_days"))
     placed = with_position(per_time, ["time"], keys, bucket_seconds=bucket_seconds)
-    gaps = suspicious_gaps(placed, timeframe, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("large_gaps"))
+    gaps = suspicious_gaps(placed, timeframe, keys, calendar=calendar).groupBy(*keys).agg(F.count(F.lit(1)).alias("large_gaps"))
     out = base.join(days, keys, "left").join(gaps, keys, "left").fillna(0, subset=["missing_trading_days", "large_gaps"])
     texts = {
         "duplicate_timestamps": "duplicate timestamps", "null_ohlc_rows": "rows with null OHLC",

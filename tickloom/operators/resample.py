@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.align import windows_of
-from tickloom.operators.scan import with_position
+from tickloom.session import spread
 
 c = F.col
 BATCHES = 64
@@ -249,7 +249,7 @@ def rolling_start_race(
     taken = clean.withColumn("_k", F.row_number().over(in_day)).filter(c("_k") <= max(max_trades))
     span = clean.groupBy(*keys).agg(F.min("_day").alias("_a"), F.max("_day").alias("_b"))
     last = F.greatest(F.date_sub("_b", days), c("_a"))
-    starts = span.select(*keys, F.explode(F.sequence(c("_a"), last, F.expr(f"INTERVAL {int(every_days)} DAYS"))).alias("start_day"))
+    starts = spread(span, *keys).select(*keys, F.explode(F.sequence(c("_a"), last, F.expr(f"INTERVAL {int(every_days)} DAYS"))).alias("start_day"))
     held = windows_of(taken, starts, "entry_time", days, keys)
     lists = held.groupBy(*keys, "start_day").agg(F.array_sort(F.collect_list(F.struct("entry_time", c(tie).alias("i"), "r", "_day", "_k"))).alias("_trades"))
     attempts = starts.join(lists, [*keys, "start_day"], "left").withColumn("_trades", F.coalesce("_trades", F.array().cast(lists.schema["_trades"].dataType)))

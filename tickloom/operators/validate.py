@@ -21,12 +21,20 @@ def _sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _roles(df: DataFrame, keys: Sequence[str], folds: int, role: Callable[[Column, Column], Column]) -> DataFrame:
-    """Copy each row to the folds that use it; `role(fold, n)` is "train", "test" or NULL."""
-    sized = df.join(_sizes(df, keys), list(keys))
-    uses = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: F.struct((k + 1).alias("fold"), role(k, c("_n")).alias("role"))),
-        lambda x: x["role"].isNotNull())
+def _roles(
+    df: DataFrame, keys: Sequence[str], folds: int, bounds: Callable[[Column, Column], dict[str, Column]],
+    role: Callable[[Column], Column],
+) -> DataFrame:
+    """Copy each row to the folds that use it.
+
+    `bounds(fold, n)` are worked out once per key and fold; `role(bounds)` then only
+    compares a row's position with them and is "train", "test" or NULL.
+    """
+    cuts = F.array(*[F.struct(*[v.cast("long").alias(k) for k, v in bounds(F.lit(k), c("_n")).items()]) for k in range(folds)])
+    sized = df.join(_sizes(df, keys).select(*keys, cuts.alias("_cuts")), list(keys))
+    named = [role(c("_cuts")[k]) for k in range(folds)]
+    uses = F.array_compact(F.array(*[
+        F.when(name.isNotNull(), F.struct(F.lit(k + 1).alias("fold"), name.alias("role"))) for k, name in enumerate(named)]))
     return sized.withColumn("_use", F.explode(uses)).select(*df.columns, "_use.fold", "_use.role")
 
 
@@ -39,17 +47,19 @@ def walk_forward(
     if folds < 1 or not 0 < train_fraction < 1 or embargo < 0:
         raise ValueError("need folds >= 1, train_fraction in (0, 1), embargo >= 0")
 
-    def role(k: Column, n: Column) -> Column:
+    def bounds(k: Column, n: Column) -> dict[str, Column]:
         size = F.floor(n / folds)
         start = k * size
         end = F.when(k == folds - 1, n).otherwise(start + size)
         train_end = start - embargo
         length = F.bround((end - start) * (train_fraction / (1 - train_fraction)))
-        train_start = F.lit(0) if anchored else F.greatest(F.lit(0), train_end - length)
-        valid = train_end > train_start
-        return F.when(valid & (c(idx) >= start) & (c(idx) < end), "test").when(valid & (c(idx) >= train_start) & (c(idx) < train_end), "train")
+        return {"a": start, "b": end, "ta": F.lit(0) if anchored else F.greatest(F.lit(0), train_end - length), "tb": train_end}
+
+    def role(x: Column) -> Column:
+        inside = lambda lo, hi: (c(idx) >= x[lo]) & (c(idx) < x[hi])
+        return F.when(x["tb"] > x["ta"], F.when(inside("a", "b"), "test").when(inside("ta", "tb"), "train"))
 
-    return _roles(df, keys, folds, role)
+    return _roles(df, keys, folds, bounds, role)
 
 
 def split_bounds(k: Column, n: Column, parts: int) -> tuple[Column, Column]:
@@ -73,11 +83,10 @@ def purged_kfold(
     if folds < 2 or embargo < 0:
         raise ValueError("need folds >= 2 and embargo >= 0")
 
-    def role(k: Column, n: Column) -> Column:
-        start, end = split_bounds(k, n, folds)
-        return F.when((c(idx) >= start) & (c(idx) < end), "test").when(~((c(idx) >= end) & (c(idx) < end + embargo)), "train")
+    def role(x: Column) -> Column:
+        return F.when((c(idx) >= x["a"]) & (c(idx) < x["b"]), "test").when(~((c(idx) >= x["b"]) & (c(idx) < x["b"] + embargo)), "train")
 
-    return _roles(df, keys, folds, role)
+    return _roles(df, keys, folds, lambda k, n: dict(zip("ab", split_bounds(k, n, folds))), role)
 
 
 def _add_months(day: date, months: int) -> date:

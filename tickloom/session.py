@@ -13,6 +13,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
@@ -43,6 +44,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+# Small row groups let readers split a file between tasks even where few tasks wrote it.
+ROW_GROUP = 8 * 1024 * 1024
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out to all shuffle partitions before each of them multiplies.
+
+    A small table of spans or series would otherwise be merged into one task, which then
+    explodes all of them alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`; a scratch one only if it names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -60,5 +74,6 @@ def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     prunes columns and pushes filters, and it outlives the executors that wrote it.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    writer = df.write.partitionBy(*partition_by).option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
