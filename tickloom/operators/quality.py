@@ -83,7 +83,7 @@ def missing_trading_days(bars: DataFrame, keys: Sequence[str] = ("symbol",), cal
     present = bars.select(*keys, F.to_date("time").alias("day")).distinct()
     span = present.groupBy(*keys).agg(F.min("day").alias("_a"), F.max("day").alias("_b"))
     days = spread(span, *keys).select(*keys, F.explode(F.sequence("_a", "_b")).alias("day"))
-    open_days = (calendar or market_calendar(bars)).filter("is_open").select("day")
+    open_days = (market_calendar(bars) if calendar is None else calendar).filter("is_open").select("day")
     return days.join(open_days, "day").join(present, [*keys, "day"], "left_anti")
 
 
@@ -96,7 +96,7 @@ def suspicious_gaps(
     stepped = over_chunks(
         bars.select(*keys, idx, "time"), lambda w: {"next_time": F.lead("time").over(w)}, after=1, keys=keys, idx=idx, chunk=chunk)
     long = stepped.withColumn("gap_seconds", epoch_seconds("next_time") - epoch_seconds("time")).filter(c("gap_seconds") > limit)
-    calendar = calendar or market_calendar(bars)
+    calendar = market_calendar(bars) if calendar is None else calendar
     side = lambda tag: calendar.select(c("day").alias(f"_{tag}"), c("is_open").alias(f"_{tag}_open"), c("open_before").alias(f"_{tag}_before"))
     placed = long.withColumns({"_a": F.to_date("time"), "_b": F.to_date("next_time")}).join(side("a"), "_a").join(side("b"), "_b")
     open_between = c("_b_before") - c("_a_before") - c("_a_open").cast("int")
