@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.outcomes import forward_path, free_after_cooldown, free_after_signal_cooldown, non_overlapping, r_outcomes, touch
 from tickloom.operators.scan import CHUNK, over_chunks
 from tickloom.schema import require_columns
-from tickloom.session import cut_lineage
+from tickloom.session import spread
 
 c = F.col
 COMPILED_RULES = 256
@@ -43,10 +43,9 @@ def enumerate_boxes(
     sub-interval of the column's range at least `min_width` of it wide.
     """
     keys = [group] if group else []
-    spark = ranges.sparkSession
     unit = lambda *parts: F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1_000_000_007)) / 1_000_000_007.0
-    ids = spark.range(boxes).withColumnRenamed("id", "box")
-    grid = ranges.crossJoin(ids)
+    numbers = F.sequence(F.lit(0), F.lit(boxes - 1)).cast("array<bigint>")
+    grid = spread(ranges, *keys, "column").withColumn("box", F.explode(numbers))
     per_box = Window.partitionBy(*keys, "box").orderBy(F.xxhash64(F.lit(seed), c("box"), c("column")), "column")
     wanted = least + F.floor(unit(c("box"), F.lit("size")) * (most - least + 1))
     low, high = unit(c("box"), c("column"), F.lit("a")), unit(c("box"), c("column"), F.lit("b"))
@@ -248,9 +247,10 @@ def fit_tree_discriminator(resolved: DataFrame, frame: DataFrame, columns: Seque
     return DecisionTreeClassifier(maxDepth=2, minInstancesPerNode=5, seed=42).fit(vectors.select("label", "features"))
 
 
-def expand_grid(spark, family: str, axes: dict[str, Sequence]) -> DataFrame:
-    """All parameter combinations of a signal family, with canonical JSON and a stable id."""
-    out = spark.range(1).select(F.lit(family).alias("lineage"))
+def expand_grid(base: DataFrame, family: str, axes: dict[str, Sequence]) -> DataFrame:
+    """All parameter combinations of a signal family for each row of `base` (a symbol, say),
+    with canonical JSON and a stable id."""
+    out = base.withColumn("lineage", F.lit(family))
     for name in sorted(axes):
         out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in axes[name]])))
     parameters = F.struct(*[c(n) for n in sorted(axes)])
@@ -260,7 +260,7 @@ def expand_grid(spark, family: str, axes: dict[str, Sequence]) -> DataFrame:
         "strategy_id": F.concat_ws("_", "lineage", F.substring(F.sha1(canonical), 1, 12))})
 
 
-def with_common_filters(grid: DataFrame, spark, directions: Sequence[str], sessions: Sequence[tuple[str, int, int]], volatility: Sequence[str]) -> DataFrame:
+def with_common_filters(grid: DataFrame, directions: Sequence[str], sessions: Sequence[tuple[str, int, int]], volatility: Sequence[str]) -> DataFrame:
     """Cross base parameter sets with direction mode, volatility filter and UTC session window."""
     windows = F.array(*[F.struct(F.lit(n).alias("session_name"), F.lit(a).alias("session_start_utc"), F.lit(b).alias("session_end_utc")) for n, a, b in sessions])
     return grid.withColumns({

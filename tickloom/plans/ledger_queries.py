@@ -350,9 +350,14 @@ def ruin(spark, folder):
     return rounded(M.ruin_by_horizon(M.long_run(_paths(spark, folder), 10_000.0, 0.05), [5, 10, 20, 40]))
 
 
-@query("m7_size_sweep")
+_SWEEP = _RACE.replace("pt AS (SELECT ix.strategy_id, p, s, dn.pnl, dn.o FROM ix", "pt AS (SELECT ix.strategy_id || '@' || sc.sc AS strategy_id, ix.strategy_id AS sid, sc.sc AS scale, p, s, dn.pnl * sc.sc AS pnl, dn.o FROM ix CROSS JOIN (SELECT unnest([0.25, 0.5, 1.0, 2.0]::DOUBLE[]) AS sc) sc").replace("JOIN dn USING (strategy_id, i)", "JOIN dn ON dn.strategy_id = ix.strategy_id AND dn.i = ix.i")
+
+
+@query("m7_size_sweep", f"""{_SWEEP} SELECT split_part(strategy_id, '@', 1) AS strategy_id, CAST(split_part(strategy_id, '@', 2) AS DOUBLE) AS scale, count(*) AS paths, count(*) FILTER (outcome = 'pass') AS passed,
+  round(count(*) FILTER (outcome = 'pass') / count(*) * 100, 4) AS pass_rate, round(coalesce(avg(days) FILTER (outcome = 'pass'), 0), 4) AS avg_days, round(quantile_cont(days, 0.5) FILTER (outcome = 'pass'), 4) AS days_p50 FROM rc GROUP BY 1, 2""")
 def size_sweep(spark, folder):
-    return rounded(M.race_summary(_race(spark, folder, scales=[0.25, 0.5, 1.0, 2.0])), 4)
+    out = M.race_summary(_race(spark, folder, scales=[0.25, 0.5, 1.0, 2.0]))
+    return rounded(out.select("strategy_id", "scale", "paths", "passed", "pass_rate", "avg_days", "days_p50"), 4)
 
 
 @query("m8_kelly", f"{_DENSE} SELECT strategy_id, round(avg(pnl) / var_pop(pnl), 9) AS kelly, round(avg(pnl) * avg(pnl) / (2 * var_pop(pnl)), 9) AS expected_growth FROM dn GROUP BY 1")

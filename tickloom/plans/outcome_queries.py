@@ -250,9 +250,9 @@ def tree_discriminator(spark, folder):
 def grid(spark, folder):
     """Signal families crossed with common filters, then with every quoted symbol."""
     symbols = S.ticks(spark, folder).select("symbol").distinct()
-    base = I.expand_grid(spark, "time_series_breakout", {"channel_bars": [20, 55, 96], "atr_stop": [1.0, 2.0], "atr_trail": [0.0, 3.0], "max_hold_bars": [48, 96]})
-    full = I.with_common_filters(base, spark, ["both", "long_only", "short_only"], [("all_day", 0, 24), ("asia_europe", 0, 12)], ["none", "h4_above_60d_median"])
-    return symbols.join(full).select("symbol", "strategy_id", "direction_mode", "volatility_filter", "session_name", "parameters")
+    base = I.expand_grid(symbols, "time_series_breakout", {"channel_bars": [20, 55, 96], "atr_stop": [1.0, 2.0], "atr_trail": [0.0, 3.0], "max_hold_bars": [48, 96]})
+    full = I.with_common_filters(base, ["both", "long_only", "short_only"], [("all_day", 0, 24), ("asia_europe", 0, 12)], ["none", "h4_above_60d_median"])
+    return full.select("symbol", "strategy_id", "direction_mode", "volatility_filter", "session_name", "parameters")
 
 
 def _quote_signals(spark, folder):

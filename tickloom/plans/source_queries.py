@@ -253,13 +253,18 @@ def sliding(spark, folder):
     return rounded(out.select("symbol", c("time").cast("timestamp_ntz").alias("time"), "high", "close", "tick_volume"))
 
 
-@query("b9_session_gap_bars")
+@query("b9_session_gap_bars", f"""WITH {sql.TICKS}, m AS (SELECT max(time) AS t FROM ticks), g AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY symbol ORDER BY time) < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS f FROM ticks),
+s AS (SELECT *, sum(f) OVER (PARTITION BY symbol ORDER BY time) AS k FROM g), b AS (SELECT symbol, k, min(time) AS time, max(time) AS last, round(arg_min(mid, time), 6) AS open, round(arg_max(mid, time), 6) AS close, count(*) AS tick_volume FROM s GROUP BY 1, 2)
+SELECT symbol, time, open, close, tick_volume FROM b, m WHERE last + INTERVAL 20 MINUTE <= t - INTERVAL 2 MINUTE""")
 def gap_bars(spark, folder):
     out = drain(B.session_gap_bars(tick_stream(spark, folder), "20 minutes"), spark)
     return rounded(out.select("symbol", c("time").cast("timestamp_ntz").alias("time"), "open", "close", "tick_volume"))
 
 
-@query("q1_streaming_first_touch")
+@query("q1_streaming_first_touch", f"""WITH {sql.TICKS}, sg AS (SELECT symbol, time, seq, CASE WHEN seq % 20 = 0 THEN 1 ELSE -1 END AS sd, CASE WHEN seq % 20 = 0 THEN ask ELSE bid END AS px, time + INTERVAL 12 HOUR AS dl FROM ticks WHERE seq % 10 = 0),
+h AS (SELECT s.symbol, s.seq, k.time, CASE sd WHEN 1 THEN k.bid ELSE k.ask END AS p, CASE WHEN k.time >= dl THEN 'max_hold' WHEN sd * (CASE sd WHEN 1 THEN k.bid ELSE k.ask END - (px - sd * 25)) <= 0 THEN 'stop_loss' WHEN sd * (CASE sd WHEN 1 THEN k.bid ELSE k.ask END - (px + sd * 25)) >= 0 THEN 'take_profit' END AS r
+  FROM sg s JOIN ticks k ON k.symbol = s.symbol AND k.time > s.time AND k.time < s.time + INTERVAL 72 HOUR)
+SELECT symbol, CAST(seq AS VARCHAR) AS signal_id, min(time) AS exit_time, round(arg_min(p, time), 6) AS exit_price, arg_min(r, time) AS exit_reason FROM h WHERE r IS NOT NULL GROUP BY symbol, seq""")
 def streaming_touch(spark, folder):
     """Every tenth quote opens a signal; the stream reports which level it touches first."""
     quotes = tick_stream(spark, folder)
