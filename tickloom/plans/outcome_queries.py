@@ -104,7 +104,15 @@ def sizes(spark, folder):
     return rounded(out.select("grp", "n_samples", "sl_pct", "tp_pct", "long_share", "direction"))
 
 
-@query("f7_f9_horizon_scores")
+_RUNS = ", ".join(f"""x{h} AS (SELECT b.*, lead(open) OVER {_O} AS en, max(high) OVER t AS h3, min(low) OVER t AS l3, max(high) OVER f AS hi, min(low) OVER f AS lo, list({{'h': high, 'l': low}}) OVER f AS ah FROM (SELECT *, high - low AS atr14 FROM bars) b
+  WINDOW t AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), f AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)),
+y{h} AS (SELECT *, h3 - en > en - l3 AS lg FROM x{h} WHERE en IS NOT NULL AND en <> 0 AND atr14 <> 0),
+z{h} AS (SELECT grp, CASE WHEN lg THEN (hi - en) / en ELSE (en - lo) / en END * close / (atr14 + 1e-9) >= 0.6 AND contains(array_to_string(list_transform(ah, lambda q: CASE WHEN CASE WHEN lg THEN q.h - en ELSE en - q.l END / (close + 1e-9) >= 0.3 * atr14 / close THEN '1' ELSE '0' END), ''), '1111') AS ok FROM y{h})""" for h in (5, 10, 20))
+
+
+@query("f7_f9_horizon_scores", f"""WITH {CANDLES}, {_RUNS}, s AS ({' UNION ALL '.join(f"SELECT {h} AS horizon, grp, count(*) AS n, avg(CAST(ok AS INTEGER)) AS share FROM z{h} GROUP BY 2" for h in (5, 10, 20))}),
+v AS (SELECT horizon, sum(share * n) / sum(n) * 100 AS score FROM s WHERE n >= 10 GROUP BY 1)
+SELECT CAST(horizon AS BIGINT) AS horizon, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 3) DESC, horizon) = 1 AS best FROM v""")
 def horizons(spark, folder):
     return rounded(L.horizon_scores(_with_range(candles(spark, folder)), "grp", [5, 10, 20], exact_threshold=False))
 
@@ -246,7 +254,11 @@ def tree_discriminator(spark, folder):
     return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("bars"))
 
 
-@query("i3_parameter_grid")
+@query("i3_parameter_grid", """
+WITH sy AS (SELECT DISTINCT event_type AS symbol FROM events), g AS (SELECT '{"atr_stop":' || s || ',"atr_trail":' || t || ',"channel_bars":' || b || ',"max_hold_bars":' || h || '}' AS parameters
+  FROM (SELECT unnest(['1.0', '2.0']) AS s), (SELECT unnest(['0.0', '3.0']) AS t), (SELECT unnest(['20', '55', '96']) AS b), (SELECT unnest(['48', '96']) AS h))
+SELECT symbol, 'time_series_breakout_' || substr(sha1('{"lineage":"time_series_breakout","parameters":' || parameters || '}'), 1, 12) AS strategy_id, direction_mode, volatility_filter, session_name, parameters
+FROM sy, g, (SELECT unnest(['both', 'long_only', 'short_only']) AS direction_mode), (SELECT unnest(['none', 'h4_above_60d_median']) AS volatility_filter), (SELECT unnest(['all_day', 'asia_europe']) AS session_name)""")
 def grid(spark, folder):
     """Signal families crossed with common filters, then with every quoted symbol."""
     symbols = S.ticks(spark, folder).select("symbol").distinct()

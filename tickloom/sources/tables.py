@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.bars import mid_as_bid_ask
 from tickloom.schema import require_columns
 
 c = F.col
@@ -88,14 +89,16 @@ def snake(name: str) -> str:
 TRADE_NAMES = {"net_p_l_usd": "profit", "net_p_l": "profit_pct", "profit_usd": "profit", "date_and_time": "date", "date_time": "date"}
 
 
-def chart_trades(raw: DataFrame, order: str, keys: Sequence[str] = ()) -> DataFrame:
+def chart_trades(raw: DataFrame, order: str, keys: Sequence[str]) -> DataFrame:
     """Closed trades of a chart platform's trade list: exit rows with the entry time before them.
 
-    `order` gives the file order of rows and `keys` name the file; a file is one list.
+    `order` gives the file order of rows and `keys` name the file; a file is one list, and
+    lists are read side by side.
     """
+    if not keys:
+        raise ValueError("name the columns that tell one trade list from another")
     renamed = raw.toDF(*[name if name in (*keys, order) else TRADE_NAMES.get(snake(name), snake(name)) for name in raw.columns])
     require_columns(renamed, ["type", "date", "profit"], "trade list")
-    from pyspark.sql import Window
     kind = F.lower("type")
     leaves = kind.rlike("exit|close|sell|cover")
     enters = kind.rlike("entry|buy|long|short") & ~leaves
@@ -186,7 +189,6 @@ def external_series(raw: DataFrame, kind: str, symbol: str, date_column: str = "
 
 def terminal_bars(raw: DataFrame) -> DataFrame:
     """Bars exported by a trading terminal: bid and ask stand at the one price given, spread zero."""
-    from tickloom.operators.bars import mid_as_bid_ask
     flat = bars_from_text(lowered(raw))
     flat = flat if "volume" in flat.columns else flat.withColumn("volume", F.lit(0.0))
     return mid_as_bid_ask(flat.withColumn("volume", F.coalesce("volume", F.lit(0.0)))).withColumn("real_volume", c("volume"))
