@@ -116,54 +116,74 @@ def non_overlapping(
     because greedy choices from different starts soon meet.  Chunks are reduced to that
     function in parallel, the functions are chained per key, and each chunk is then
     replayed from its known start.  Needs `free_at > start`.
+
+    Keys are dealt into lots, a few per shuffle partition, so that many small keys share an
+    Arrow batch; a lot's chunk never exceeds what one shuffle partition holds.
     """
     keys = list(keys)
-    chunked = trades.withColumn("_free", free_at.cast("long")).withColumn("_chunk", F.floor(c(start) / chunk).cast("long"))
-    chunked = cut_lineage(chunked)
+    lots = 4 * int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunked = cut_lineage(trades.withColumns({
+        "_free": free_at.cast("long"), "_chunk": F.floor(c(start) / chunk).cast("long"),
+        "_lot": F.pmod(F.xxhash64(*keys), F.lit(lots)).cast("int")}))
     fields = {f.name: f for f in chunked.schema}
     key_fields = [fields[k] for k in keys]
 
-    summary_schema = StructType([*key_fields, fields["_chunk"], StructField("limits", ArrayType(LongType())), StructField("outs", ArrayType(LongType()))])
+    def ordered(batch: pa.Table, then: str) -> tuple[pa.Table, np.ndarray]:
+        """Rows by key and `then`, and where each key begins (with the end as last entry)."""
+        batch = batch.sort_by([(name, "ascending") for name in [*keys, then]])
+        new = np.zeros(max(len(batch) - 1, 0), dtype=bool)
+        for name in keys:
+            values = batch[name].to_numpy(zero_copy_only=False)
+            new |= values[1:] != values[:-1]
+        return batch, np.r_[0, np.flatnonzero(new) + 1, len(batch)]
+
+    summary_schema = StructType([*key_fields, fields["_lot"], fields["_chunk"], StructField("limits", ArrayType(LongType())), StructField("outs", ArrayType(LongType()))])
     summary_arrow = to_arrow_schema(summary_schema)
 
     def reduce(batch: pa.Table) -> pa.Table:
-        batch = batch.sort_by(start)
-        limits, outs = _reduce_chunk(batch[start].to_numpy().astype(np.int64), batch["_free"].to_numpy())
-        head = {k: [batch[k][0].as_py()] for k in [*keys, "_chunk"]}
-        return pa.table({**head, "limits": [limits.tolist()], "outs": [outs.tolist()]}, schema=summary_arrow)
+        batch, begins = ordered(batch, start)
+        starts, frees = batch[start].to_numpy().astype(np.int64), batch["_free"].to_numpy()
+        pairs = [_reduce_chunk(starts[a:b], frees[a:b]) for a, b in zip(begins[:-1], begins[1:])]
+        out = batch.select([*keys, "_lot", "_chunk"]).take(pa.array(begins[:-1]))
+        for name, side in (("limits", 0), ("outs", 1)):
+            out = out.append_column(name, pa.array([pair[side].tolist() for pair in pairs], pa.list_(pa.int64())))
+        return out.cast(summary_arrow)
 
-    slim = chunked.select(*keys, "_chunk", start, "_free")
-    summary = slim.groupBy(*keys, "_chunk").applyInArrow(reduce, summary_schema)
+    slim = chunked.select(*keys, "_lot", "_chunk", start, "_free")
+    summary = slim.groupBy("_lot", "_chunk").applyInArrow(reduce, summary_schema)
 
     carry_schema = StructType([*key_fields, fields["_chunk"], StructField("_carry", LongType())])
     carry_arrow = to_arrow_schema(carry_schema)
 
     def chain(batch: pa.Table) -> pa.Table:
-        batch = batch.sort_by("_chunk")
-        free, carried = np.iinfo(np.int64).min, []
-        for limits, outs in zip(batch["limits"], batch["outs"]):
+        batch, begins = ordered(batch, "_chunk")
+        first, carried = set(begins.tolist()), []
+        for i, (limits, outs) in enumerate(zip(batch["limits"].to_pylist(), batch["outs"].to_pylist())):
+            free = np.iinfo(np.int64).min if i in first else free
             carried.append(free)
-            at = np.searchsorted(np.asarray(limits.values), free, side="left")
+            at = int(np.searchsorted(limits, free, side="left"))
             if at < len(outs):
-                free = outs[int(at)].as_py()
+                free = outs[at]
         return batch.select([*keys, "_chunk"]).append_column("_carry", pa.array(carried, pa.int64())).cast(carry_arrow)
 
-    carry = summary.groupBy(*keys).applyInArrow(chain, carry_schema)
+    carry = summary.groupBy("_lot").applyInArrow(chain, carry_schema)
     joined = chunked.join(carry, [*keys, "_chunk"])
     out_schema = joined.schema
     out_arrow = to_arrow_schema(out_schema)
 
     def replay(batch: pa.Table) -> pa.Table:
-        batch = batch.sort_by(start)
-        starts, frees = batch[start].to_numpy().astype(np.int64), batch["_free"].to_numpy()
-        following = np.searchsorted(starts, frees, side="left")
-        taken, at = [], int(np.searchsorted(starts, batch["_carry"][0].as_py(), side="left"))
-        while at < len(starts):
-            taken.append(at)
-            at = int(following[at])
+        batch, begins = ordered(batch, start)
+        starts, frees, carried = (batch[name].to_numpy().astype(np.int64) for name in (start, "_free", "_carry"))
+        taken: list[int] = []
+        for a, b in zip(begins[:-1], begins[1:]):
+            following = np.searchsorted(starts[a:b], frees[a:b], side="left")
+            at = int(np.searchsorted(starts[a:b], carried[a], side="left"))
+            while at < b - a:
+                taken.append(a + at)
+                at = int(following[at])
         return batch.take(pa.array(taken, pa.int64())).cast(out_arrow)
 
-    return joined.groupBy(*keys, "_chunk").applyInArrow(replay, out_schema).drop("_chunk", "_free", "_carry")
+    return joined.groupBy("_lot", "_chunk").applyInArrow(replay, out_schema).drop("_lot", "_chunk", "_free", "_carry")
 
 
 def bar_replay(
