@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +21,31 @@ RUNTIME_CONF = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers import it there; a cluster that installed the wheel
+    finds its own copy first.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root, packed = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            for path in sorted(root.rglob("*.py")):
+                archive.write(path, f"{root.name}/{path.relative_to(root)}")
+        place = Path(tempfile.mkdtemp(prefix=f"{root.name}-")) / f"{root.name}.zip"
+        place.write_bytes(packed.getvalue())
+        context.addPyFile(str(place))  # the driver serves the file; executors fetch it
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings every operator relies on (UTC clock, AQE)."""
+    ship(spark)
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
