@@ -23,7 +23,7 @@ from tickloom.llm.store import store
 from tickloom.llm.text import BLANK, SAME, U, Words, byte_class, mix, slices, span_hashes
 
 #: Good rows gathered to grow the trees, rows per tree, trees.  The sample is the only bounded part.
-SAMPLE, ROWS, TREES, SEED = 20_000, 256, 128, 11
+SAMPLE, ROWS, TREES, SEED = 20_000, 1024, 128, 11
 #: Base rules: fewest words, most percent of repeated words.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
 #: Paths are compared in steps of a hundredth.
@@ -31,12 +31,10 @@ STEP = 100
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-_UPPER, _DIGIT = byte_class((0x41, 0x5A)), byte_class((0x30, 0x39))
+_UPPER = byte_class((0x41, 0x5A))
 _MARK = byte_class((0x21, 0x21), (0x3F, 0x3F), (0x5B, 0x60), (0x7B, 0x7E))
-_END = np.zeros(256, dtype=bool)
-_END[[ord(c) for c in ".!?:;,"]] = True
 
-FEATURES = ["word_length", "symbol_share", "mark_share", "upper_share", "digit_share", "dup_line_share", "repeat_share", "distinct_share", "twin_share", "symbol_word_share"]
+FEATURES = ["word_length", "symbol_share", "mark_share", "upper_share", "dup_line_share", "symbol_word_share"]
 _STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -79,17 +77,11 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
     for k in range(3):
         cover[hit + k] = True
     out["n_repeat_words"] = per_words(cover[: len(hashes)])
-    own = np.repeat(np.arange(size), n)
-    alone = np.bincount((own[np.unique(mix(hashes + own.astype(np.uint64) * U(0x5851F42D4C957F2D)), return_index=True)[1]]), minlength=size)
-    twin = np.zeros(len(hashes), dtype=bool)
-    twin[1:] = (hashes[1:] == hashes[:-1]) & (own[1:] == own[:-1])
     least, chars = np.maximum(n, 1), np.maximum(out["word_chars"], 1)
     symbol_words = per_words(_SYMBOL[data[words.ends - 1]]) if len(hashes) else np.zeros(size)
     out |= {
         "word_length": out["word_chars"] / least, "symbol_share": out["n_symbols"] / least, "mark_share": per_text(_MARK[data]) / least, "upper_share": per_text(_UPPER[data]) / chars,
-        "digit_share": per_text(_DIGIT[data]) / chars, "dup_line_share": out["n_dup_lines"] / np.maximum(count, 1), "repeat_share": out["n_repeat_words"] / least,
-        # Distinct words fall with the length of any text: measured against the square root.
-        "distinct_share": alone / np.sqrt(least * np.minimum(least, 256)), "twin_share": per_words(twin) / least, "symbol_word_share": symbol_words / least}
+        "dup_line_share": out["n_dup_lines"] / np.maximum(count, 1), "symbol_word_share": symbol_words / least}
     return out
 
 

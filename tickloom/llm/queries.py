@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontaminate, html_extract, ngram_join, packing, pii, quality_forest, token_counts, url_rules
+from tickloom.llm import decontaminate, gru_lm, html_extract, ngram_join, packing, pii, quality_forest, suffix_dedup, token_counts, url_rules
 from tickloom.llm.store import table
 from tickloom.session import ship
 
@@ -36,6 +36,15 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("threshold")
 
 
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, folder, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(table(spark, folder, "documents"))
+    return found.drop("spans")
+
+
 def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.personal_spans(table(spark, folder, "documents")))
 
@@ -56,5 +65,5 @@ def shipped(function: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (
-    op1_ngram_jaccard_join, op2_decontamination, op3_token_counts, op4_html_extraction, op5_quality_rules, op8_personal_data, op9_best_fit_packing, op10_url_filters)}
+    op1_ngram_jaccard_join, op2_decontamination, op3_token_counts, op4_html_extraction, op5_quality_rules, op6_language_model, op7_suffix_dedup, op8_personal_data, op9_best_fit_packing, op10_url_filters)}
 ORACLES: dict[str, str] = {}
