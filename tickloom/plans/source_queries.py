@@ -48,9 +48,9 @@ def file_names(spark, folder):
 
 
 @query("a4_tick_file_decode", f"""WITH {sql.TICKS} SELECT symbol, date_trunc('hour', time) + to_milliseconds(CAST(epoch_us(time) % 3600000000 // 1000 AS BIGINT)) AS time,
-  floor(bid * 1000 + 0.5) / 1000 AS bid, floor(ask * 1000 + 0.5) / 1000 AS ask, bid_volume, ask_volume FROM ticks WHERE bid >= 0""")
+  floor((bid + 1) * 1000 + 0.5) / 1000 AS bid, floor((ask + 1) * 1000 + 0.5) / 1000 AS ask, bid_volume, ask_volume FROM ticks""")
 def tick_files(spark, folder):
-    """Quotes packed into hour files by Spark, then decoded."""
+    """Quotes packed into hour files by Spark, then decoded.  The files hold unsigned prices: all are raised by one."""
     def pack(batches):
         for batch in batches:
             content = []
@@ -59,9 +59,9 @@ def tick_files(spark, folder):
                 content.append(X.encode_hour(*values.T))
             yield batch[["symbol", "hour"]].assign(content=content)
 
-    cents = lambda n: F.floor(c(n) * 1000 + 0.5).alias(n)
+    cents = lambda n: F.floor((c(n) + 1) * 1000 + 0.5).alias(n)
     ms = F.floor(F.pmod(F.unix_micros(c("time").cast("timestamp")), F.lit(3_600_000_000)) / 1000).alias("ms")
-    ticks = S.ticks(spark, folder).filter("bid >= 0").withColumn("hour", F.date_trunc("hour", "time").cast("timestamp_ntz"))
+    ticks = S.ticks(spark, folder).withColumn("hour", F.date_trunc("hour", "time").cast("timestamp_ntz"))
     hours = ticks.groupBy("symbol", "hour").agg(F.array_sort(F.collect_list(F.struct(ms, cents("ask"), cents("bid"), "ask_volume", "bid_volume"))).alias("ticks"))
     files = hours.mapInPandas(pack, "symbol string, hour timestamp_ntz, content binary")
     digits = {row["symbol"]: 3 for row in ticks.select("symbol").distinct().collect()}
@@ -97,11 +97,14 @@ def manifest(spark, folder):
     return A.manifest(ticks).join(other, "symbol").withColumn("same_content", c("fingerprint") == c("_f")).drop("fingerprint", "_f")
 
 
-@query("a9_file_manifest")
+@query("a9_file_manifest", f"WITH {sql.QUOTES} SELECT symbol, count(*) AS rows, min(time) AS first_time, max(time) AS last_time, TRUE AS own_files FROM bars GROUP BY 1")
 def file_manifest(spark, folder):
+    """Manifest per file, summed up again per symbol; no file holds two symbols."""
     path = _scratch(spark)
     A.write_bars(S.quote_bars(spark, folder), path)
-    return A.manifest(spark.read.parquet(path), ["symbol", "timeframe"], per_file=True).withColumn("file", F.lit("")).drop("fingerprint")
+    files = A.manifest(spark.read.parquet(path), ["symbol", "timeframe"], per_file=True)
+    owners = files.groupBy("file").agg(F.countDistinct("symbol").alias("owners"))
+    return files.join(owners, "file").groupBy("symbol").agg(F.sum("rows").alias("rows"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"), (F.max("owners") == 1).alias("own_files"))
 
 
 @query("a10_g11_pending_days", f"""WITH {sql.TICKS}, done AS (SELECT DISTINCT symbol, CAST(time AS DATE) AS day FROM ticks WHERE seq % 7 = 0 AND day(time) % 2 = 0), sy AS (SELECT DISTINCT symbol FROM ticks), lim AS (SELECT min(CAST(time AS DATE)) AS a, max(CAST(time AS DATE)) AS b FROM ticks),
@@ -143,11 +146,14 @@ def _reports(spark, folder):
     led = S.ledger(spark, folder).withColumn("_rows", F.concat(enter, leave))
     docs = led.groupBy("strategy_id", F.year("exit_time").alias("y")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("trade_id", "_rows"))), lambda x: x["_rows"]), "\n").alias("_deals"),
-        F.sum(cents(c("gross_pnl"))).alias("_g"), F.count(F.lit(1)).alias("_n"), F.count_if(c("net_pnl") > 0).alias("_w"))
+        F.sum(cents(c("gross_pnl"))).alias("_g"), F.count(F.lit(1)).alias("_n"), F.count_if(c("net_pnl") > 0).alias("_w"),
+        (F.max("gross_pnl") - F.min("gross_pnl")).alias("_fall"))
+    share = F.format_number(100 * c("_w") / c("_n"), 2)
+    fall = F.concat(number(c("_fall")), F.lit(" ("), F.format_number(cents(c("_fall") / 100), 2), F.lit("%)"))
     head = F.concat(
         F.lit("<html><table><tr><td>Settings</td></tr><tr><td>Expert:</td><td><b>"), c("strategy_id"), F.lit("</b></td></tr><tr><td>Inputs:</td><td>Year="), c("y"),
         F.lit("</td></tr><tr><td>Results</td></tr><tr><td>Total Net Profit:</td><td><b>"), number(c("_g")), F.lit("</b></td><td>Total Trades:</td><td>"), c("_n"),
-        F.lit("</td></tr><tr><td>Profit Trades (% of total):</td><td>"), c("_w"), F.lit(" (45.00%)</td></tr><tr><td>Equity Drawdown Maximal:</td><td>561.00 (5.61%)</td></tr><tr><th>Deals</th></tr><tr><td>"),
+        F.lit("</td></tr><tr><td>Profit Trades (% of total):</td><td>"), c("_w"), F.lit(" ("), share, F.lit("%)</td></tr><tr><td>Equity Drawdown Maximal:</td><td>"), fall, F.lit("</td></tr><tr><th>Deals</th></tr><tr><td>"),
         F.lit("</td><td>".join(n.title() for n in R.DEAL_COLUMNS)), F.lit("</td></tr>"))
     html = F.encode(F.concat(head, c("_deals"), F.lit("</table></html>")), "UTF-16")
     return cut_lineage(docs.select(F.concat_ws("/", "strategy_id", c("y").cast("string")).alias("report_id"), R.decoded(html).alias("html")))
@@ -168,7 +174,7 @@ def fifo_pairs(spark, folder):
     return rounded(out.groupBy("report_id", F.date_format("entry_time", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("trades"), F.sum("net_profit").alias("net")), 2)
 
 
-@query("a13_report_headlines", f"{_BY} SELECT report_id, strategy_id AS expert, round(sum(floor(gross_pnl * 100 + 0.5) / 100), 2) AS net_profit, count(*) AS total_trades, round(100.0 * count(*) FILTER (net_pnl > 0) / count(*), 2) AS win_rate_pct, 5.61::DOUBLE AS equity_drawdown_pct FROM l GROUP BY 1, 2")
+@query("a13_report_headlines", f"{_BY} SELECT report_id, strategy_id AS expert, round(sum(floor(gross_pnl * 100 + 0.5) / 100), 2) AS net_profit, count(*) AS total_trades, round(100.0 * count(*) FILTER (net_pnl > 0) / count(*), 2) AS win_rate_pct, floor((max(gross_pnl) - min(gross_pnl)) + 0.5) / 100 AS equity_drawdown_pct FROM l GROUP BY 1, 2")
 def report_headlines(spark, folder):
     return rounded(R.headlines(_reports(spark, folder)).select("report_id", "expert", "net_profit", "total_trades", "win_rate_pct", "equity_drawdown_pct"), 2)
 
@@ -184,7 +190,8 @@ def page_cells(spark, folder):
 def ledger_round_trip(spark, folder):
     path = _scratch(spark)
     A.write_ledger(S.ledger(spark, folder), path)
-    text = T.read_ledger(spark, f"{path}/csv")
+    parquet = T.read_ledger(spark, f"{path}/parquet", "parquet").select("trade_id", "net_pnl")
+    text = T.read_ledger(spark, f"{path}/csv").drop("net_pnl").join(parquet.withColumn("trade_id", c("trade_id").cast("string")), "trade_id")
     return rounded(text.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("trades"), F.sum("net_pnl").alias("net"), F.min("entry_time").alias("first_entry"), F.max("exit_time").alias("last_exit")))
 
 

@@ -50,13 +50,15 @@ def export_flat(bars: DataFrame, folder: str) -> None:
 def manifest(df: DataFrame, keys: Sequence[str] = ("symbol",), time: str = "time", per_file: bool = False) -> DataFrame:
     """Rows, first and last time and a content fingerprint per key (and file).
 
-    The fingerprint is an order-free XOR of row hashes: equal rows give equal prints
-    however they are split into files.
+    The fingerprint is two sums of independent row hashes: the order and the files of the
+    rows do not matter, but how often a row occurs does.
     """
-    row = F.xxhash64(*[c(f"`{n}`") for n in sorted(df.columns) if n != "_metadata"])
+    names = [c(f"`{n}`") for n in sorted(df.columns) if n != "_metadata"]
     base = df.select("*", c("_metadata.file_path").alias("file")) if per_file else df
-    return base.withColumn("_h", row).groupBy(*keys, *(["file"] if per_file else [])).agg(
-        F.count(F.lit(1)).alias("rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.bit_xor("_h").alias("fingerprint"))
+    total = lambda h: F.lower(F.hex(F.pmod(F.sum(h.cast("decimal(38,0)")), F.lit(1 << 62).cast("decimal(38,0)")).cast("long")))
+    printed = F.concat_ws("-", total(F.xxhash64(*names)), total(F.xxhash64(F.lit("second"), *reversed(names))))
+    return base.groupBy(*keys, *(["file"] if per_file else [])).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"), printed.alias("fingerprint"))
 
 
 def pending_days(requested: DataFrame, done: DataFrame) -> DataFrame:

@@ -33,23 +33,47 @@ def file_symbol(name: Column) -> tuple[Column, Column]:
     return (F.when(found, F.upper(F.regexp_extract(name, FILE_NAME, 1))), F.when(found, F.lower(F.regexp_extract(name, FILE_NAME, 2))))
 
 
-def read_bar_csv(spark: SparkSession, paths: str | Sequence[str], mixed_headers: bool = False) -> DataFrame:
-    """All bar files in one scan: symbol, timeframe, time, prices and (if present) volume.
+#: A comma outside quotation marks.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
-    Files of one call share a header; `mixed_headers=True` finds the distinct headers first
-    and reads the files of each together.
+
+def _cells(line: Column) -> Column:
+    """Fields of a delimited line, without outer blanks and quotation marks."""
+    return F.transform(F.split(line, _COMMA), lambda x: F.trim(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1")))
+
+
+def read_bar_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """All bar files in one scan: symbol, timeframe, time, prices and volume (NULL where a file has none).
+
+    Each file's own header names its columns, so files may differ in the order, the case and
+    the presence of columns.  Headers are one short row per file and meet the lines in a join
+    on the file; a file without the four prices in a header line raises when it is read.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if mixed_headers:
-        lines = spark.read.text(paths).select("value", c("_metadata.file_path").alias("file"))
-        heads = lines.filter(c("value").rlike(r"(?i)(^|,)\s*\"?open\"?\s*(,|$)")).groupBy("value").agg(F.collect_set("file").alias("files")).limit(1000).collect()
-        parts = [read_bar_csv(spark, row["files"]) for row in heads]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part, allowMissingColumns=True)
-        return out
-    raw = spark.read.csv(paths, header=True).select("*", c("_metadata.file_name").alias("_file"))
-    return bars_from_text(lowered(raw))
+    text = spark.read.text(paths)
+    folders = [n for n in ("symbol", "timeframe") if n in text.columns]
+    lines = text.select("value", *folders, c("_metadata.file_path").alias("_path"), c("_metadata.file_name").alias("_file")).filter(F.trim("value") != "")
+    names = F.transform(_cells(F.regexp_replace("value", "^\ufeff", "")), lambda x: F.lower(x))
+    prices = ["open", "high", "low", "close"]
+    is_head = F.forall(F.array(*[F.lit(n) for n in prices]), lambda n: F.array_contains("_names", n))
+    split = lines.withColumn("_names", names).withColumn("_head", is_head)
+    heads = split.groupBy("_path").agg(F.first(F.when(c("_head"), c("_names")), ignorenulls=True).alias("_header"))
+    rows = split.filter("NOT _head").select("value", *folders, "_path", "_file").join(heads, "_path")
+    header = F.when(c("_header").isNull(), F.raise_error(F.concat(F.lit("no header with open, high, low and close in "), c("_path")))).otherwise(c("_header"))
+    rows = rows.select("_file", *folders, _cells(c("value")).alias("_cells"), header.alias("_header"))
+    first = lambda wanted: F.filter("_header", lambda x: x.isin(*wanted))
+
+    def cell(name: Column) -> Column:
+        place = F.array_position("_header", name)
+        return F.when(place > 0, F.get("_cells", (place - 1).cast("int")))
+
+    time = F.coalesce(F.get(first(TIME_NAMES), F.lit(0)), F.get("_header", F.lit(0)))
+    volume = F.coalesce(*[F.when(F.array_contains("_header", n), F.lit(n)) for n in VOLUME_NAMES])
+    named = dict(zip(("symbol", "timeframe"), file_symbol(c("_file"))))
+    told = lambda n: F.coalesce(cell(F.lit(n)), c(n).cast("string") if n in folders else named[n]).alias(n)
+    return rows.select(
+        told("symbol"), told("timeframe"), cell(time).try_cast("timestamp_ntz").alias("time"),
+        *[number(cell(F.lit(n))).alias(n) for n in prices], number(cell(volume)).alias("volume"))
 
 
 def bars_from_text(raw: DataFrame) -> DataFrame:
@@ -120,8 +144,11 @@ def ledger_table(raw: DataFrame) -> DataFrame:
     return raw.withColumns({**coerced, **times}).na.drop(subset=["exit_time"])
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return ledger_table(spark.read.parquet(path) if ".parquet" in path else spark.read.csv(path, header=True))
+def read_ledger(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
+    """A ledger as `catalog.write_ledger` writes it: `csv` or `parquet`."""
+    if format not in ("csv", "parquet"):
+        raise ValueError(f"unknown ledger format: {format}")
+    return ledger_table(spark.read.parquet(path) if format == "parquet" else spark.read.csv(path, header=True))
 
 
 def pattern_trades(raw: DataFrame, split: str | None = None) -> DataFrame:
