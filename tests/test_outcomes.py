@@ -108,7 +108,7 @@ def test_bar_replay_equals_loop(spark, bars_pdf, trail):
     table = spark.createDataFrame(pdf)
     signals = table.select("symbol", "bar_idx", "signal_direction", F.lit("s").alias("strategy_id"), F.lit(1.0).alias("stop_distance"), F.lit(1.5).alias("target_distance"),
                            F.lit(0.0).alias("signal_target_price"), F.lit(trail).alias("trail_atr"), F.lit(9).alias("max_hold_bars"))
-    got = J.bar_replay(table, signals, 9, chunk=100).toPandas()
+    got = J.bar_replay(table, signals, chunk=100).toPandas()
     for symbol, g in pdf.groupby("symbol"):
         want = replay_one(g.reset_index(drop=True), g.signal_direction.to_numpy(), 9, trail)
         mine = got[got.symbol == symbol].sort_values("entry_idx")

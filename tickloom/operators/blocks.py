@@ -44,10 +44,17 @@ class Need:
         self.quantiles: dict[str, RollingQuantile] = {}
         self.carries: dict[str, Column] = {}
         self.marks: dict[str, Column] = {}
+        self.meanings: dict[str, object] = {}
         self.levels = False
         self.before = 0
 
+    def _once(self, name: str, meaning: object) -> None:
+        """One helper name must always mean one thing."""
+        if self.meanings.setdefault(name, meaning) != meaning:
+            raise ValueError(f"helper column {name} is registered with two meanings")
+
     def day(self, name: str, value: Column) -> Column:
+        self._once(name, str(value))
         self.daily[name] = value
         return c(name)
 
@@ -67,16 +74,19 @@ class Need:
         return c(name)
 
     def quantile(self, name: str, spec: RollingQuantile) -> Column:
+        self._once(name, spec)
         self.quantiles[name] = spec
         self.before = max(self.before, spec.rows + spec.shift)
         return c(name)
 
     def carry(self, name: str, value: Column) -> Column:
+        self._once(name, str(value))
         self.carries[name] = value
         return c(name)
 
     def recently(self, name: str, condition: Column, rows: int) -> Column:
         """Whether a condition on carried columns held on one of the `rows` bars before this one."""
+        self._once(name, str(condition))
         self.marks[name] = condition
         return c(self.idx) - c(name) <= rows
 
@@ -363,7 +373,7 @@ def breaker_block(need: Need, p: Params, side: str) -> Column:
     rows = _i(p, "retest_bars", 8)
     low, high = order_zone(need, "short" if side == "long" else "long", _i(p, "ob_lookback", 5), _f(p, "displacement_atr", 1.4))
     broken = c("close") > high if side == "long" else c("close") < low
-    name = f"_broken_{side}_{rows}_{_i(p, 'ob_lookback', 5)}"
+    name = f"_broken_{side}_{rows}_{_i(p, 'ob_lookback', 5)}_{_f(p, 'displacement_atr', 1.4)!r}".replace(".", "d")
     retest = c("low") <= high if side == "long" else c("high") >= low
     return need.recently(name, broken, rows) & retest
 
@@ -395,7 +405,7 @@ def volatility_regime(need: Need, p: Params, side: str) -> Column:
     mode = str(p.get("mode", "expansion"))
     if mode == "compression":
         q = _f(p, "quantile", 0.25)
-        return c("bb_width") <= need.quantile(f"_width_q{int(q * 1000)}_50", RollingQuantile("bb_width", 200, q, 50))
+        return c("bb_width") <= need.quantile(f"_width_q{q!r}_50".replace(".", "d"), RollingQuantile("bb_width", 200, q, 50))
     if mode == "high_vol_kill":
         return need.value("rng_atr") <= _f(p, "max_rng_atr", 3.0)
     return need.value("rng_atr") >= _f(p, "min_rng_atr", 1.0)
@@ -507,7 +517,7 @@ def grammar_columns(need: Need, spec: Params) -> dict[str, Column]:
     stop = unit * _f(spec, "atr_stop", 1.0)
     if str(spec.get("stop_mode", "atr")) == "structure":
         high, low = swings(need, 2, 2)
-        bound = lambda x: F.least(F.greatest(x, unit * 0.5), stop * 2.0)
+        bound = lambda x: F.when(x.isNotNull(), F.least(F.greatest(x, unit * 0.5), stop * 2.0))
         side_stop = F.when(direction > 0, bound(F.abs(c("close") - low))).when(direction < 0, bound(F.abs(high - c("close"))))
         stop = F.when(direction == 0, stop).otherwise(side_stop)
     return {

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tickloom.functions.columns import truth
-from tickloom.operators.scan import CHUNK, over_chunks
+from tickloom.operators.scan import CHUNK, asof_join, over_chunks
 from tickloom.session import cut_lineage
 
 c = F.col
@@ -187,16 +187,18 @@ def non_overlapping(
 
 
 def bar_replay(
-    bars: DataFrame, signals: DataFrame, max_hold: int, lots: float = 0.1, contract: float = 100.0,
+    bars: DataFrame, signals: DataFrame, lots: float = 0.1, contract: float = 100.0,
     commission_per_lot: float = 0.0, slippage: float = 0.0,
     keys: Sequence[str] = ("strategy_id", "symbol"), idx: str = "bar_idx", chunk: int = CHUNK,
 ) -> DataFrame:
     """Closed trades of bid/ask bars: next-bar entry, stop first, target, trailing stop, max hold.
 
     `signals` has one row per (strategy, bar) with `signal_direction`, `stop_distance`,
-    `target_distance`, `signal_target_price`, `trail_atr` and `max_hold_bars`, none larger
-    than `max_hold`; `bars` carries `atr14`.  Long trades exit on the bid, short ones on the ask.
+    `target_distance`, `signal_target_price`, `trail_atr` and `max_hold_bars`; `bars` carries
+    `atr14`.  Long trades exit on the bid, short ones on the ask.  Bars are looked ahead as far
+    as the longest hold asked for.
     """
+    max_hold = max(1, signals.agg(F.max("max_hold_bars")).first()[0] or 1)
     sides = [f"{s}_{p}" for s in ("bid", "ask") for p in ("open", "high", "low", "close")]
     symbol = [k for k in keys if k in bars.columns]
     steps = F.struct(c("time").alias("t"), c("bid_high").alias("bh"), c("bid_low").alias("bl"), c("bid_close").alias("bc"),
@@ -252,20 +254,6 @@ def bar_replay(
     return non_overlapping(rows, keys, free_after_exit())
 
 
-def money_booking(
-    trades: DataFrame, lots: float, contract: float, commission_per_lot: float = 0.0, spread: str | None = None,
-) -> DataFrame:
-    """Money columns from `side`, prices and times: P&L, risk, R multiple, hold, spread cost."""
-    commission = commission_per_lot * lots
-    gross = c("side") * (c("exit_price") - c("entry_price")) * lots * contract
-    risk = F.abs(c("entry_price") - c("stop_price")) * lots * contract + commission
-    out = trades.withColumns({
-        "gross_pnl": gross, "commission": F.lit(float(commission)), "net_pnl": gross - commission, "initial_risk": risk,
-        "r_multiple": F.when(risk > 0, (gross - commission) / risk).otherwise(0.0),
-        "hold_seconds": (F.unix_micros(c("exit_time").cast("timestamp")) - F.unix_micros(c("entry_time").cast("timestamp"))) / 1e6})
-    return out.withColumn("spread_cost", c(spread) * lots * contract) if spread else out
-
-
 def pnl_points(trades: DataFrame) -> Column:
     """P&L in points by the first of: pnl_pts; r_multiple and sl_pts; outcome with sl/tp_pts; else 0."""
     names = set(trades.columns)
@@ -279,9 +267,39 @@ def pnl_points(trades: DataFrame) -> Column:
     return F.lit(0.0)
 
 
+def _first_crossing(placed: DataFrame, bars: DataFrame, keys: Sequence[str], crosses: Column, idx: str, cell: int) -> DataFrame:
+    """Keys, `entry_id` and `_t`, the start of the first bar after the entry bar that `crosses`.
+
+    Bars are summed up per cell of `cell` bars (a cell crosses if one of its bars does), and
+    entries walk over cells in steps that grow eightfold, so the search has no end but the
+    data's and entries that are done drop out.  Bars are read for two cells of an entry at most.
+    """
+    names = [*keys, "entry_id"]
+    own = F.floor(c("entry_idx") / cell).cast("long")
+    flat = bars.withColumn("_cell", F.floor(c(idx) / cell).cast("long"))
+    cells = flat.groupBy(*keys, "_cell").agg(*[f(n).alias(n) for n, f in (("bl", F.min), ("bh", F.max), ("al", F.min), ("ah", F.max), ("t", F.max))])
+    last = cells.groupBy(*keys).agg(F.max("_cell").alias("_last"))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        met = rows.join(flat, [*keys, "_cell"]).filter((c(idx) > c("entry_idx")) & crosses)
+        return met.groupBy(*names).agg(F.min_by("t", idx).alias("_t"))
+
+    found = cut_lineage(inside(placed.withColumn("_cell", own)))
+    todo = cut_lineage(placed.join(found, names, "left_anti").withColumn("_own", own).join(last, list(keys)))
+    begin, wide = 1, 8
+    while todo.limit(1).count():
+        ahead = todo.withColumn("_cell", F.explode(F.sequence(c("_own") + begin, c("_own") + (begin + wide - 1))))
+        reached = ahead.join(cells, [*keys, "_cell"]).filter(crosses).groupBy(*names).agg(F.min("_cell").alias("_cell"))
+        hit = cut_lineage(inside(todo.join(reached, names)))
+        found = found.unionByName(hit)
+        begin, wide = begin + wide, wide * 8
+        todo = cut_lineage(todo.join(hit, names, "left_anti").filter(c("_own") + begin <= c("_last")))
+    return found
+
+
 def tick_first_touch(
-    entries: DataFrame, ticks: DataFrame, bars: DataFrame, bar_seconds: int, max_bars: int,
-    keys: Sequence[str] = ("symbol",), slippage: float = 0.0, idx: str = "bar_idx", chunk: int = CHUNK,
+    entries: DataFrame, ticks: DataFrame, bars: DataFrame, bar_seconds: int,
+    keys: Sequence[str] = ("symbol",), slippage: float = 0.0, idx: str = "bar_idx", cell: int = 256,
 ) -> DataFrame:
     """Exit of each entry on the exact tick: bid less slippage for long, ask plus slippage for short.
 
@@ -289,28 +307,22 @@ def tick_first_touch(
     `entry_price`, `stop_price`, `target_price` and `deadline` (NULL for none).  A bar whose
     extremes stay inside the levels and that ends before the deadline cannot hold the exit,
     so ticks are read for the entry bar, for the first later bar that can, and for the first
-    bar after the deadline (the bar around it may end before it in ticks), and for no other.  An entry with no exit within `max_bars` bars or before the data ends comes back
-    as "open" with the last bar searched.
+    bar after the deadline (the bar around it may end before it in ticks), and for no other.
+    An entry without an exit leaves at the last tick ("end_of_data"), or is "open" if no tick follows it.
     """
     keys = list(keys)
-    step = F.struct(c(idx).alias("i"), F.unix_micros(c("time").cast("timestamp")).alias("t"), c("bid_high").alias("bh"),
-                    c("bid_low").alias("bl"), c("ask_high").alias("ah"), c("ask_low").alias("al"))
-    ahead = over_chunks(
-        bars.select(*keys, idx, "time", "bid_high", "bid_low", "ask_high", "ask_low"),
-        lambda w: {"_path": F.collect_list(step).over(w.rowsBetween(1, max_bars)), "_now": step},
-        after=max_bars, keys=keys, idx=idx, chunk=chunk).select(*keys, c(idx).alias("entry_idx"), "_path", "_now")
+    flat = bars.select(*keys, idx, F.unix_micros(c("time").cast("timestamp")).alias("t"), c("bid_high").alias("bh"),
+                       c("bid_low").alias("bl"), c("ask_high").alias("ah"), c("ask_low").alias("al"))
     side = c("side")
-
-    def crosses(x: Column) -> Column:
-        long = (x["bl"] - slippage <= c("stop_price")) | (x["bh"] - slippage >= c("target_price"))
-        short = (x["ah"] + slippage >= c("stop_price")) | (x["al"] + slippage <= c("target_price"))
-        late = truth(x["t"] + bar_seconds * 1_000_000 > F.unix_micros(c("deadline").cast("timestamp")))
-        return F.when(side > 0, long).otherwise(short) | late
-
-    placed = entries.join(ahead, [*keys, "entry_idx"])
-    first = F.get(F.filter("_path", crosses), F.lit(0))["t"]
-    after = F.get(F.filter("_path", lambda x: truth(x["t"] >= F.unix_micros(c("deadline").cast("timestamp")))), F.lit(0))["t"]
-    searched = placed.withColumn("_bar", F.explode(F.array_distinct(F.array_compact(F.array(c("_now.t"), first, after))))).drop("_path", "_now")
+    long = (c("bl") - slippage <= c("stop_price")) | (c("bh") - slippage >= c("target_price"))
+    short = (c("ah") + slippage >= c("stop_price")) | (c("al") + slippage <= c("target_price"))
+    overdue = truth(c("t") + bar_seconds * 1_000_000 > F.unix_micros(c("deadline").cast("timestamp")))
+    placed = entries.select(*keys, "entry_id", "entry_idx", "entry_time", "side", "stop_price", "target_price", "deadline")
+    first = _first_crossing(placed, flat, keys, F.when(side > 0, long).otherwise(short) | overdue, idx, cell)
+    now = placed.join(flat.select(*keys, c(idx).alias("entry_idx"), c("t").alias("_t")), [*keys, "entry_idx"]).select(*keys, "entry_id", "_t")
+    after = asof_join(placed.filter(c("deadline").isNotNull()), bars.select(*keys, "time", F.unix_micros(c("time").cast("timestamp")).alias("t")), ["t"], keys, "deadline", direction="forward", prefix="_")
+    starts = now.unionByName(first.select(*keys, "entry_id", "_t")).unionByName(after.filter(c("_t").isNotNull()).select(*keys, "entry_id", "_t")).distinct()
+    searched = placed.join(starts, [*keys, "entry_id"]).withColumnRenamed("_t", "_bar")
     micros = F.unix_micros(c("time").cast("timestamp"))
     quotes = ticks.select(*keys, c("time").alias("tick_time"), "bid", "ask", (micros - F.pmod(micros, F.lit(bar_seconds * 1_000_000))).alias("_bar"))
     met = searched.join(quotes, [*keys, "_bar"]).filter(c("tick_time") > c("entry_time"))
@@ -322,4 +334,10 @@ def tick_first_touch(
     hits = met.withColumns({"exit_reason": reason, "exit_price": price}).filter(c("exit_reason").isNotNull())
     found = hits.groupBy(*keys, "entry_id").agg(
         F.min("tick_time").alias("exit_time"), F.min_by("exit_price", "tick_time").alias("exit_price"), F.min_by("exit_reason", "tick_time").alias("exit_reason"))
-    return entries.join(found, [*keys, "entry_id"], "left").withColumn("exit_reason", F.coalesce("exit_reason", F.lit("open")))
+    ends = ticks.groupBy(*keys).agg(F.max("time").alias("_end"), F.max_by("bid", "time").alias("_bid"), F.max_by("ask", "time").alias("_ask"))
+    out = entries.join(found, [*keys, "entry_id"], "left").join(ends, keys, "left")
+    closed = c("exit_reason").isNull() & (c("_end") > c("entry_time"))
+    last = F.when(side > 0, c("_bid") - slippage).otherwise(c("_ask") + slippage)
+    return out.withColumns({
+        "exit_time": F.when(closed, c("_end")).otherwise(c("exit_time")), "exit_price": F.when(closed, last).otherwise(c("exit_price")),
+        "exit_reason": F.when(closed, "end_of_data").otherwise(F.coalesce("exit_reason", F.lit("open")))}).drop("_end", "_bid", "_ask")

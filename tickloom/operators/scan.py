@@ -180,13 +180,27 @@ def exp_smooth(
 
     Within a chunk the recursion is a scaled running sum.  What enters a chunk is the
     response at the end of the chunks before it; terms below 2**-60 of their start
-    weight cannot change a double and are left out, so few chunks look back.  Inputs
-    must be non-null from row `start` of each key on.
+    weight cannot change a double and are left out, so few chunks look back.  A smoother so
+    quick that its weights leave the range of a double within a chunk runs over shorter
+    chunks.  Inputs must be non-null from row `start` of each key on.
     """
     keys = list(keys)
+    quick = {n: s for n, s in smoothers.items() if s.alpha < 1 and -math.log1p(-s.alpha) * chunk > 650}
+    if quick:
+        held = df.withColumnRenamed("_chunk", "_held_chunk")
+        short = min(int(600 / -math.log1p(-s.alpha)) for s in quick.values())
+        out = exp_smooth(held, quick, keys, idx, short).withColumnRenamed("_held_chunk", "_chunk")
+        slow = {n: s for n, s in smoothers.items() if n not in quick}
+        out = exp_smooth(out, slow, keys, idx, chunk, keep_chunk) if slow else _chunked(out, idx, chunk) if keep_chunk else out.drop("_chunk")
+        return out
     position = F.col(idx) % chunk
     base = _chunked(df, idx, chunk)
 
+    copies = {n: F.when(F.col(idx) >= s.start, F.col(s.column)) for n, s in smoothers.items() if s.alpha >= 1}
+    smoothers = {n: s for n, s in smoothers.items() if n not in copies}
+    if not smoothers:
+        return base.withColumns(copies).drop(*([] if keep_chunk else ["_chunk"]))
+
     def weighted(s: Smoother) -> Column:
         weight = F.when(F.col(idx) == s.start, F.lit(1.0)).otherwise(F.lit(s.alpha))
         return F.when(F.col(idx) >= s.start, weight * F.col(s.column))
@@ -194,9 +208,7 @@ def exp_smooth(
     ends, carries = {}, {}
     along = Window.partitionBy(*keys).orderBy("_chunk")
     for name, s in smoothers.items():
-        log_decay = math.log1p(-s.alpha) if s.alpha < 1 else -700.0
-        if -log_decay * chunk > 650:
-            raise ValueError(f"chunk {chunk} is too long for alpha {s.alpha}; use at most {int(650 / -log_decay)}")
+        log_decay = math.log1p(-s.alpha)
         ends[name] = F.sum(weighted(s) * F.exp(F.lit(log_decay) * (chunk - 1 - position)))
         look_back = int(math.ceil(_DOUBLE_BITS * math.log(2) / -log_decay / chunk)) + 1
         carries[name] = sum(
@@ -211,12 +223,12 @@ def exp_smooth(
     inside = Window.partitionBy(*keys, "_chunk").orderBy(idx)
     columns = {}
     for name, s in smoothers.items():
-        log_decay = math.log1p(-s.alpha) if s.alpha < 1 else -700.0
+        log_decay = math.log1p(-s.alpha)
         local = F.sum(weighted(s) * F.exp(F.lit(-log_decay) * position)).over(inside) * F.exp(F.lit(log_decay) * position)
         carried = F.col(f"_carry_{name}") * F.exp(F.lit(log_decay) * (position + 1))
         columns[name] = F.when(F.col(idx) >= s.start, local + carried)
     return (
-        base.join(summary, [*keys, "_chunk"]).withColumns(columns)
+        base.join(summary, [*keys, "_chunk"]).withColumns({**columns, **copies})
         .drop(*([] if keep_chunk else ["_chunk"]), *[f"_carry_{name}" for name in smoothers])
     )
 

@@ -78,7 +78,7 @@ def trend_pullback(need: Need, p: Params):
 @register_family
 def volatility_expansion(need: Need, p: Params):
     rows, q = int(p["lookback"]), float(p["squeeze_quantile"])
-    threshold = need.quantile(f"_squeeze_{int(q * 1000)}", RollingQuantile("bb_width", 200, q, 100, shift=1))
+    threshold = need.quantile(f"_squeeze_{q!r}".replace(".", "d"), RollingQuantile("bb_width", 200, q, 100, shift=1))
     ready = (need.lag("bb_width") <= threshold) & (c("vol_ratio") >= float(p["volume_ratio"]))
     opposed = lambda side: ~truth(c("h1_trend") < 0) if side == "long" else ~truth(c("h1_trend") > 0)
     return ready & (c("close") > prior_high(need, rows)) & opposed("long"), ready & (c("close") < prior_low(need, rows)) & opposed("short"), \

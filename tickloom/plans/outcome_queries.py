@@ -291,7 +291,25 @@ SELECT symbol, signal_time, entry_time, exit_reason, CAST(held - 1 AS BIGINT) AS
 @query("j2_j7_bar_replay", _REPLAY)
 def replay(spark, folder):
     bars, signals = _quote_signals(spark, folder)
-    out = J.bar_replay(bars, signals, 6, commission_per_lot=7.0)
+    out = J.bar_replay(bars, signals, commission_per_lot=7.0)
+    return out.select("symbol", "signal_time", "entry_time", "exit_reason", c("hold_bars").cast("long").alias("hold_bars"), F.round("entry_price", 6).alias("entry_price"),
+                      F.round("exit_price", 6).alias("exit_price"), F.round("net_pnl", 4).alias("net_pnl"))
+
+
+_LONG = _REPLAY.replace("BETWEEN e.bar_idx + 1 AND e.bar_idx + 7)", "BETWEEN e.bar_idx + 1 AND e.bar_idx + mh + 1)").replace("WHEN n = 7 THEN", "WHEN n = mh + 1 THEN").replace(
+    "en AS (SELECT s.symbol, s.bar_idx,", "en AS (SELECT s.symbol, s.bar_idx, CASE s.bar_idx % 4 WHEN 0 THEN 5 WHEN 1 THEN 60 WHEN 2 THEN 200 ELSE 500 END AS mh,").replace(
+    "any_value(sd) AS sd,", "any_value(sd) AS sd, any_value(mh) AS mh,").replace("<= en - 20", "<= en - 150").replace(">= en + 20", ">= en + 150").replace(">= en + 30", ">= en + 250").replace("<= en - 30", "<= en - 250").replace(
+    "en - sd * 20", "en - sd * 150").replace("en + sd * 30", "en + sd * 250").replace("coalesce(kg, 99)", "coalesce(kg, 9999)")
+
+
+@query("j2_long_hold_replay", _LONG)
+def long_replay(spark, folder):
+    """Holds from 5 to 500 bars side by side, with levels that are seldom reached."""
+    bars, signals = _quote_signals(spark, folder)
+    turn = c("bar_idx") % 4
+    signals = signals.withColumns({
+        "max_hold_bars": F.when(turn == 0, 5).when(turn == 1, 60).when(turn == 2, 200).otherwise(500), "stop_distance": F.lit(150.0), "target_distance": F.lit(250.0)})
+    out = J.bar_replay(bars, signals, commission_per_lot=7.0)
     return out.select("symbol", "signal_time", "entry_time", "exit_reason", c("hold_bars").cast("long").alias("hold_bars"), F.round("entry_price", 6).alias("entry_price"),
                       F.round("exit_price", 6).alias("exit_price"), F.round("net_pnl", 4).alias("net_pnl"))
 
@@ -299,19 +317,34 @@ def replay(spark, folder):
 @query("j4_trailing_stop_replay")
 def trailing(spark, folder):
     bars, signals = _quote_signals(spark, folder)
-    out = J.bar_replay(bars, signals.withColumn("trail_atr", F.lit(0.5)), 6)
+    out = J.bar_replay(bars, signals.withColumn("trail_atr", F.lit(0.5)))
     return rounded(out.select("symbol", "entry_time", "exit_time", "exit_reason", "hold_bars", "net_pnl"), 4)
 
 
-@query("j8_tick_first_touch", f"""
+_TOUCH = f"""
 WITH {sql.QUOTES}, en AS (SELECT b.symbol, b.bar_idx + 1 AS entry_idx, n.time AS t0, t.time AS entry_time, CASE WHEN b.close > b.open THEN 1 ELSE -1 END AS sd, t.bid, t.ask FROM bars b JOIN bars n ON n.symbol = b.symbol AND n.bar_idx = b.bar_idx + 1
   ASOF JOIN ticks t ON t.symbol = n.symbol AND n.time <= t.time),
-lv AS (SELECT *, CASE sd WHEN 1 THEN ask - 25 ELSE bid + 25 END AS st, CASE sd WHEN 1 THEN ask + 25 ELSE bid - 25 END AS tg, entry_time + INTERVAL 20 HOUR AS dl FROM en),
+lv AS (SELECT *, CASE sd WHEN 1 THEN ask - REACH ELSE bid + REACH END AS st, CASE sd WHEN 1 THEN ask + REACH ELSE bid - REACH END AS tg, DEADLINE AS dl FROM en),
 hit AS (SELECT l.symbol, l.entry_idx, k.time, CASE sd WHEN 1 THEN k.bid ELSE k.ask END AS px, CASE WHEN k.time >= dl THEN 'max_hold' WHEN CASE sd WHEN 1 THEN k.bid <= st ELSE k.ask >= st END THEN 'stop_loss' WHEN CASE sd WHEN 1 THEN k.bid >= tg ELSE k.ask <= tg END THEN 'take_profit' END AS reason
-  FROM lv l JOIN ticks k ON k.symbol = l.symbol AND k.time > l.entry_time AND k.time < l.entry_time + INTERVAL 60 HOUR),
-f AS (SELECT symbol, entry_idx, min(time) AS exit_time, arg_min(px, time) AS px, arg_min(reason, time) AS reason FROM hit WHERE reason IS NOT NULL GROUP BY 1, 2)
-SELECT l.symbol, l.entry_idx, l.entry_time, f.exit_time, round(px, 6) AS exit_price, coalesce(reason, 'open') AS exit_reason FROM lv l LEFT JOIN f USING (symbol, entry_idx)""")
+  FROM lv l JOIN ticks k ON k.symbol = l.symbol AND k.time > l.entry_time),
+f AS (SELECT symbol, entry_idx, min(time) AS exit_time, arg_min(px, time) AS px, arg_min(reason, time) AS reason FROM hit WHERE reason IS NOT NULL GROUP BY 1, 2),
+z AS (SELECT symbol, max(time) AS zt, arg_max(bid, time) AS zb, arg_max(ask, time) AS za FROM ticks GROUP BY 1)
+SELECT l.symbol, l.entry_idx, l.entry_time, CASE WHEN reason IS NULL AND zt > l.entry_time THEN zt ELSE f.exit_time END AS exit_time, round(CASE WHEN reason IS NULL AND zt > l.entry_time THEN CASE sd WHEN 1 THEN zb ELSE za END ELSE px END, 6) AS exit_price,
+  CASE WHEN reason IS NULL AND zt > l.entry_time THEN 'end_of_data' ELSE coalesce(reason, 'open') END AS exit_reason FROM lv l LEFT JOIN f USING (symbol, entry_idx) LEFT JOIN z ON z.symbol = l.symbol"""
+
+
+@query("j8_tick_first_touch", _TOUCH.replace("DEADLINE", "entry_time + INTERVAL 20 HOUR").replace("REACH", "25"))
 def tick_touch(spark, folder):
+    return _touched(spark, folder, 25, F.expr("INTERVAL 20 HOURS"))
+
+
+@query("j8_tick_exit_to_end", _TOUCH.replace("DEADLINE", "CAST(NULL AS TIMESTAMP)").replace("REACH", "200"))
+def tick_exit_to_end(spark, folder):
+    """Wide levels and no deadline: many entries end with the data."""
+    return _touched(spark, folder, 200, None)
+
+
+def _touched(spark, folder, reach, limit):
     bars, ticks = S.quote_bars(spark, folder), S.ticks(spark, folder)
     led = over_chunks(bars, lambda w: {"_next": F.lead("time").over(w)}, after=1).filter("_next IS NOT NULL")
     filled = asof_join(led, ticks, ["time", "bid", "ask"], left_time="_next", direction="forward", prefix="fill_", bucket_seconds=3600)
@@ -319,8 +352,9 @@ def tick_touch(spark, folder):
     price = F.when(side > 0, c("fill_ask")).otherwise(c("fill_bid"))
     entries = filled.select(
         "symbol", (c("bar_idx") + 1).alias("entry_idx"), (c("bar_idx") + 1).alias("entry_id"), c("fill_time").alias("entry_time"), side.alias("side"),
-        price.alias("entry_price"), (price - side * 25).alias("stop_price"), (price + side * 25).alias("target_price"), (c("fill_time") + F.expr("INTERVAL 20 HOURS")).alias("deadline"))
-    out = J.tick_first_touch(entries, ticks, bars, 3600, 60)
+        price.alias("entry_price"), (price - side * reach).alias("stop_price"), (price + side * reach).alias("target_price"),
+        (F.lit(None).cast("timestamp_ntz") if limit is None else c("fill_time") + limit).alias("deadline"))
+    out = J.tick_first_touch(entries, ticks, bars, 3600)
     return rounded(out.select("symbol", "entry_idx", "entry_time", "exit_time", "exit_price", "exit_reason"))
 
 

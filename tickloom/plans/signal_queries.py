@@ -112,13 +112,13 @@ def further_blocks(spark, folder):
 
 
 @query("h26_h28_block_combination", f"""
-{_FR}, v AS (SELECT *, {_flag('close > lsh AND c1 <= lsh')} + {_flag('rsi14 > 50 AND low <= ema20 + 0.5 * atr14 AND close > ema20')} + {_flag('low > h2')} AS lv, {_flag('close < lsl AND c1 >= lsl')} + {_flag('high >= ema20 - 0.5 * atr14 AND close < ema20 AND rsi14 < 50')} + {_flag('high < l2')} AS sv FROM k),
+{_FR}, kk AS (SELECT * REPLACE (coalesce(last_value(nullif(atr14, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx), 1.0) AS atr14) FROM k), v AS (SELECT *, {_flag('close > lsh AND c1 <= lsh')} + {_flag('rsi14 > 50 AND low <= ema20 + 0.5 * atr14 AND close > ema20')} + {_flag('low > h2')} AS lv, {_flag('close < lsl AND c1 >= lsl')} + {_flag('high >= ema20 - 0.5 * atr14 AND close < ema20 AND rsi14 < 50')} + {_flag('high < l2')} AS sv FROM kk),
 g AS (SELECT *, CASE WHEN sv >= 1 THEN -1 WHEN lv >= 1 THEN 1 ELSE 0 END AS dir, least(greatest(CASE WHEN sv >= 1 THEN abs(lsh - close) WHEN lv >= 1 THEN abs(close - lsl) END, atr14 * 0.5), 3 * atr14) AS st FROM v)
-SELECT symbol, time, CAST(dir AS BIGINT) AS signal_direction, round(CASE WHEN dir = 0 THEN 1.5 * atr14 WHEN CASE WHEN dir < 0 THEN lsh ELSE lsl END IS NOT NULL THEN st END, 6) AS stop_distance FROM g WHERE bar_idx > 20""")
+SELECT symbol, time, CAST(dir AS BIGINT) AS signal_direction, round(CASE WHEN dir = 0 THEN 1.5 * atr14 WHEN CASE WHEN dir < 0 THEN lsh ELSE lsl END IS NOT NULL THEN st END, 6) AS stop_distance FROM g""")
 def combination(spark, folder):
     spec = {"rule_blocks": [{"name": "market_structure_shift"}, {"name": "trend_pullback"}, {"name": "fvg", "mode": "new"}], "block_logic": "vote", "min_block_votes": 1,
             "stop_mode": "structure", "atr_stop": 1.5, "reward_risk": 2.0}
-    out = H.grammar_signals(signal_frame(spark, folder), spec).filter("bar_idx > 20")
+    out = H.grammar_signals(signal_frame(spark, folder), spec)
     return rounded(out.select("symbol", "time", "signal_direction", "stop_distance"))
 
 

@@ -261,12 +261,6 @@ def regime_summary(spark, folder):
                               "failed_breakout_rate", "spike_reversal_rate"))
 
 
-@query("e12_group_weights")
-def group_weights(spark, folder):
-    out = E.long_regime_summary(daily_frame(spark, folder), S.daily_bars(spark, folder))
-    return rounded(out.select("symbol", "regime_label", "active_hours", *[n for n in out.columns if n.startswith("weight_")]))
-
-
 @query("d22_trend_score", f"""
 {sql.smoothed(_H1_H4)}, s AS (SELECT symbol, time, lag(CASE WHEN close > open THEN 1 WHEN close < open THEN -1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY time) AS t FROM slow)
 SELECT f.symbol, f.time, CAST(trend = 1 AS BIGINT) + coalesce(CAST(s.t = 1 AS BIGINT), 0) AS mtf_bull_score, CAST(trend = -1 AS BIGINT) + coalesce(CAST(s.t = -1 AS BIGINT), 0) AS mtf_bear_score

@@ -84,9 +84,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`; a scratch one only if it names none."""
+    """The folder the cluster names in `spark.checkpoint.dir`.
+
+    Executors write there and others read it, so on a cluster nothing else will do and a missing
+    setting raises.  In local mode driver and executors are one process: a scratch folder serves.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tickloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
