@@ -46,7 +46,7 @@ def test_documents(spark):
 
 
 def test_threshold():
-    assert best_threshold([(10, 0, 5), (20, 5, 0)]) == 16
+    assert best_threshold([(10, 0, 5), (20, 5, 0)]) == 15
     assert best_threshold([]) == 0 and best_threshold([(5, 3, 0)]) == 0
 
 
