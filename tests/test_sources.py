@@ -137,3 +137,18 @@ def test_stream_reports_first_touch(spark, tmp_path):
     signals = stream.filter("second(time) = 0").select("symbol", "time", F.lit("up").alias("signal_id"), F.lit(1).alias("side"), F.lit(95.0).alias("stop_price"), F.lit(101.0).alias("target_price"), F.lit(None).cast("timestamp").alias("deadline"))
     rows = drain(first_touch_stream(touch_events(signals, stream, shards=2)), spark, tmp_path, "touched").collect()
     assert [(r.signal_id, r.exit_price, r.exit_reason) for r in rows] == [("up", 101.5, "take_profit")]
+
+
+def test_stream_drops_late_quotes_and_keeps_deadlines(spark, tmp_path):
+    """Three triggers: a quote far behind the watermark must not close anything; a deadline passes without a quote of its symbol."""
+    first = quotes(spark, [("2026-01-01 00:00:00", 100.0, 100.1), ("2026-01-01 02:00:00", 100.2, 100.3)])
+    second = quotes(spark, [("2026-01-01 00:05:00", 90.0, 90.1), ("2026-01-01 02:01:00", 100.4, 100.5)])
+    third = quotes(spark, [("2026-01-01 09:00:00", 50.0, 50.1)]).withColumn("symbol", F.lit("Y"))
+    path = str(tmp_path / "q")
+    for part in (first, second, third):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    opening = stream.filter("hour(time) = 0 AND minute(time) = 0")
+    signals = opening.select("symbol", "time", F.lit("s").alias("signal_id"), F.lit(1).alias("side"), F.lit(95.0).alias("stop_price"), F.lit(200.0).alias("target_price"), F.lit("2026-01-01 05:00:00").cast("timestamp").alias("deadline"))
+    rows = drain(first_touch_stream(touch_events(signals, stream)), spark, tmp_path, "late_touch").collect()
+    assert [(r.signal_id, r.exit_price, r.exit_reason) for r in rows] == [("s", 100.4, "max_hold")]

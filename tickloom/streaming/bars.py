@@ -23,8 +23,18 @@ def on_clock(ticks: DataFrame, lateness: str) -> DataFrame:
 
 
 def streaming_bars(ticks: DataFrame, timeframe: str, lateness: str = "2 minutes", keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Tumbling bars; a late quote within `lateness` still counts, a later one is dropped."""
-    return _bars(on_clock(ticks, lateness), F.window("time", f"{minutes_of(timeframe)} minutes"), keys)
+    """Tumbling bars; a late quote within `lateness` still counts, a later one is dropped.
+
+    As in the batch form, of quotes that a key has at one moment only the latest by `seq`
+    counts; without that column the first to arrive.
+    """
+    clocked = on_clock(ticks, lateness)
+    if "seq" in ticks.columns:
+        rest = [n for n in ticks.columns if n not in (*keys, "time", "seq")]
+        single = clocked.groupBy(*keys, "time").agg(*[F.max_by(n, "seq").alias(n) for n in rest])
+    else:
+        single = clocked.dropDuplicatesWithinWatermark([*keys, "time"])
+    return _bars(single, F.window("time", f"{minutes_of(timeframe)} minutes"), keys)
 
 
 def sliding_bars(ticks: DataFrame, length: str, slide: str, lateness: str = "2 minutes", keys: Sequence[str] = ("symbol",)) -> DataFrame:
