@@ -104,24 +104,27 @@ def _correlation(x: Column, y: Column, width: int) -> Column:
 
 
 def refine_by_shape(
-    rows: DataFrame, group: str = "group_id", width: int = 5, least: float = 0.75, max_groups: int = 2000,
+    rows: DataFrame, group: str = "group_id", width: int = 5, least: float = 0.75, block: int = 500,
     keys: Sequence[str] = ("symbol",), idx: str = "bar_idx", chunk: int = CHUNK,
 ) -> DataFrame:
     """Move each row to the group whose mean shape it follows best, if the correlation reaches `least`.
 
-    Mean shapes use all members of a group.  Their number is checked before they are
-    attached to every row as one array.
+    Mean shapes use all members of a group.  They are dealt into blocks of about `block`
+    groups; a row meets the blocks one array at a time, and the best of the blocks counts.
     """
     shaped = over_chunks(rows, relative_shape(width), before=width, keys=keys, idx=idx, chunk=chunk)
     usable = shaped.filter(~F.exists("shape", lambda x: x.isNull()))
     means = usable.groupBy(group).agg(*[F.avg(c("shape")[i]).alias(f"m{i}") for i in range(width)]).select(
         c(group).alias("g"), F.array(*[f"m{i}" for i in range(width)]).alias("m"))
-    if means.limit(max_groups + 1).count() > max_groups:
-        raise ValueError(f"more than {max_groups} groups; shapes are compared with every group")
-    table = means.agg(F.array_sort(F.collect_list(F.struct("g", "m"))).alias("_means"))
-    scored = usable.join(F.broadcast(table)).withColumn(
+    blocks = max(1, -(-means.count() // block))
+    table = means.groupBy(F.pmod(F.xxhash64("g"), F.lit(blocks)).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("g", "m"))).alias("_means"))
+    met = usable.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(table, "_block")
+    scored = met.withColumn(
         "_best", F.array_max(F.transform("_means", lambda x: F.struct(F.coalesce(_correlation(c("shape"), x["m"], width), F.lit(-2.0)).alias("r"), (-x["g"]).alias("g")))))
-    better = scored.withColumn("refined_group", F.when(c("_best.r") >= least, -c("_best.g")).otherwise(c(group))).drop("_best", "_means", "shape")
+    if blocks > 1:
+        rest = [n for n in usable.columns if n not in (*keys, idx)]
+        scored = scored.groupBy(*keys, idx).agg(F.max("_best").alias("_best"), *[F.first(n).alias(n) for n in rest]).withColumn("_means", F.lit(None))
+    better = scored.withColumn("refined_group", F.when(c("_best.r") >= least, -c("_best.g")).otherwise(c(group))).drop("_best", "_means", "_block", "shape")
     return better
 
 
