@@ -290,7 +290,13 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shared = suffixes.repartition(partitions(spark, total, 500_000), "gram").mapInArrow(_shared, "gram long, k1 long, k2 long, place long, low long, high long")
     found = store(shared.distinct(), "shared")
     often = store(found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram", F.lit(True).alias("hot")), "hot")
-    lists = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "place", "low", "high")).alias("found"))
+    # A text that repeats itself, or a row that is repeated, needs no shared anchor to lose bytes.
+    again = facts.groupBy("k1", "k2", "n_bytes").agg(F.count("*").alias("n")).where(f"n > 1 AND n_bytes >= {length}")
+    alone = facts.where("size(own) > 0").select("k1", "k2", F.explode("own").alias("s")).select("k1", "k2", F.col("s")[0].alias("begin"), F.col("s")[1].alias("end"))
+    alone = alone.union(again.select("k1", "k2", F.lit(0).cast("long"), F.col("n_bytes")))
+    place = F.struct("gram", "place", "low", "high")
+    touched = found.select("k1", "k2", place.alias("f")).union(alone.select("k1", "k2", F.lit(None).cast("struct<gram:bigint,place:bigint,low:bigint,high:bigint>")).distinct())
+    lists = touched.groupBy("k1", "k2").agg(F.collect_list("f").alias("found"))
     texts = store(base.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "found"), "texts")
     around = texts.mapInArrow(_contexts(length), "k1 long, k2 long, gram long, place long, low long, high long, lead binary, suffix binary, prefix binary")
     held = found.count()
@@ -306,16 +312,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
         hits = None
     spans = around.repartitionByRange(parts, "lead").mapInArrow(_match(length), "k1 long, k2 long, begin long, end long")
     spans = spans.union(hits) if hits is not None else spans
-    spans = spans.union(facts.where("size(own) > 0").select("k1", "k2", F.explode("own").alias("s")).select("k1", "k2", F.col("s")[0].alias("begin"), F.col("s")[1].alias("end")))
-    again = facts.groupBy("k1", "k2", "n_bytes").agg(F.count("*").alias("n")).where(f"n > 1 AND n_bytes >= {length}")
-    spans = spans.union(again.select("k1", "k2", F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))
-    per = store(spans.groupBy("k1", "k2").agg(F.collect_list(F.array("begin", "end")).alias("spans")), "spans")
-    # Texts whose repeats are all inside themselves have no shared anchor; they are few and fetched apart.
-    rest = per.join(texts.select("k1", "k2"), ["k1", "k2"], "left_anti")
-    source = texts.select("k1", "k2", "text")
-    if rest.limit(1).count():
-        source = source.union(base.join(rest.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", "text"))
-    cut = source.join(per, ["k1", "k2"]).mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>").dropDuplicates(["k1", "k2"])
+    per = spans.union(alone).groupBy("k1", "k2").agg(F.collect_list(F.array("begin", "end")).alias("spans"))
+    cut = texts.select("k1", "k2", "text").join(per, ["k1", "k2"]).mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>").dropDuplicates(["k1", "k2"])
     out = facts.select("id", "k1", "k2", "n_bytes", "sha").join(cut, ["k1", "k2"], "left")
     return out.select(
         F.col("id").alias(id_column), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
