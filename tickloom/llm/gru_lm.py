@@ -36,9 +36,9 @@ FREQUENT, INNER, TAIL = 1024, 32, 32
 HEADS = FREQUENT // INNER
 HIDDEN, WINDOW, LANES, SCORE_LANES = 16, 24, 128, 768
 #: Tokens that one task scores at a time, and tokens of a training sequence: longer texts train as several.
-AT_ONCE, PIECE = 3_000_000, 1024
+AT_ONCE, PIECE = 2_000_000, 1024
 #: Training: one in SHARE training documents, rounds of averaging, step size.
-SHARE, ROUNDS, RATE, SEED = 16, 2, 0.01, 5
+SHARE, ROUNDS, RATE, SEED = 8, 2, 0.01, 5
 #: Tail occurrences in a bucket of the count.
 BUCKET = 1_500_000
 END = U(0x1B873593CC9E2D51)
