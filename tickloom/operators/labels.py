@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import full, non_zero
 from tickloom.operators.outcomes import forward_path, touch
+from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.scan import CHUNK, over_chunks
 
 c = F.col
@@ -135,18 +136,18 @@ def stop_target_sizes(
     """
     floor = lambda x: F.greatest(x, F.lit(0.0002))
     aggregates = [
-        F.count(F.lit(1)).alias("n_samples"), floor(F.percentile("fwd_mae", F.lit(stop_quantile))).alias("sl_pct"),
-        floor(F.percentile("fwd_mfe", F.lit(target_quantile))).alias("tp_pct"), F.avg("fwd_long").alias("long_share"),
-        F.avg("fwd_sustained").alias("sustained_share")]
+        F.count(F.lit(1)).alias("n_samples"), F.avg("fwd_long").alias("long_share"), F.avg("fwd_sustained").alias("sustained_share")]
     if excess:
         aggregates.append(F.avg(excess).alias("_excess"))
-    out = moves.groupBy(group).agg(*aggregates).filter(c("n_samples") >= minimum)
+    sizes = exact_quantiles(moves, [group], {"_sl": ("fwd_mae", stop_quantile), "_tp": ("fwd_mfe", target_quantile)})
+    out = moves.groupBy(group).agg(*aggregates).filter(c("n_samples") >= minimum).join(sizes, group)
+    out = out.select(group, "n_samples", floor(c("_sl")).alias("sl_pct"), floor(c("_tp")).alias("tp_pct"), *[n for n in out.columns if n not in (group, "n_samples", "_sl", "_tp")])
     side = (c("_excess") >= 0) if excess else (c("long_share") >= 0.5)
     out = out.withColumn("direction", F.when(side, "LONG").otherwise("SHORT"))
     if barrier_moves is not None:
-        sized = barrier_moves.groupBy(group).agg(
-            F.count("stop_dist").alias("_ns"), F.count("target_dist").alias("_nt"),
-            floor(F.percentile("stop_dist", F.lit(0.5))).alias("_s"), floor(F.percentile("target_dist", F.lit(0.5))).alias("_t"))
+        medians = exact_quantiles(barrier_moves, [group], {"_s": ("stop_dist", 0.5), "_t": ("target_dist", 0.5)})
+        sized = barrier_moves.groupBy(group).agg(F.count("stop_dist").alias("_ns"), F.count("target_dist").alias("_nt")).join(medians, group)
+        sized = sized.withColumns({"_s": floor(c("_s")), "_t": floor(c("_t"))})
         enough = (c("_ns") >= 3) & (c("_nt") >= 3)
         out = out.join(sized, group, "left").withColumns({
             "sl_pct": F.when(enough, c("_s")).otherwise(c("sl_pct")), "tp_pct": F.when(enough, c("_t")).otherwise(c("tp_pct")),

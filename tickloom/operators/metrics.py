@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip, two_sided_z, wilson_lower, wilson_upper
 from tickloom.operators.bars import period_keys
+from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.scan import running
 
 c = F.col
@@ -303,7 +304,8 @@ def overview(metrics: DataFrame) -> DataFrame:
 
 def group_profile(frame: DataFrame, group: str, medians: Sequence[str], modes: Sequence[str]) -> DataFrame:
     """Typical bar of each group: medians of numbers, most frequent value (smallest on a tie) of codes."""
-    base = frame.groupBy(group).agg(F.count(F.lit(1)).alias("bars"), *[F.percentile(n, F.lit(0.5)).alias(f"{n}_median") for n in medians])
+    middle = exact_quantiles(frame, [group], {f"{n}_median": (n, 0.5) for n in medians})
+    base = frame.groupBy(group).agg(F.count(F.lit(1)).alias("bars")).join(middle, group)
     for name in modes:
         counts = frame.groupBy(group, name).agg(F.count(F.lit(1)).alias("_n"))
         top = counts.groupBy(group).agg(F.min(F.struct((-c("_n")).alias("n"), c(name).alias("v"))).alias("_t")).select(group, c("_t.v").alias(f"{name}_mode"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import market_closed
 from tickloom.operators.bars import minutes_of
+from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.scan import CHUNK, epoch_seconds, over_chunks, with_position
 from tickloom.schema import require_columns
 from tickloom.session import cut_lineage, spread
@@ -155,9 +156,9 @@ def feature_parity(
     close = (gap <= absolute) | (gap <= relative * F.abs("a"))
     return long.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"), F.max(gap).alias("max_abs_diff"), F.avg(gap).alias("mean_abs_diff"),
-        F.percentile(gap, F.lit(0.99)).alias("p99_abs_diff"), F.avg(close.cast("int")).alias("within_share"),
+        F.avg(close.cast("int")).alias("within_share"),
         F.min("a").alias("min_a"), F.max("a").alias("max_a"), F.min("b").alias("min_b"), F.max("b").alias("max_b"),
-    ).withColumn("passed", c("within_share") >= share)
+    ).join(exact_quantiles(long.withColumn("_gap", gap), ["column"], {"p99_abs_diff": ("_gap", 0.99)}), "column").withColumn("passed", c("within_share") >= share)
 
 
 def ledger_difference(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.outcomes import forward_path, free_after_cooldown, free_after_signal_cooldown, non_overlapping, r_outcomes, touch
+from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.scan import CHUNK, over_chunks
 from tickloom.schema import require_columns
 from tickloom.session import spread
@@ -29,8 +30,7 @@ def column_ranges(
     """The usual range of each column within a group: where boxes are searched."""
     keys = ([group] if group else [])
     long = stacked(frame, columns, keys).filter("value IS NOT NULL")
-    spread = F.percentile("value", F.array(*[F.lit(q) for q in quantiles]))
-    return long.groupBy(*keys, "column").agg(spread.alias("_q")).select(*keys, "column", c("_q")[0].alias("lo"), c("_q")[1].alias("hi"))
+    return exact_quantiles(long, [*keys, "column"], {"lo": ("value", quantiles[0]), "hi": ("value", quantiles[1])}).select(*keys, "column", "lo", "hi")
 
 
 def enumerate_boxes(
@@ -218,8 +218,9 @@ def fit_discriminator(
         (c("long_outcome") == "stop") & (c("short_outcome") == "target"), 0)).filter("_long IS NOT NULL")
     values = stacked(decided.join(frame.drop(group), [*keys, idx]), columns, [group, "_long"]).filter("value IS NOT NULL")
     levels = [p / 100 for p in range(20, 85, 5)]
-    limits = values.groupBy(group, "column").agg(
-        F.count(F.lit(1)).alias("n_bars"), F.percentile("value", F.array(*[F.lit(x) for x in levels])).alias("_q")).filter(c("n_bars") >= min_rows)
+    counts = values.groupBy(group, "column").agg(F.count(F.lit(1)).alias("n_bars")).filter(c("n_bars") >= min_rows)
+    cuts = exact_quantiles(values, [group, "column"], {f"_q{i}": ("value", x) for i, x in enumerate(levels)})
+    limits = counts.join(cuts, [group, "column"]).select(group, "column", "n_bars", F.array(*[f"_q{i}" for i in range(len(levels))]).alias("_q"))
     grid = limits.select(group, "column", "n_bars", F.posexplode("_q").alias("_step", "thresh"))
     # Accuracy of all thresholds from one count per (threshold, label): 13 thresholds ride in an array.
     counted = values.join(limits, [group, "column"]).select(
