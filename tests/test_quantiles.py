@@ -14,3 +14,21 @@ def test_equal_to_numpy_with_ties_and_narrow_brackets(spark):
         assert got["none"].b is None
         for k, v in parts.items():
             assert np.allclose([got[k].a, got[k].b, got[k].z], np.quantile(v, [0.05, 0.5, 0.999]))
+
+
+def test_one_deal_of_rows_for_curves(spark):
+    """Plans without adaptive rewriting: the shuffled rows serve the summary and the folds."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tickloom.operators.metrics import drawdowns
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        ledger = spark.range(100).select(F.lit("s").alias("strategy_id"), F.col("id").alias("trade_id"), F.timestamp_seconds(F.col("id") * 90_000).alias("exit_time"), F.sin("id").alias("net_pnl"))
+        text = plan(drawdowns(ledger, 1000.0))
+        assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning", text)) <= 4 and text.count("Range (") == 1 and "ReusedExchange" in text
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

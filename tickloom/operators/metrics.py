@@ -45,16 +45,24 @@ def equity_curve(
 ) -> DataFrame:
     """Equity after each trade, the peak before it (initial balance included) and the drawdown.
 
-    Folds one (strategy, bucket of the order) at a time, day by day unless told otherwise.
+    Folds one (strategy, bucket of the order) at a time, day by day unless told otherwise: sum
+    and highest partial sum of a bucket are all that later buckets need of it.
     """
+    keys = list(keys)
     bucket = F.datediff(F.to_date(order[0]), F.lit("1970-01-01").cast("date")) if bucket is None else bucket
-    curve = running(ledger, {"equity": ("sum", c(pnl))}, keys, order, bucket)
-    curve = curve.withColumn("equity", c("equity") + initial_balance)
-    curve = running(curve, {"_peak": ("max", c("equity"))}, keys, order, bucket)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = ledger.withColumn("_bucket", bucket).repartition(*keys, "_bucket").withColumn("_sum", F.coalesce(F.sum(pnl).over(inside), F.lit(0.0)))
+    base = base.withColumn("_top", F.max("_sum").over(inside))
+    summary = base.groupBy(*keys, "_bucket").agg(F.sum(F.coalesce(c(pnl), F.lit(0.0))).alias("_total"), F.max("_sum").alias("_high"))
+    summary = summary.withColumn("_carry", F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
+    summary = summary.withColumn("_past", F.max(c("_carry") + c("_high")).over(before)).select(*keys, "_bucket", "_carry", "_past")
+    curve = base.join(summary, [*keys, "_bucket"])
     # The peak before a trade: if the trade itself made the top, it has no drawdown anyway.
-    peak = F.greatest(c("_peak"), F.lit(float(initial_balance)))
-    drawdown = peak - c("equity")
-    return curve.withColumns({"peak": peak, "drawdown": drawdown, "drawdown_pct": F.when(peak > 0, drawdown / peak * 100).otherwise(0.0)}).drop("_peak")
+    equity = F.lit(float(initial_balance)) + c("_carry") + c("_sum")
+    peak = F.lit(float(initial_balance)) + F.greatest(F.lit(0.0), c("_past"), c("_carry") + c("_top"))
+    curve = curve.withColumns({"equity": equity, "peak": peak}).withColumn("drawdown", c("peak") - c("equity"))
+    return curve.withColumn("drawdown_pct", F.when(c("peak") > 0, c("drawdown") / c("peak") * 100).otherwise(0.0)).drop("_bucket", "_sum", "_top", "_carry", "_past")
 
 
 def drawdowns(ledger: DataFrame, initial_balance: float, keys: Sequence[str] = ("strategy_id",), **options) -> DataFrame:

@@ -282,10 +282,11 @@ def running(
     """Add cumulative folds; `columns` maps a name to ("sum" | "max" | "min", expression).
 
     `bucket` must not decrease along `order`.  A task folds one (key, bucket); earlier
-    buckets arrive as one number each.
+    buckets arrive as one number each.  Rows are dealt by (key, bucket) once, for the summary
+    and for the folds, so the input is read once.
     """
     keys = list(keys)
-    base = df.withColumn("_bucket", bucket).withColumns({f"_v_{n}": expr for n, (_, expr) in columns.items()})
+    base = df.withColumn("_bucket", bucket).withColumns({f"_v_{n}": expr for n, (_, expr) in columns.items()}).repartition(*keys, "_bucket")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     summary = (
         base.groupBy(*keys, "_bucket").agg(*[_FOLDS[f](f"_v_{n}").alias(f"_s_{n}") for n, (f, _) in columns.items()])
