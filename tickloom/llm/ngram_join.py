@@ -12,14 +12,17 @@ if thousands of them hold the same passage.  Sets with more empty groups than th
 are also keyed by their least shingles, and small sets by pairs of their least shingles (linked
 sets share two).  All keys together lose no link.
 
-**Points.**  The sets that meet under a key make a tile.  A tile's sets are points: counts of
-shingles in 64 coarse groups.  No overlap can exceed the sum of coordinate minima; a tree of
-boxes (greatest count in each coordinate, least and greatest size) rules out whole subtrees by
-that bound, and single points after it.  What survives is verified on the whole texts.
-
-**Copies.**  Equal sets are one class.  In a tile the least class is searched first; after the
-components of those links are known, only tiles that still hold several components are searched
-between them.  So a group of thousands of near copies costs its size, not its square.
+**Points.**  The sets that meet under a key make a tile.  A set is a point: its counts of
+shingles in many fine groups, and folded into few coarse ones.  No overlap can exceed the sum
+of coordinate minima; a tree of boxes (greatest count in each coordinate, least and greatest
+size) rules out whole subtrees by that bound, and single points after it.  What survives is
+verified on the whole texts.
+
+**Copies.**  Equal sets are one class, named by a 64-bit hash of the set, and only classes are
+keyed, searched and linked.  In a tile all others are first held against the least
+class.  After the components of those links are known, tiles that still hold several are taken
+together by their least class, and the tree is searched between components only, from the points
+outside the largest one.  So a group of thousands of near copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +37,10 @@ from pyspark.sql import functions as F
 from tickloom.llm.store import components, partitions, store
 from tickloom.llm.text import BLANK, U, Words, mix, signed, slices
 
-COARSE = 64
+#: Groups of a point: coarse ones for boxes and first tests, fine ones for points that pass.
+COARSE, FINE = 64, 1024
 SMALL = 64
-#: Rows of a tile that one task searches at once; larger tiles are cut in blocks by size.
+#: Points that one search holds at once; larger families meet block by block.
 BLOCK = 4000
 _SALT = [int(x) for x in np.random.default_rng(20240229).integers(1, 1 << 62, 8)]
 
@@ -103,22 +106,31 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield np.unique(found[edges[i]: edges[i + 1]])
 
 
-_FACTS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("counts", pa.binary())])
+def set_name(found: np.ndarray) -> int:
+    """The name of a class of equal sets, as Spark's LONG; 0 for the empty set."""
+    return int(signed(mix(mix(found + U(_SALT[5])).sum(keepdims=True) + U(len(found))))[0]) if len(found) else 0
+
+
+_FACTS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("counts", pa.binary()), ("fine", pa.binary())])
+
+
+def fold(fine: np.ndarray) -> np.ndarray:
+    """Counts in the coarse groups, each a sum of fine ones."""
+    return fine.reshape(len(fine), FINE // COARSE, COARSE).sum(axis=1, dtype=np.uint16)
 
 
 def _facts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                n, c1, c2, counts = [], [], [], []
+                n, names, counts, fine = [], [], [], []
                 for found in shingle_sets(part.column("text"), width):
                     n.append(len(found))
-                    c1.append(int(mix(found + U(_SALT[5])).sum()) if len(found) else 0)
-                    c2.append(int(mix(found + U(_SALT[6])).sum()) if len(found) else 0)
-                    counts.append(np.minimum(np.bincount((found & U(COARSE - 1)).astype(np.int64), minlength=COARSE), 65535).astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n, pa.int64()), pa.array(signed(np.array(c1, dtype=np.uint64))), pa.array(signed(np.array(c2, dtype=np.uint64))),
-                     pa.array(counts, pa.binary())], schema=_FACTS)
+                    names.append(set_name(found))
+                    own = np.bincount((found & U(FINE - 1)).astype(np.int64), minlength=FINE).astype(np.uint16)
+                    counts.append(fold(own[None, :]).tobytes())
+                    fine.append(own.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(counts, pa.binary()), pa.array(fine, pa.binary())], schema=_FACTS)
     return run
 
 
@@ -127,40 +139,71 @@ def _emit(width: int, num: int, den: int):
         bands, seen = Bands(num, den), set()
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = part.column("id").to_numpy(zero_copy_only=False)
                 keys, owner = [], []
-                for i, found in enumerate(shingle_sets(part.column("text"), width)):
-                    print_ = (int(mix(found + U(_SALT[5])).sum()), int(mix(found + U(_SALT[6])).sum())) if len(found) else None
-                    if print_ is None or print_ in seen:
+                for found in shingle_sets(part.column("text"), width):
+                    name = set_name(found)
+                    if not len(found) or name in seen:
                         continue  # a copy in the same task: its class is keyed already
-                    seen.add(print_)
+                    seen.add(name)
                     own = _keys(found, bands)
                     keys.append(own)
-                    owner.append(np.full(len(own), ids[i]))
+                    owner.append(np.full(len(own), name, dtype=np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(owner).astype(np.int64))], names=["key", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(owner))], names=["key", "set"])
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of keys that more than one id holds; a partition holds all rows of its keys."""
-    keys, ids = [], []
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct tiles of several classes: (two sums of hashes that tell it from others, its classes).
+
+    A partition has all rows of its keys.  Many keys give the same tile; equal ones in a
+    partition are one row.
+    """
+    keys, sets = [], []
     for batch in batches:
         keys.append(batch.column("key").to_numpy())
-        ids.append(batch.column("id").to_numpy())
+        sets.append(batch.column("set").to_numpy())
     if not keys:
         return
-    key, id_ = np.concatenate(keys), np.concatenate(ids)
-    del keys, ids
+    key, own = np.concatenate(keys), np.concatenate(sets)
+    del keys, sets
+    # Most keys have one row: keep the others before sorting by class as well.
     order = np.argsort(key, kind="stable")
-    key, id_ = key[order], id_[order]
+    key, own = key[order], own[order]
     same = key[1:] == key[:-1]
     keep = np.zeros(len(key), dtype=bool)
     keep[1:] |= same
     keep[:-1] |= same
-    key, id_ = key[keep], id_[keep]
-    for begin in range(0, len(key), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(key[begin: begin + 100_000]), pa.array(id_[begin: begin + 100_000])], names=["key", "id"])
+    key, own = key[keep], own[keep]
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    key, own = key[new], own[new]
+    if not len(key):
+        return
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(heads, len(key)))
+    bits = own.view(np.uint64)
+    one, two = np.add.reduceat(mix(bits), heads), np.add.reduceat(mix(bits + U(_SALT[7])), heads)
+    several = np.flatnonzero(size > 1)
+    _, first = np.unique(np.stack([one[several], two[several]], axis=1), axis=0, return_index=True)
+    chosen = several[first]
+    for begin in range(0, len(chosen), 20_000):
+        part = chosen[begin: begin + 20_000]
+        lists = pa.array([own[heads[k]: heads[k] + size[k]] for k in part], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(one[part])), pa.array(signed(two[part])), lists], names=["s1", "s2", "sets"])
+
+
+def _named(width: int):
+    """Rows (set, text) whose text has the set it is fetched for: ids may repeat with other texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                wanted = part.column("set").to_pylist()
+                good = [set_name(found) == name for found, name in zip(shingle_sets(part.column("text"), width), wanted)]
+                yield part.select(["set", "text"]).filter(pa.array(good, pa.bool_()))
+    return run
 
 
 def needed_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -172,53 +215,70 @@ class CountTree:
     """A packed R-tree over count vectors, with the sizes of the sets as one more coordinate.
 
     Leaves hold consecutive points in the order of size and then of the counts, so boxes are
-    narrow in size; a box keeps the greatest count in each coordinate.
+    narrow in size; a box keeps the greatest count in each coarse coordinate.
     """
 
     LEAF = 16
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((counts[:, 1], counts[:, 0], sizes))
-        self.counts, self.sizes = counts[self.order], sizes[self.order]
+    def __init__(self, fine: np.ndarray, sizes: np.ndarray):
+        coarse = fold(fine)
+        self.order = np.lexsort((coarse[:, 1], coarse[:, 0], sizes))
+        self.fine, self.coarse, self.sizes = fine[self.order], coarse[self.order], sizes[self.order]
         self.levels = []
-        top, low, high = self.counts, self.sizes, self.sizes
+        top, low, high = self.coarse, self.sizes, self.sizes
         while len(top) > 1 or not self.levels:
             heads = np.arange(0, len(top), self.LEAF)
             top, low, high = np.maximum.reduceat(top, heads), np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads)
             self.levels.append((top, low, high))
 
-    def search(self, counts: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
+    def search(self, fine: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
         """Points whose overlap with the given set could reach the threshold."""
+        coarse = fold(fine[None, :])[0]
         live = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = (x[live] for x in self.levels[depth])
-            bound = np.minimum(top, counts).sum(axis=1, dtype=np.int64)
+            bound = np.minimum(top, coarse).sum(axis=1, dtype=np.int64)
             good = (bound >= needed_overlap(size, low, num, den)) & (high * den >= num * size) & (size * den >= num * low)
             live = (live[good][:, None] * self.LEAF + np.arange(self.LEAF)).ravel()
-            live = live[live < (len(self.levels[depth - 1][0]) if depth else len(self.counts))]
-        bound = np.minimum(self.counts[live], counts).sum(axis=1, dtype=np.int64)
-        return self.order[live[bound >= needed_overlap(size, self.sizes[live], num, den)]]
-
-
-def _vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint16).reshape(-1, COARSE)
-
-
-def _search_tiles(num: int, den: int):
-    """Pairs of different components in a block pair that the tree cannot rule out."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows.side == 0], rows[rows.side == 1]
-        right = left if right.empty else right
-        tree = CountTree(_vectors(right.counts), right.n.to_numpy())
-        ids, comps = right.id.to_numpy(), right.component.to_numpy()
-        a, b = [], []
-        for id_, comp, n, counts in zip(left.id, left.component, left.n, _vectors(left.counts)):
-            hit = tree.search(counts, n, num, den)
-            hit = hit[comps[hit] != comp]
-            a += [id_] * len(hit)
-            b += ids[hit].tolist()
-        out = pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
-        return out.drop_duplicates()
+            live = live[live < (len(self.levels[depth - 1][0]) if depth else len(self.coarse))]
+        needed = needed_overlap(size, self.sizes[live], num, den)
+        for points, own in ((self.coarse, coarse), (self.fine, fine)):
+            good = np.minimum(points[live], own).sum(axis=1, dtype=np.int64) >= needed
+            live, needed = live[good], needed[good]
+        return self.order[live]
+
+
+def _vectors(column, groups: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint16).reshape(-1, groups)
+
+
+def _search_families(num: int, den: int):
+    """Pairs of different components that the tree cannot rule out; a partition has whole families or block pairs of one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [b for b in batches if b.num_rows]
+        if not kept:
+            return
+        table = pa.Table.from_batches(kept).sort_by([("least", "ascending"), ("x", "ascending"), ("y", "ascending")])
+        ids, comps, sizes, side = (table.column(c).to_numpy() for c in ("set", "component", "n", "side"))
+        mark = np.stack([table.column(c).to_numpy() for c in ("least", "x", "y")])
+        heads = np.flatnonzero(np.concatenate([[True], (mark[:, 1:] != mark[:, :-1]).any(axis=0)]))
+        for begin, end in zip(heads, np.append(heads[1:], len(ids))):
+            fine = _vectors(table.column("fine").slice(begin, end - begin).to_pylist(), FINE)
+            own, comp, n = ids[begin:end], comps[begin:end], sizes[begin:end]
+            left, right = np.flatnonzero(side[begin:end] == 0), np.flatnonzero(side[begin:end] == 1)
+            if not len(right):  # one block with itself: each pair has an end outside the largest component
+                names, count = np.unique(comp, return_counts=True)
+                left, right = left[comp[left] != names[count.argmax()]], left
+            tree = CountTree(fine[right], n[right])
+            a, b = [], []
+            for i in left.tolist():
+                hit = right[tree.search(fine[i], n[i], num, den)]
+                hit = hit[comp[hit] != comp[i]]
+                a.append(np.full(len(hit), own[i]))
+                b.append(own[hit])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
     return run
 
 
@@ -228,7 +288,7 @@ def _bounded(num: int, den: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (_vectors(batch.column(c).to_pylist()) for c in ("counts_a", "counts_b"))
+            a, b = (_vectors(batch.column(c).to_pylist(), COARSE) for c in ("counts_a", "counts_b"))
             n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             good = np.minimum(a, b).sum(axis=1, dtype=np.int64) >= needed_overlap(n, m, num, den)
             yield batch.select(["a", "b"]).filter(pa.array(good))
@@ -249,7 +309,7 @@ def _verify(width: int, num: int, den: int):
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that hold on the whole texts."""
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.withColumnRenamed("id", "b"), "b")
+    joined = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a").join(texts.withColumnRenamed("set", "b"), "b")
     return joined.select("a", "b", "text_a", "text").mapInArrow(_verify(width, num, den), "a long, b long").distinct()
 
 
@@ -258,49 +318,47 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     Null, empty and blank texts have no shingles: they link with nothing and are their own
     component.  Rows with a null id cannot be named; they are returned with a null component.
-    Rows that repeat an id count as one document with several texts.  Other columns are
-    ignored, whatever their names.  An empty table gives no rows.
+    Rows that repeat an id get the least component of its texts.  Other columns are ignored,
+    whatever their names.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    facts = store(base.mapInArrow(_facts(width), "id long, n long, c1 long, c2 long, counts binary"), "sets")
+    facts = store(base.mapInArrow(_facts(width), "id long, n long, set long, counts binary, fine binary"), "sets")
     known = facts.where("n > 0 AND id IS NOT NULL")
-    classes = known.groupBy("n", "c1", "c2").agg(F.min("id").alias("rep"))
-    member = known.join(classes, ["n", "c1", "c2"]).select("id", "rep")
-
-    rows = known.agg(F.sum("n")).first()[0] or 0
-    parts = partitions(spark, int(rows * 0.4 * 200 * (den - num) // (15 * den + 1) // 8) + 1, 1_500_000)
-    keyed = base.where("id IS NOT NULL").mapInArrow(_emit(width, num, den), "key long, id long")
-    live = keyed.repartition(parts, "key").mapInArrow(_shared, "key long, id long")
-    live = live.join(member.where("id <> rep"), "id", "left").select("key", F.coalesce("rep", "id").alias("id")).distinct()
-    live = store(live, "keys")
-    tile = live.groupBy("key").agg(
-        F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("id", F.lit(7)).cast("decimal(20,0)")).alias("s2"), F.min("id").alias("least"))
-    tile = tile.where("size > 1").groupBy("size", "s1", "s2", "least").agg(F.min("key").alias("key"))
-    tiles = store(live.join(tile.select("key", "least", "size"), "key"), "tiles")
-
-    points = facts.select("id", "n", "counts").join(tiles.select("id").distinct(), "id")
-    points = store(points.groupBy("id").agg(F.max("n").alias("n"), F.max("counts").alias("counts")), "points")
-    texts = store(base.join(points.select("id"), "id", "left_semi"), "texts")
-    pairs = tiles.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    side = lambda c: points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
+    # A set has about 2.4 (den - num) / (den + num) n keys twice over at most, see Bands.
+    rows = (known.agg(F.sum("n")).first()[0] or 0) * 5 * (den - num) // (den + num)
+    keyed = base.where("id IS NOT NULL").mapInArrow(_emit(width, num, den), "key long, set long")
+    tiles = keyed.repartition(partitions(spark, rows, 1_500_000), "key").mapInArrow(_tiles, "s1 long, s2 long, sets array<bigint>")
+    tiles = store(tiles.groupBy("s1", "s2").agg(F.first("sets").alias("sets")).select("s1", "s2", "sets", F.array_min("sets").alias("least")), "tiles")
+    member = tiles.select("s1", "s2", "least", F.explode("sets").alias("set"))
+
+    points = known.join(member.select("set").distinct(), "set").groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine"))
+    points = store(points, "points")
+    texts = base.join(points.select("id", "set"), "id").select("set", "text").mapInArrow(_named(width), "set long, text string")
+    texts = store(texts, "texts")
+    pairs = member.where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct()
+    side = lambda c: points.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
     links = store(_linked(pairs.mapInArrow(_bounded(num, den), "a long, b long"), texts, width, num, den), "links")
     found = components(links)
 
-    open_tiles = tiles.join(found, "id", "left").select("key", "size", "id", F.coalesce("component", "id").alias("component"))
-    several = open_tiles.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    blocks = open_tiles.join(several, "key").join(points, "id")
-    blocks = blocks.withColumn("count", F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("count")))
+    at = member.join(found.withColumnRenamed("id", "set"), "set", "left").select("s1", "s2", "least", "set", F.coalesce("component", "set").alias("component"))
+    several = at.groupBy("s1", "s2").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("s1", "s2")
+    family = store(at.join(several, ["s1", "s2"]).select("least", "set", "component").distinct(), "families")
+    size = family.groupBy("least").agg(F.count("*").alias("size"))
+    blocks = family.join(size, "least").withColumn("count", F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("set", F.lit(3)), F.col("count")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("count") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    blocks = blocks.withColumn("meet", F.explode(meets)).withColumn("side", F.when(F.col("block") == F.col("meet.x"), 0).otherwise(1))
-    rest = blocks.groupBy("key", "meet").applyInPandas(_search_tiles(num, den), "a long, b long").distinct()
+    blocks = blocks.withColumn("meet", F.explode(meets)).select("least", "meet.x", "meet.y", "set", "component", F.when(F.col("block") == F.col("meet.x"), 0).otherwise(1).alias("side"))
+    blocks = blocks.join(points.select("set", "n", "fine"), "set")
+    rest = blocks.repartition(partitions(spark, family.count(), BLOCK), "least", "x", "y").mapInArrow(_search_families(num, den), "a long, b long").distinct()
     more = store(_linked(rest, texts, width, num, den), "links")
     if more.limit(1).count():
         found = components(links.union(more))
 
-    named = member.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
-    # A class is named by its least id, and so is a component of classes: the least of its least ids.
+    # Classes that no link reaches are their own component; a component is named by its least document.
+    placed = known.select("id", "set").join(found.withColumnRenamed("id", "set"), "set", "left").select("id", F.coalesce("component", "set").alias("component"))
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = placed.join(least, "component").groupBy("id").agg(F.min("component_id").alias("component_id"))
     return facts.select("id", "n").join(named, "id", "left").select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
