@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tickloom.operators import grouping as O
@@ -541,17 +542,26 @@ def _shapes(spark, folder):
     return frame.withColumn("vector", F.array(*[c(n).cast("double") for n in ("body_pct", "uwk_pct", "lwk_pct", "volume")])).withColumn("regime", c("bar_idx") % 5)
 
 
-@query("o1_kmeans_groups")
+def _placement(model, rows):
+    """Rows, and rows that sit further from their own centroid than from another one."""
+    centres = [[float(x) for x in centre] for centre in model.stages[-1].clusterCenters()]
+    ready = model.transform(rows.withColumn("_features", array_to_vector(c("vector")))).withColumn("_at", vector_to_array("_scaled"))
+    far = lambda centre: F.aggregate(F.zip_with("_at", F.array(*[F.lit(x) for x in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    away = F.array(*[far(centre) for centre in centres])
+    return ready.withColumn("_away", away).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.get("_away", c("group_id")) > F.array_min("_away") + 1e-9).alias("misplaced"), (F.countDistinct("group_id") == len(centres)).alias("all_used"))
+
+
+@query("o1_kmeans_groups", f"WITH {CANDLES} SELECT count(*) AS rows, 0::BIGINT AS misplaced, TRUE AS all_used FROM bars WHERE body_pct IS NOT NULL")
 def kmeans(spark, folder):
     rows = _shapes(spark, folder)
-    model = O.fit_groups(rows.filter("bar_idx < 300"), 8)
-    return O.assign_groups(model, rows).groupBy("group_id").agg(F.count(F.lit(1)).alias("bars"))
+    return _placement(O.fit_groups(rows, 8), rows)
 
 
-@query("o1_kmeans_embeddings")
+@query("o1_kmeans_embeddings", "SELECT count(*) AS rows, 0::BIGINT AS misplaced, TRUE AS all_used FROM embeddings")
 def kmeans_embeddings(spark, folder):
     rows = S.table(spark, folder, "embeddings").withColumn("vector", c("embedding").cast("array<double>"))
-    return O.assign_groups(O.fit_groups(rows, 10), rows).groupBy("group_id").agg(F.count(F.lit(1)).alias("rows"))
+    return _placement(O.fit_groups(rows, 10), rows)
 
 
 @query("o2_kmeans_per_regime")
@@ -559,7 +569,7 @@ def kmeans_per_regime(spark, folder):
     return O.fit_groups_per_regime(_shapes(spark, folder), 4).groupBy("regime", "group_id").agg(F.count(F.lit(1)).alias("bars"))
 
 
-@query("o3_o5_tree_leaf_rules")
+@query("o3_o5_tree_leaf_rules", "SELECT 0::BIGINT AS differing_leaves, TRUE AS every_row_in_one_box")
 def tree_leaves(spark, folder):
     """Leaf boxes, how many rows the tree sends to each, and how many their boxes match: the same."""
     columns = ["body_pct", "uwk_pct", "lwk_pct", "volume"]
@@ -569,7 +579,8 @@ def tree_leaves(spark, folder):
     boxed = I.match_rules(rows, boxes.select("rule_id", "column", "lo", "hi")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("matched"))
     means = boxes.groupBy("rule_id").agg(F.first("leaf_mean").alias("leaf_mean"))
     placed = O.assign_leaves(model, rows).groupBy("leaf_mean").agg(F.count(F.lit(1)).alias("assigned"))
-    return rounded(boxed.join(means, "rule_id").join(placed, "leaf_mean"))
+    both = boxed.join(means, "rule_id").groupBy("leaf_mean").agg(F.sum("matched").alias("matched")).join(placed, "leaf_mean", "full")
+    return both.agg(F.count_if(~c("matched").eqNullSafe(c("assigned"))).alias("differing_leaves"), (F.sum("matched") == F.sum("assigned")).alias("every_row_in_one_box"))
 
 
 @query("o6_shape_refinement")

@@ -314,7 +314,21 @@ def long_replay(spark, folder):
                       F.round("exit_price", 6).alias("exit_price"), F.round("net_pnl", 4).alias("net_pnl"))
 
 
-@query("j4_trailing_stop_replay")
+_TRAIL = f"""WITH RECURSIVE {sql.QUOTES}, sg AS (SELECT *, CASE WHEN close > open + 5 THEN 1 WHEN close < open - 5 THEN -1 END AS sd FROM bars),
+en AS (SELECT s.symbol, s.bar_idx, n.time AS entry_time, sd, CASE sd WHEN 1 THEN n.ask_open ELSE n.bid_open END AS en FROM sg s JOIN bars n ON n.symbol = s.symbol AND n.bar_idx = s.bar_idx + 1 WHERE sd IS NOT NULL),
+st AS (SELECT symbol, bar_idx, entry_time, sd, en, 0 AS k, en - sd * 20 AS stop, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS px, entry_time AS xt FROM en
+  UNION ALL SELECT symbol, bar_idx, entry_time, sd, en, k + 1, CASE WHEN reason IS NULL THEN moved ELSE stop END, reason, CASE reason WHEN 'stop_loss' THEN stop WHEN 'take_profit' THEN en + sd * 30 ELSE fc END, ft
+  FROM (SELECT s.symbol, s.bar_idx, s.entry_time, s.sd, s.en, s.k, s.stop, f.time AS ft, CASE s.sd WHEN 1 THEN f.bid_close ELSE f.ask_close END AS fc,
+    CASE s.sd WHEN 1 THEN greatest(s.stop, f.bid_high - 0.5 * (f.high - f.low)) ELSE least(s.stop, f.ask_low + 0.5 * (f.high - f.low)) END AS moved,
+    CASE WHEN CASE s.sd WHEN 1 THEN f.bid_low <= s.stop ELSE f.ask_high >= s.stop END THEN 'stop_loss' WHEN CASE s.sd WHEN 1 THEN f.bid_high >= s.en + 30 ELSE f.ask_low <= s.en - 30 END THEN 'take_profit' WHEN s.k >= 6 THEN 'max_hold' END AS reason
+    FROM st s JOIN bars f ON f.symbol = s.symbol AND f.bar_idx = s.bar_idx + s.k + 1 WHERE s.reason IS NULL)),
+tr AS (SELECT symbol, bar_idx, any_value(entry_time) AS entry_time, any_value(sd) AS sd, any_value(en) AS en, max(k) AS held, arg_max(px, k) AS px, coalesce(max(reason), 'end_of_data') AS exit_reason, arg_max(xt, k) AS exit_time, bar_idx + 1 AS entry_idx FROM st GROUP BY symbol, bar_idx),
+nx AS (SELECT a.*, b.entry_idx AS nxt FROM tr a ASOF LEFT JOIN tr b ON a.symbol = b.symbol AND a.bar_idx + a.held + 1 <= b.entry_idx),
+sel AS (SELECT symbol, min(entry_idx) AS entry_idx FROM nx GROUP BY 1 UNION ALL SELECT s.symbol, n.nxt FROM sel s JOIN nx n USING (symbol, entry_idx) WHERE n.nxt IS NOT NULL)
+SELECT symbol, entry_time, exit_time, exit_reason, CAST(held - 1 AS BIGINT) AS hold_bars, round(sd * (px - en) * 10, 4) AS net_pnl FROM tr JOIN sel USING (symbol, entry_idx)"""
+
+
+@query("j4_trailing_stop_replay", _TRAIL)
 def trailing(spark, folder):
     bars, signals = _quote_signals(spark, folder)
     out = J.bar_replay(bars, signals.withColumn("trail_atr", F.lit(0.5)))
