@@ -66,4 +66,27 @@ def shipped(function: Query) -> Query:
 
 QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (
     op1_ngram_jaccard_join, op2_decontamination, op3_token_counts, op4_html_extraction, op5_quality_rules, op6_language_model, op7_suffix_dedup, op8_personal_data, op9_best_fit_packing, op10_url_filters)}
-ORACLES: dict[str, str] = {}
+
+def _words(pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
+
+
+_OP1 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_words('[^ \\t\\n\\x0B\\f\\r]+')} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY 1) m USING (doc_id)"""
+
+_OP2 = f"""WITH d AS (SELECT doc_id, {_words('[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')} AS w FROM documents), b AS (SELECT item_id, {_words('[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, size, array_to_string(w[i + 1:i + size], ' ') AS k FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, size, array_to_string(w[i + 1:i + size], ' ') AS k FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size)),
+h AS (SELECT doc_id, i, size, item_id FROM dw JOIN bw USING (size, k)),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM h) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS sha FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+#: SQL cannot express the other queries: encoders, forests, models, suffix bytes, graphs and packing are tested against brute force.
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op2_decontamination": _OP2}
