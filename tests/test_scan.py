@@ -16,9 +16,16 @@ def test_smoothers_equal_pandas_for_any_chunk(bars, bars_pdf, chunk):
         np.testing.assert_allclose(got.w[1:], g.close[1:].ewm(alpha=1 / 14, adjust=False).mean(), rtol=1e-10)
 
 
-def test_chunk_too_long_for_alpha_is_refused(bars):
-    with pytest.raises(ValueError, match="too long"):
-        exp_smooth(bars, {"x": ema("close", 2)}, chunk=5000)
+@pytest.mark.parametrize("chunk", [100, 5000])
+def test_short_spans_beside_long_ones(bars, bars_pdf, chunk):
+    spans = {f"e{n}": ema("close", n) for n in (1, 2, 3, 5, 6, 50)}
+    out = exp_smooth(bars, spans, chunk=chunk)
+    assert set(out.columns) == {*bars.columns, *spans}
+    out = out.toPandas()
+    for symbol, g in bars_pdf.groupby("symbol"):
+        got = out[out.symbol == symbol].sort_values("bar_idx")
+        for n in (1, 2, 3, 5, 6, 50):
+            np.testing.assert_allclose(got[f"e{n}"], g.close.ewm(span=n, adjust=False).mean(), rtol=1e-10)
 
 
 @pytest.mark.parametrize("chunk", [32, 10_000])
