@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from tickloom.llm.gru_lm import FREQUENT, HIDDEN, INNER, TAIL, Model, lanes_of, pieces_of, score_documents, tokens_of
+from tickloom.llm.gru_lm import FREQUENT, HIDDEN, INNER, TAIL, Model, _frequent, held_out, in_share, lanes_of, pieces_of, score_documents, tokens_of
 
 
 def small_model(kind=np.float64):
@@ -91,3 +91,25 @@ def test_odd_rows(odd, none):
     fives = {(r.n_tokens, r.n_known, r.base_score) for r in rows if r.doc_id == 5}
     assert len(fives) == 1
     assert score_documents(none).collect() == []
+
+
+def test_every_training_document_trains(spark):
+    ids = [i for i in range(400) if not held_out([i])[0] and not in_share([i], 8)[0]][:40]
+    docs = spark.createDataFrame([(i, "the cat sat on the mat and the dog ran " * 20) for i in ids], "doc_id long, text string")
+    trained, fresh = ({r.doc_id: r.score for r in score_documents(docs, **how).collect()} for how in ({}, {"rounds": 0}))
+    assert len(trained) == 40 and all(trained[i] > fresh[i] for i in ids)
+
+
+def test_vocabulary_counts_every_word():
+    words = " ".join(f"w{i}" for i in range(6000))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([2, 3], pa.int64()), "text": [words, words]})
+    assert not held_out([2, 3]).any()
+    assert sum(sum(b.column("n").to_pylist()) for b in _frequent(iter([batch]))) == 12_002
+
+
+def test_short_last_window_trains():
+    entry = np.array([1, 2, 3], dtype=np.int32)
+    model = Model.start(np.ones(FREQUENT + TAIL))
+    before = model.flat()
+    model.train(*lanes_of(entry, np.zeros(3, dtype=np.int64), 128)[:3], {}, 0.01)
+    assert not np.array_equal(before, model.flat())

@@ -10,8 +10,8 @@ frequency bins with a learned softmax inside, tail words in their class with
 one per hash bucket; a bucket's task has all occurrences of its words, counts them, and sends
 back one sum per document.  Nothing that grows with the vocabulary is broadcast.
 
-**Training** is truncated backpropagation through time on a stated share of the training
-documents, in all tasks at once; their weights are averaged after each round.  Sequences are
+**Training** is truncated backpropagation through time on all training documents, in all
+tasks at once; their weights are averaged after each round.  Sequences are
 laid in lanes one after the other, the state is carried from window to window and cleared
 where a document begins, in training and in scoring.
 """
@@ -37,8 +37,8 @@ HEADS = FREQUENT // INNER
 HIDDEN, WINDOW, LANES, SCORE_LANES = 16, 24, 128, 768
 #: Tokens that one task scores at a time, and tokens of a training sequence: longer texts train as several.
 AT_ONCE, PIECE = 2_000_000, 1024
-#: Training: one in SHARE training documents, rounds of averaging, step size.
-SHARE, ROUNDS, RATE, SEED = 8, 2, 0.01, 5
+#: Training: one in SHARE training documents (all of them), rounds of averaging, step size.
+SHARE, ROUNDS, RATE, SEED = 1, 2, 0.01, 5
 #: Tail occurrences in a bucket of the count.
 BUCKET = 1_500_000
 END = U(0x1B873593CC9E2D51)
@@ -254,14 +254,14 @@ class Model:
         return g, states[-1]
 
     def train(self, given: np.ndarray, target: np.ndarray, owner: np.ndarray, moments: dict, rate: float) -> None:
-        """One pass over the lanes, window after window (Adam)."""
+        """One pass over the lanes, longest first, window after window (Adam)."""
         state = np.zeros((given.shape[1], HIDDEN), dtype=np.float32)
         for begin in range(0, len(given), WINDOW):
             end = begin + WINDOW
-            live = owner[begin:end] >= 0
-            if live.sum() < 8:
-                break
-            g, state = self.gradients(given[begin:end], target[begin:end], live, state)
+            # Lanes that have ended are the last ones and add nothing.
+            wide = int((owner[begin] >= 0).sum())
+            live = owner[begin:end, :wide] >= 0
+            g, state = self.gradients(given[begin:end, :wide], target[begin:end, :wide], live, state[:wide])
             moments["t"] = t = moments.get("t", 0) + 1
             for n, v in g.items():
                 m, s = moments.setdefault(n, (np.zeros_like(v), np.zeros_like(v)))
@@ -292,17 +292,13 @@ class Model:
         return total
 
 
-def _frequent(share: int):
-    """Candidates for frequent words: each slice's most frequent ones among the training documents of the share."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_pylist()
-            chosen = batch.filter(pa.array(~held_out(ids) & in_share(ids, share)))
-            for part in slices(chosen, "text"):
-                hashes, count = np.unique(tokens_of(part.column("text"))[0], return_counts=True)
-                top = np.argsort(-count, kind="stable")[: 4 * FREQUENT]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[top].view(np.int64)), pa.array(count[top], pa.int64())], names=["hash", "n"])
-    return run
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of all words of each slice in the training documents."""
+    for batch in batches:
+        chosen = batch.filter(pa.array(~held_out(batch.column("id").to_pylist())))
+        for part in slices(chosen, "text"):
+            hashes, count = np.unique(tokens_of(part.column("text"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(count, pa.int64())], names=["hash", "n"])
 
 
 _BLOCK = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("hash", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()), ("kind", pa.binary()), ("train", pa.binary()), ("k1", pa.binary()), ("k2", pa.binary())])
@@ -464,7 +460,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     base = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(F.col(id_column), text).alias("k1"), F.xxhash64(F.col(id_column), F.lit(1)).alias("k2"))
     kind = base.schema["id"].dataType.simpleString()
-    top = base.select("id", "text").mapInArrow(_frequent(share), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    top = base.select("id", "text").mapInArrow(_frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     end = int(np.array([END]).view(np.int64)[0])
     ranked = [end] + [r.hash for r in top.where(F.col("hash") != end).orderBy(F.desc("n"), "hash").limit(FREQUENT - 1).collect()]
     ranked = np.array(ranked, dtype=np.int64).view(np.uint64)
