@@ -47,6 +47,16 @@ def test_best_fit():
     assert [len(x) for x in pack([])] == [0, 0, 0]
 
 
+def test_equal_lengths_share_larger_sequences():
+    for n in (257, 300):
+        bins, _, capacity = pack([n] * 1300)
+        room = dict(zip(bins.tolist(), capacity.tolist()))
+        assert 1300 * n / sum(room.values()) > 0.87, n
+    # What is left over at the end takes no more room than it needs.
+    bins, _, capacity = pack([300] * 14)
+    assert sorted(dict(zip(bins.tolist(), capacity.tolist())).values())[0] == 512
+
+
 def test_odd_rows(spark, odd, none):
     rows = pack_documents(odd).collect()
     assert sum(r.n_tokens for r in rows if r.doc_id in (1, 2, 3)) == 3 and sum(r.n_tokens for r in rows if r.doc_id == 5) == 60_002

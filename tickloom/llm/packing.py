@@ -2,14 +2,14 @@
 
 Documents are cut into pieces of at most the greatest length.  Pieces are dealt by a hash into
 lots of bounded size, and each lot is packed on its own, longest piece first: a piece goes to
-the open sequence it leaves least room in; if it fits in none, the size is opened whose cost
-per token it can expect to fill is least.  At the end each sequence shrinks to the least
-permitted length that holds its contents.  Only ids and lengths move.
+the open sequence it leaves least room in; if it fits in none, each size is filled in thought
+from the lengths still to come and the one of least cost per filled token is opened.  At the
+end each sequence shrinks to the least permitted length that holds its contents.  Only ids and lengths move.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -36,19 +36,36 @@ def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[np.ndarr
     """(bin, offset, capacity) of each piece; every length is from 1 to the greatest size.
 
     Pieces are taken from the longest, ties in the given order.  A new sequence of size s is
-    charged cost(s) against the tokens it can expect to hold: all of s if enough pieces are
-    still to come that fit beside this one, else what is left.
+    charged the cost of the least size that holds what the lengths still to come can put into
+    it, per token of that; of equal charges the larger size wins.
     """
     sizes = sorted(sizes)
     lengths = np.asarray(lengths, dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
-    remaining = int(lengths.sum())
+    kinds, counts = np.unique(lengths, return_counts=True)
+    kinds, counts = kinds.tolist(), counts.tolist()
+
+    def filled_by(n: int, size: int) -> int:
+        """Tokens in a sequence of `size` that begins with a piece of n, longest fitting pieces next."""
+        left, k = size - n, bisect_right(kinds, n) - 1
+        while left and k >= 0:
+            k = min(k, bisect_right(kinds, left) - 1)
+            if k >= 0:
+                left -= kinds[k] * min(counts[k], left // kinds[k])
+                k -= 1
+        return size - left
+
+    def charge(n: int, size: int) -> float:
+        used = filled_by(n, size)
+        return cost(sizes[bisect_left(sizes, used)]) / used
+
     room: list[int] = []
     stacks: dict[int, list[int]] = {}
     used: list[int] = []
     bins, offsets = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
     for i in order.tolist():
         n = int(lengths[i])
+        counts[bisect_left(kinds, n)] -= 1
         k = bisect_left(room, n)
         if k < len(room):
             left = room[k]
@@ -57,14 +74,12 @@ def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[np.ndarr
                 del stacks[left]
                 room.pop(k)
         else:
-            fits = [s for s in sizes if s >= n]
             # Later pieces are no longer than this one: only they can fill what is left.
-            size = min(fits, key=lambda s: (cost(s) / min(s, max(n, remaining)), s))
+            size = min((s for s in sizes if s >= n), key=lambda s: (charge(n, s), -s))
             b, left = len(used), size
             used.append(0)
         bins[i], offsets[i] = b, used[b]
         used[b] += n
-        remaining -= n
         left -= n
         if left:
             if left not in stacks:
