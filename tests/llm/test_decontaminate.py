@@ -70,3 +70,17 @@ def test_odd_rows(spark, odd, none):
     assert contamination(none, items).collect() == []
     assert contamination(odd, items.limit(0)).count() == 9
     assert remove_contamination(odd, items).count() == 9
+
+
+def test_blocks_do_not_change_results(spark, odd):
+    rows = [(None, "a short item here b"), (None, "no hit in here b"), (1, DOCS[0][1]), (1, DOCS[0][1]), (2, "short item here x y"), (2, "x y one two three"),
+            (3, "one two three short item here four five six seven eight nine ten z"), (4, "short item here"), (5, None)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    told = lambda df: sorted(map(str, df.collect()))
+    one = told(contamination(docs, items))
+    assert len(one) == len(rows) and told(contamination(docs, items, block=2)) == one
+    assert told(contamination(odd, items, block=2)) == told(contamination(odd, items))
+    assert told(remove_contamination(docs, items, block=2)) == told(remove_contamination(docs, items))
+    for block in (1000, 2):
+        whole = told(remove_contamination(docs, items, whole_documents=True, block=block))
+        assert whole == sorted(str(r) for r in docs.collect() if (r.doc_id, r.text) in {(None, rows[1][1]), (2, rows[5][1]), (5, None)})

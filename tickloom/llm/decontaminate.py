@@ -2,8 +2,9 @@
 
 The windows of the test items are hashed and broadcast as sorted arrays.  Their number is
 checked first: more than `BLOCK` windows are taken in blocks of that size, one scan of the
-documents per block, and the blocks' spans are united per document.  Every hash hit is compared
-word by word with the item's window before it counts.
+stored documents per block, and the blocks' spans are united per row.  One block at a time is
+on the driver and in the tasks.  Every hash hit is compared word by word with the item's window
+before it counts.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.store import store
 from tickloom.llm.text import NOT_LETTER, Words, signed, slices
 
 WIDTH = 10
@@ -103,6 +107,21 @@ def _scan(shared):
     return run
 
 
+_SPANS = "n_words long, spans array<array<bigint>>, items array<string>"
+
+
+def _block_spans(keyed: DataFrame, sets: Iterator[WindowSet]) -> DataFrame:
+    """(id, n_words, spans, items) of each row of `keyed` (id, text), whose ids are distinct; each block's hits are stored before the next block is read."""
+    parts = []
+    for known in sets:
+        shared = keyed.sparkSession.sparkContext.broadcast(known)
+        part = keyed.mapInArrow(_scan(shared), f"id long, {_SPANS}")
+        # Rows without a hit are needed once.
+        parts.append(store(part.where("size(items) > 0") if parts else part, "spans"))
+        shared.unpersist()
+    return reduce(DataFrame.union, parts).groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hits = []
@@ -125,27 +144,35 @@ def contamination(docs: DataFrame, bench: DataFrame, id_column: str = "doc_id",
     """One row per row of `docs`: words, words inside any occurrence of a test window, and the items found.
 
     Null and empty texts have no words; items without words or id have no windows; repeated
-    items count once.  With more than one block, rows that repeat an id and a word count are
-    one row.  Other columns are ignored.  Empty tables are fine on either side.
+    items count once.  Other columns are ignored.  Empty tables are fine on either side.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    parts = []
-    for known in window_sets(bench, item_column, bench_text, width, block):
-        parts.append(base.mapInArrow(_scan(spark.sparkContext.broadcast(known)), f"id {kind}, n_words long, spans array<array<bigint>>, items array<string>"))
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.union(part)
-        # Only rows with a hit need to meet; each document is in every block's scan.
-        found = found.groupBy("id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    sets = window_sets(bench, item_column, bench_text, width, block)
+    first, second = next(sets), next(sets, None)
+    if second is None:
+        found = base.mapInArrow(_scan(spark.sparkContext.broadcast(first)), f"id {kind}, {_SPANS}")
+    else:
+        rows = store(base.withColumn("row", F.monotonically_increasing_id()), "rows")
+        spans = _block_spans(rows.select(F.col("row").alias("id"), "text"), chain([first, second], sets)).withColumnRenamed("id", "row")
+        found = rows.select("row", "id").join(spans, "row").drop("row")
     out = found.mapInArrow(_united, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
     return out.withColumnRenamed("id", id_column)
 
 
-def _clean(shared: list):
+def _without(text: str, words: Words, k: int, runs: np.ndarray) -> str:
+    """Text k of `words` without the runs of words (counted from the text's first)."""
+    raw, keep, last = text.encode(), [], 0
+    for s, e in runs + words.first[k]:
+        keep.append(raw[last: words.starts[s] - words.offsets[k]])
+        last = words.ends[e - 1] - words.offsets[k]
+    return b" ".join([*keep, raw[last:]]).decode()
+
+
+def _clean(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
             for part in slices(batch, "_clean_text"):
                 column = part.column("_clean_text")
@@ -154,19 +181,12 @@ def _clean(shared: list):
                 while todo:
                     now = pa.array([texts[i] for i in todo], pa.string())
                     words = Words(now, NOT_LETTER)
-                    hashes, hit = words.hashes(), np.zeros(len(words.starts), bool)
-                    for known in (x.value for x in shared):
-                        if len(known.hashes):
-                            hit |= known.find(words, hashes)[0]
+                    hit = known.find(words, words.hashes())[0] if len(known.hashes) else np.zeros(len(words.starts), bool)
                     again = []
                     for k, i in enumerate(todo):
                         a, b = words.first[k], words.first[k + 1]
                         if hit[a:b].any():
-                            raw, keep, last = texts[i].encode(), [], 0
-                            for s, e in _runs(hit[a:b]) + a:
-                                keep.append(raw[last: words.starts[s] - words.offsets[k]])
-                                last = words.ends[e - 1] - words.offsets[k]
-                            texts[i], marked[i] = b" ".join([*keep, raw[last:]]).decode(), True
+                            texts[i], marked[i] = _without(texts[i], words, k, _runs(hit[a:b])), True
                             again.append(i)
                     todo = again
                 words = Words(pa.array(texts, pa.string()), NOT_LETTER)
@@ -176,20 +196,51 @@ def _clean(shared: list):
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without their spans, and the words left."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts = part.column("text").to_pylist()
+            words = Words(part.column("text"), NOT_LETTER)
+            for k, spans in enumerate(part.column("spans").to_pylist()):
+                hit = np.zeros(words.first[k + 1] - words.first[k], bool)
+                for a, b in spans:
+                    hit[a:b] = True
+                texts[k] = _without(texts[k], words, k, _runs(hit))
+            left = np.diff(Words(pa.array(texts, pa.string()), NOT_LETTER).first)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(texts, pa.string()), pa.array(left, pa.int64())], names=["id", "text", "left_words"])
+
+
 def remove_contamination(docs: DataFrame, bench: DataFrame, text_column: str = "text", item_column: str = "item_id", bench_text: str = "text",
                          width: int = WIDTH, block: int = BLOCK, whole_documents: bool = False, id_column: str = "doc_id") -> DataFrame:
     """`docs` without test passages: hit words are cut out, or with `whole_documents` contaminated rows go.
 
     Cutting repeats until a text holds no test window, since what is left can form one.  Rows
     that lose all their words go; rows without a hit stay as they are.  All columns are kept.
+    Rows are told apart by a key of their own, so null and repeated ids are fine.
     """
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(x) for x in window_sets(bench, item_column, bench_text, width, block)]
-    if whole_documents:
-        hit = contamination(docs, bench, id_column, text_column, item_column, bench_text, width, block).where("contaminated").select(id_column)
-        return docs.join(hit.distinct(), id_column, "left_anti")
     names = [f"c{i}" if c != text_column else "_clean_text" for i, c in enumerate(docs.columns)]
     plain = docs.toDF(*names)
-    return plain.mapInArrow(_clean(shared), plain.schema).toDF(*docs.columns)
-
-
+    if whole_documents:
+        rows = store(plain.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        hit = contamination(rows, bench, "_row", "_clean_text", item_column, bench_text, width, block).where("contaminated").select("_row")
+        return rows.join(hit, "_row", "left_anti").select(*names).toDF(*docs.columns)
+    sets = window_sets(bench, item_column, bench_text, width, block)
+    first, second = next(sets), next(sets, None)
+    if second is None:
+        return plain.mapInArrow(_clean(spark.sparkContext.broadcast(first)), plain.schema).toDF(*docs.columns)
+    rows = store(plain.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    live, changed, sets = rows.select(F.col("_row").alias("id"), F.col("_clean_text").alias("text")), None, chain([first, second], sets)
+    # The spans of all blocks are cut at once, as with one block; only texts that were cut are searched again.
+    while True:
+        hits = store(_block_spans(live, sets).where("size(items) > 0").select("id", "spans"), "hits")
+        if hits.isEmpty():
+            break
+        cut = store(live.join(hits, "id").select("id", "text", "spans").mapInArrow(_cut, "id long, text string, left_words long"), "cut")
+        changed = store(changed.join(cut, "id", "left_anti").union(cut), "changed") if changed is not None else cut
+        live, sets = cut.select("id", "text"), window_sets(bench, item_column, bench_text, width, block)
+    if changed is None:
+        return rows.select(*names).toDF(*docs.columns)
+    out = rows.join(changed.withColumnRenamed("id", "_row"), "_row", "left").where("left_words IS NULL OR left_words > 0")
+    return out.withColumn("_clean_text", F.coalesce("text", "_clean_text")).select(*names).toDF(*docs.columns)
