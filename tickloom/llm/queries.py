@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontaminate, gru_lm, html_extract, ngram_join, packing, pii, quality_forest, suffix_dedup, token_counts, url_rules
+from tickloom.llm import decontaminate, dialogue, gru_lm, html_extract, language_id, ngram_join, packing, pii, quality_forest, suffix_dedup, token_counts, url_rules, whitening
 from tickloom.llm.store import table
 from tickloom.session import ship
 
@@ -57,6 +57,18 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, folder, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.repair(dialogue.damage(table(spark, folder, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 def shipped(function: Query) -> Query:
     @wraps(function)
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +77,8 @@ def shipped(function: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (
-    op1_ngram_jaccard_join, op2_decontamination, op3_token_counts, op4_html_extraction, op5_quality_rules, op6_language_model, op7_suffix_dedup, op8_personal_data, op9_best_fit_packing, op10_url_filters)}
+    op1_ngram_jaccard_join, op2_decontamination, op3_token_counts, op4_html_extraction, op5_quality_rules, op6_language_model, op7_suffix_dedup, op8_personal_data, op9_best_fit_packing, op10_url_filters,
+    op11_embedding_whitening, op12_conversation_repair, op13_language_id)}
 
 def _words(pattern: str) -> str:
     return f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
