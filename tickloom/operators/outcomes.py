@@ -12,7 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tickloom.functions.columns import truth
-from tickloom.operators.scan import CHUNK, asof_join, over_chunks
+from tickloom.operators.extremes import FAN, Levels, bar_at, build_levels, either, first_hit
+from tickloom.operators.scan import CHUNK, over_chunks, running
 from tickloom.session import cut_lineage
 
 c = F.col
@@ -68,11 +69,15 @@ def r_outcomes(
     """Resolve and book each signal in units of its risk; costs come off before WIN is decided."""
     priced = priced_entries(signals.filter(F.size(path) > 0), spread, sl_pct, tp_pct, long)
     hit = touch(c(path), c("stop_level"), c("target_level"), c("side"), max_hold)
-    out = priced.withColumn("_hit", hit).drop(path)
+    return book_r(priced.withColumn("_hit", hit).drop(path), spread, commission_r, swap_r, idx)
+
+
+def book_r(resolved: DataFrame, spread: float, commission_r: float = 0.0, swap_r: float = 0.0, idx: str = "bar_idx") -> DataFrame:
+    """Priced entries with their `_hit` (outcome, held, exit_price, truncated), booked in units of risk."""
     timeout_r = c("side") * (c("_hit.exit_price") - c("side") * spread - c("entry_price")) / c("risk")
     booked = F.when(c("_hit.outcome") == "target", c("reward") / c("risk")).when(
         c("_hit.outcome") == "stop", F.lit(-1.0)).otherwise(timeout_r)
-    return out.withColumns({
+    return resolved.withColumns({
         "outcome": c("_hit.outcome"), "bars_held": c("_hit.held"), "truncated": c("_hit.truncated"),
         "gross_r": booked, "booked_r": booked - (commission_r + swap_r * c("_hit.held")),
         "entry_idx": c(idx) + 1, "exit_idx": c(idx) + c("_hit.held"),
@@ -189,71 +194,87 @@ def non_overlapping(
 def bar_replay(
     bars: DataFrame, signals: DataFrame, lots: float = 0.1, contract: float = 100.0,
     commission_per_lot: float = 0.0, slippage: float = 0.0,
-    keys: Sequence[str] = ("strategy_id", "symbol"), idx: str = "bar_idx", chunk: int = CHUNK,
+    keys: Sequence[str] = ("strategy_id", "symbol"), idx: str = "bar_idx", chunk: int = CHUNK, fan: int = FAN,
 ) -> DataFrame:
     """Closed trades of bid/ask bars: next-bar entry, stop first, target, trailing stop, max hold.
 
     `signals` has one row per (strategy, bar) with `signal_direction`, `stop_distance`,
     `target_distance`, `signal_target_price`, `trail_atr` and `max_hold_bars`; `bars` carries
-    `atr14`.  Long trades exit on the bid, short ones on the ask.  Bars are looked ahead as far
-    as the longest hold asked for.
+    `atr14`.  Long trades exit on the bid, short ones on the ask.  Exits are found through cells of
+    extremes, so a hold of any length costs a row the same memory; a bar's fields travel only
+    with the signals that read it.
     """
-    max_hold = max(1, signals.agg(F.max("max_hold_bars")).first()[0] or 1)
-    sides = [f"{s}_{p}" for s in ("bid", "ask") for p in ("open", "high", "low", "close")]
     symbol = [k for k in keys if k in bars.columns]
-    steps = F.struct(c("time").alias("t"), c("bid_high").alias("bh"), c("bid_low").alias("bl"), c("bid_close").alias("bc"),
-                     c("ask_high").alias("ah"), c("ask_low").alias("al"), c("ask_close").alias("ac"),
-                     F.coalesce(c("atr14"), F.lit(0.0)).alias("atr"))
-
-    def frames(w: WindowSpec) -> dict[str, Column]:
-        return {
-            "_path": F.collect_list(steps).over(w.rowsBetween(1, max_hold + 1)), "entry_time": F.lead("time").over(w),
-            "_bid": F.lead("bid_open").over(w), "_ask": F.lead("ask_open").over(w)}
-
-    paths = over_chunks(bars.select(*symbol, idx, "time", "atr14", *sides), frames, after=max_hold + 1, keys=symbol, idx=idx, chunk=chunk)
+    longest = signals.agg(F.max("max_hold_bars"), F.max("trail_atr")).first()
+    reach, trails = max(1, int(longest[0] or 1)) + 1, (longest[1] or 0) > 0
+    sides = [f"{s}_{p}" for s in ("bid", "ask") for p in ("high", "low", "close")]
+    flat = bars.select(*symbol, idx, "time", F.coalesce("atr14", F.lit(0.0)).alias("atr"), *sides)
+    levels = build_levels(
+        flat, {"bl": c("bid_low"), "al": c("ask_low")}, {"bh": c("bid_high"), "ah": c("ask_high")}, ["time", "bid_close", "ask_close"], symbol, idx, fan)
     asked = signals.filter((c("signal_direction") != 0) & (c("stop_distance") > 0)).select(
         *keys, idx, "signal_direction", "stop_distance", "target_distance", "signal_target_price", "trail_atr", "max_hold_bars")
-    rows = asked.join(paths.select(*symbol, idx, c("time").alias("signal_time"), "entry_time", "_path", "_bid", "_ask"), [*symbol, idx])
+    opens = over_chunks(
+        bars.select(*symbol, idx, "time", "bid_open", "ask_open"), lambda w: {"entry_time": F.lead("time").over(w), "_bid": F.lead("bid_open").over(w), "_ask": F.lead("ask_open").over(w)},
+        after=1, keys=symbol, idx=idx, chunk=chunk, keep=c("entry_time").isNotNull())
+    rows = asked.join(opens.select(*symbol, idx, c("time").alias("signal_time"), "entry_time", "_bid", "_ask"), [*symbol, idx])
     side = c("signal_direction").cast("double")
-    rows = rows.filter(c("entry_time").isNotNull()).withColumn(
-        "entry_price", F.when(side > 0, c("_ask")).otherwise(c("_bid")) + side * slippage)
+    long = side > 0
+    rows = rows.withColumn("entry_price", F.when(long, c("_ask")).otherwise(c("_bid")) + side * slippage).drop("_bid", "_ask")
     rows = rows.withColumn("target_price", F.when(c("signal_target_price") > 0, c("signal_target_price")).when(
         c("target_distance") > 0, c("entry_price") + side * c("target_distance")))
     rows = rows.filter(c("target_price").isNull() | (side * (c("target_price") - c("entry_price")) > 0))
     rows = rows.withColumn("stop_price", c("entry_price") - side * c("stop_distance"))
-    hold = F.greatest(c("max_hold_bars").cast("int"), F.lit(1))
-
-    def step(s: Column, x: Column) -> Column:
-        live = s["reason"].isNull()
-        long = side > 0
-        stopped = F.when(long, x["bl"] <= s["stop"]).otherwise(x["ah"] >= s["stop"])
-        reached = truth(F.when(long, x["bh"] >= c("target_price")).otherwise(x["al"] <= c("target_price")))
-        late = s["n"] >= hold
-        close = F.when(long, x["bc"]).otherwise(x["ac"])
-        reason = F.when(stopped, "stop_loss").when(reached, "take_profit").when(late, "max_hold")
-        price = F.when(stopped, s["stop"]).when(reached, c("target_price")).otherwise(close) - side * slippage
-        moved = F.when(long, F.greatest(s["stop"], x["bh"] - c("trail_atr") * x["atr"])).otherwise(
-            F.least(s["stop"], x["al"] + c("trail_atr") * x["atr"]))
-        trailed = F.when(c("trail_atr") > 0, moved).otherwise(s["stop"])
-        return F.struct(
-            F.when(live & reason.isNull(), trailed).otherwise(s["stop"]).alias("stop"),
-            F.when(live, s["n"] + 1).otherwise(s["n"]).alias("n"),
-            F.when(live, reason).otherwise(s["reason"]).alias("reason"),
-            F.when(live, price).otherwise(s["price"]).alias("price"), F.when(live, x["t"]).otherwise(s["t"]).alias("t"))
-
-    start = F.struct(c("stop_price").alias("stop"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("reason"),
-                     F.lit(None).cast("double").alias("price"), F.lit(None).cast(bars.schema["time"].dataType).alias("t"))
-    rows = rows.withColumn("_end", F.aggregate("_path", start, step)).drop("_path", "_bid", "_ask")
+    hold = F.greatest(c("max_hold_bars").cast("long"), F.lit(1))
+    rows = rows.join(levels.ends, symbol).withColumn("_until", F.least(c(idx) + hold + 1, c("_end")))
+    rows = first_hit(rows, levels, either(long, "bl", "bh", "ah", "al", c("stop_price"), c("target_price")), idx, "_until", "_touch", reach, "_out")
+    rows = rows.withColumn("_out", F.when(c("_touch").isNull(), c("_out")).otherwise(F.struct([c(f"_touch.{f}") for f in levels.tables[0].schema["_kids"].dataType.elementType.names])))
+    rows = _trail_exits(rows, flat, levels, symbol, idx, chunk, reach) if trails else rows.withColumn("_trail", F.lit(None).cast("struct<at:bigint,stop:double>"))
+    # A trailing exit on the bar of the fixed one comes first: the ratcheted stop is the nearer.
+    at, trail_at = c("_touch.at"), F.when(c("_trail.at") <= c("_until"), c("_trail.at"))
+    trailed = F.coalesce(trail_at <= F.coalesce(at, c("_until")), F.lit(False))
+    moved = F.when(long, F.greatest(c("stop_price"), c("_trail.stop"))).otherwise(F.least(c("stop_price"), c("_trail.stop")))
+    rows = rows.withColumn("_at", F.when(trailed, trail_at).otherwise(F.coalesce(at, c("_until"))))
+    if trails:
+        rows = bar_at(rows, levels, F.when(trailed, c("_at")), "_left").withColumn("_out", F.coalesce("_left", "_out")).drop("_left")
+    stopped = truth(F.when(long, c("_touch.bl") <= c("stop_price")).otherwise(c("_touch.ah") >= c("stop_price")))
+    late = c("_at") - c(idx) > hold
+    price = F.when(trailed, moved).when(at.isNotNull() & stopped, c("stop_price")).when(at.isNotNull(), c("target_price")).otherwise(
+        F.when(long, c("_out.bid_close")).otherwise(c("_out.ask_close")))
     commission = commission_per_lot * lots
     gross = side * (c("exit_price") - c("entry_price")) * lots * contract
     rows = rows.withColumns({
-        "exit_time": c("_end.t"), "exit_price": c("_end.price"), "exit_reason": F.coalesce(c("_end.reason"), F.lit("end_of_data")),
-        "hold_bars": c("_end.n") - 1, "entry_idx": c(idx) + 1, "exit_idx": c(idx) + c("_end.n"),
+        "exit_time": c("_out.time"), "exit_price": price - side * slippage,
+        "exit_reason": F.when(trailed | (at.isNotNull() & stopped), "stop_loss").when(at.isNotNull(), "take_profit").when(late, "max_hold").otherwise("end_of_data"),
+        "hold_bars": (c("_at") - c(idx) - 1).cast("int"), "entry_idx": c(idx) + 1, "exit_idx": c("_at"),
         "initial_risk": c("stop_distance") * lots * contract + commission,
-    }).withColumns({"gross_pnl": gross, "net_pnl": gross - commission}).drop("_end")
+    }).withColumns({"gross_pnl": gross, "net_pnl": gross - commission}).drop("_touch", "_trail", "_out", "_at", "_until", "_end")
     return non_overlapping(rows, keys, free_after_exit())
 
 
+def _trail_exits(rows: DataFrame, bars: DataFrame, levels: Levels, symbol: list[str], idx: str, chunk: int, reach: int) -> DataFrame:
+    """Add `_trail` (at, stop): where the ratcheting stop alone would take each trade out, and its level there.
+
+    After each bar that the trade survives the stop may move to that bar's high less `trail_atr` ATR (a short
+    trade's to its low plus as much).  Every bar thus sets a stop of its own, and the first bar beyond
+    it is a plain search.  A trade leaves at the earliest of these among its bars, at the
+    nearest of the stops that end there: a running minimum of (end, -stop) from the last bar back.
+    The searches run once per bar, side and distance in use, not per trade.
+    """
+    kinds = rows.filter("trail_atr > 0").select(*symbol, "signal_direction", "trail_atr").distinct()
+    kinds = cut_lineage(kinds.withColumn("_sign", F.signum(c("signal_direction").cast("double"))).drop("signal_direction").distinct())  # few rows for many bars
+    long, distance = c("_sign") > 0, c("trail_atr") * c("atr")
+    each = bars.join(kinds, symbol).select(
+        *symbol, idx, "trail_atr", "_sign", F.when(long, c("bid_high") - distance).otherwise(c("ask_low") + distance).alias("_stop"))
+    each = each.withColumn("_limit", c(idx) + reach)  # no trade looks further
+    ends = first_hit(each, levels, lambda x: F.when(long, x["bl"] <= c("_stop")).otherwise(x["ah"] >= c("_stop")), idx, "_limit", "_end", reach)
+    pair = F.when(c("_end").isNotNull(), F.struct(c("_end.at").alias("at"), (-c("_sign") * c("_stop")).alias("rank")))
+    back = ends.select(*symbol, idx, "trail_atr", "_sign", pair.alias("_pair"), (-c(idx)).alias("_back"))
+    folded = running(back, {"_first": ("min", c("_pair"))}, [*symbol, "trail_atr", "_sign"], ["_back"], F.floor(c("_back") / chunk).cast("long"))
+    stops = folded.select(*symbol, (c(idx) - 1).alias(idx), "trail_atr", "_sign", F.struct(c("_first.at").alias("at"), (-c("_sign") * c("_first.rank")).alias("stop")).alias("_trail"))
+    placed = rows.withColumn("_sign", F.signum(c("signal_direction").cast("double")))
+    return placed.join(stops, [*symbol, idx, "trail_atr", "_sign"], "left").drop("_sign")
+
+
 def pnl_points(trades: DataFrame) -> Column:
     """P&L in points by the first of: pnl_pts; r_multiple and sl_pts; outcome with sl/tp_pts; else 0."""
     names = set(trades.columns)
@@ -267,62 +288,35 @@ def pnl_points(trades: DataFrame) -> Column:
     return F.lit(0.0)
 
 
-def _first_crossing(placed: DataFrame, bars: DataFrame, keys: Sequence[str], crosses: Column, idx: str, cell: int) -> DataFrame:
-    """Keys, `entry_id` and `_t`, the start of the first bar after the entry bar that `crosses`.
-
-    Bars are summed up per cell of `cell` bars (a cell crosses if one of its bars does), and
-    entries walk over cells in steps that grow eightfold, so the search has no end but the
-    data's and entries that are done drop out.  Bars are read for two cells of an entry at most.
-    """
-    names = [*keys, "entry_id"]
-    own = F.floor(c("entry_idx") / cell).cast("long")
-    flat = bars.withColumn("_cell", F.floor(c(idx) / cell).cast("long"))
-    cells = flat.groupBy(*keys, "_cell").agg(*[f(n).alias(n) for n, f in (("bl", F.min), ("bh", F.max), ("al", F.min), ("ah", F.max), ("t", F.max))])
-    last = cells.groupBy(*keys).agg(F.max("_cell").alias("_last"))
-
-    def inside(rows: DataFrame) -> DataFrame:
-        met = rows.join(flat, [*keys, "_cell"]).filter((c(idx) > c("entry_idx")) & crosses)
-        return met.groupBy(*names).agg(F.min_by("t", idx).alias("_t"))
-
-    found = cut_lineage(inside(placed.withColumn("_cell", own)))
-    todo = cut_lineage(placed.join(found, names, "left_anti").withColumn("_own", own).join(last, list(keys)))
-    begin, wide = 1, 8
-    while todo.limit(1).count():
-        ahead = todo.withColumn("_cell", F.explode(F.sequence(c("_own") + begin, c("_own") + (begin + wide - 1))))
-        reached = ahead.join(cells, [*keys, "_cell"]).filter(crosses).groupBy(*names).agg(F.min("_cell").alias("_cell"))
-        hit = cut_lineage(inside(todo.join(reached, names)))
-        found = found.unionByName(hit)
-        begin, wide = begin + wide, wide * 8
-        todo = cut_lineage(todo.join(hit, names, "left_anti").filter(c("_own") + begin <= c("_last")))
-    return found
-
-
 def tick_first_touch(
     entries: DataFrame, ticks: DataFrame, bars: DataFrame, bar_seconds: int,
-    keys: Sequence[str] = ("symbol",), slippage: float = 0.0, idx: str = "bar_idx", cell: int = 256,
+    keys: Sequence[str] = ("symbol",), slippage: float = 0.0, idx: str = "bar_idx", fan: int = FAN,
 ) -> DataFrame:
     """Exit of each entry on the exact tick: bid less slippage for long, ask plus slippage for short.
 
     `entries` has `entry_id`, `entry_idx` (the bar holding the entry), `entry_time`, `side`,
     `entry_price`, `stop_price`, `target_price` and `deadline` (NULL for none).  A bar whose
     extremes stay inside the levels and that ends before the deadline cannot hold the exit,
-    so ticks are read for the entry bar, for the first later bar that can, and for the first
-    bar after the deadline (the bar around it may end before it in ticks), and for no other.
+    so ticks are read for the entry bar, for the first later bar that can, and for the bar
+    after one that holds the deadline, and for no other.
     An entry without an exit leaves at the last tick ("end_of_data"), or is "open" if no tick follows it.
     """
     keys = list(keys)
-    flat = bars.select(*keys, idx, F.unix_micros(c("time").cast("timestamp")).alias("t"), c("bid_high").alias("bh"),
-                       c("bid_low").alias("bl"), c("ask_high").alias("ah"), c("ask_low").alias("al"))
-    side = c("side")
-    long = (c("bl") - slippage <= c("stop_price")) | (c("bh") - slippage >= c("target_price"))
-    short = (c("ah") + slippage >= c("stop_price")) | (c("al") + slippage <= c("target_price"))
-    overdue = truth(c("t") + bar_seconds * 1_000_000 > F.unix_micros(c("deadline").cast("timestamp")))
-    placed = entries.select(*keys, "entry_id", "entry_idx", "entry_time", "side", "stop_price", "target_price", "deadline")
-    first = _first_crossing(placed, flat, keys, F.when(side > 0, long).otherwise(short) | overdue, idx, cell)
-    now = placed.join(flat.select(*keys, c(idx).alias("entry_idx"), c("t").alias("_t")), [*keys, "entry_idx"]).select(*keys, "entry_id", "_t")
-    after = asof_join(placed.filter(c("deadline").isNotNull()), bars.select(*keys, "time", F.unix_micros(c("time").cast("timestamp")).alias("t")), ["t"], keys, "deadline", direction="forward", prefix="_")
-    starts = now.unionByName(first.select(*keys, "entry_id", "_t")).unionByName(after.filter(c("_t").isNotNull()).select(*keys, "entry_id", "_t")).distinct()
-    searched = placed.join(starts, [*keys, "entry_id"]).withColumnRenamed("_t", "_bar")
+    start = lambda name: F.unix_micros(c(name).cast("timestamp"))
+    flat = over_chunks(
+        bars.select(*keys, idx, start("time").alias("t"), "bid_high", "bid_low", "ask_high", "ask_low"), lambda w: {"next_t": F.lead("t").over(w)}, after=1, keys=keys, idx=idx)
+    levels = build_levels(
+        flat, {"bl": c("bid_low") - slippage, "al": c("ask_low") + slippage}, {"bh": c("bid_high") - slippage, "ah": c("ask_high") + slippage, "t": c("t")}, ["next_t"], keys, idx, fan)
+    side, length = c("side"), bar_seconds * 1_000_000
+    placed = entries.select(*keys, "entry_id", "entry_idx", "entry_time", "side", "stop_price", "target_price", "deadline", start("deadline").alias("_due"))
+    overdue = lambda x: truth(x["t"] + length > c("_due"))
+    touched = either(side > 0, "bl", "bh", "ah", "al", c("stop_price"), c("target_price"))
+    # The bar around the deadline may have no tick after it: then the bar that follows has.
+    found = first_hit(bar_at(placed, levels, c("entry_idx"), "_now"), levels, lambda x: touched(x) | overdue(x), "entry_idx", name="_first")
+    here = F.when(overdue(c("_now")), c("_now.next_t"))
+    there = F.when(overdue(c("_first")), c("_first.next_t"))
+    starts = F.array_distinct(F.array_compact(F.array(c("_now.t"), here, c("_first.t"), there)))
+    searched = found.withColumn("_bar", F.explode(starts)).drop("_now", "_first", "_due")
     micros = F.unix_micros(c("time").cast("timestamp"))
     quotes = ticks.select(*keys, c("time").alias("tick_time"), "bid", "ask", (micros - F.pmod(micros, F.lit(bar_seconds * 1_000_000))).alias("_bar"))
     met = searched.join(quotes, [*keys, "_bar"]).filter(c("tick_time") > c("entry_time"))

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.outcomes import forward_path, free_after_cooldown, free_after_signal_cooldown, non_overlapping, r_outcomes, touch
+from tickloom.operators.extremes import build_levels, resolve
+from tickloom.operators.outcomes import book_r, forward_path, free_after_cooldown, free_after_signal_cooldown, non_overlapping, priced_entries, touch
 from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.scan import CHUNK, over_chunks
 from tickloom.schema import require_columns
@@ -168,16 +169,23 @@ def rule_trades(
     """The accepted trades of every rule on every symbol.
 
     `parameters(rule_id, direction, sl_pct, tp_pct)`; `snapshot` columns of the signal bar
-    travel with the trade; `acceptance` is "exit" or "signal" (cross-symbol preset).
+    travel with the trade; `acceptance` is "exit" or "signal" (cross-symbol preset).  A column
+    `max_hold` in `parameters` replaces the argument rule by rule.  Only matched bars are priced, and
+    their exits are found through cells of extremes, whatever the hold.
     """
     columns = sorted({row["column"] for row in rules.select("column").distinct().collect()} & set(frame.columns))
     kept = dict.fromkeys([*keys, idx, "time", "open", "high", "low", "close", *snapshot, *columns, *(["session"] if allowed_sessions else [])])
-    rows = with_paths(frame.select(*kept), max_hold, keys, idx, chunk)
+    rows = over_chunks(frame.select(*kept), lambda w: {"next_open": F.lead("open").over(w)}, after=1, keys=keys, idx=idx, chunk=chunk, keep=c("next_open").isNotNull())
     if allowed_sessions:
         rows = rows.filter(c("session").isin(*allowed_sessions))
     matched = match_rules(rows, rules)
-    slim = matched.select(*keys, idx, "time", "rule_id", "next_open", "path", *snapshot).join(parameters, "rule_id")
-    trades = r_outcomes(slim, spread, c("sl_pct"), c("tp_pct"), c("direction") == "LONG", max_hold, commission_r, swap_r, idx=idx)
+    slim = matched.select(*keys, idx, "time", "rule_id", "next_open", *snapshot).join(parameters, "rule_id")
+    priced = priced_entries(slim, spread, c("sl_pct"), c("tp_pct"), c("direction") == "LONG")
+    levels = build_levels(frame, {"l": c("low")}, {"h": c("high")}, ["close"], keys, idx)
+    own = "max_hold" in parameters.columns
+    reach = parameters.agg(F.max("max_hold")).first()[0] or 1 if own else max_hold
+    hold = (c("max_hold") if own else F.lit(max_hold)).cast("long")
+    trades = book_r(resolve(priced, levels, "stop_level", "target_level", "side", hold, idx, reach=reach), spread, commission_r, swap_r, idx)
     free = free_after_cooldown(cooldown) if acceptance == "exit" else free_after_signal_cooldown(cooldown)
     return non_overlapping(trades, ["rule_id", *keys], free)
 

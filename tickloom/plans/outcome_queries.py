@@ -203,6 +203,20 @@ def scores(spark, folder):
     return out.select("rule_id", "trades", "wins", F.round("win_rate", 6).alias("win_rate"), *[F.round(n, 4).alias(n) for n in ("profit_factor", "avg_rr", "expectancy_r")])
 
 
+HOLDS = {"r1": 5, "r2": 60, "r3": 700, "r4": 5000, "r5": 50_000}
+_HOLD = "CASE l.rule_id " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in HOLDS.items()) + " END"
+
+
+@query("j3_rule_trades_mixed_holds", f"""WITH RECURSIVE {CANDLES}, {_RULE_SQL}, {_PARAM_SQL}, {_COOL.replace("l.bar_idx + 8)", f"l.bar_idx + {_HOLD})").replace("coalesce(kg, 999)", "coalesce(kg, 999999)")}
+SELECT rule_id, symbol, entry_idx, outcome, CAST(held AS BIGINT) AS bars_held, round(booked, 8) AS booked_r FROM trades""")
+def mixed_hold_trades(spark, folder):
+    """Every rule with a hold of its own, from 5 to 50,000 bars."""
+    rules, parameters = rule_tables(spark)
+    holds = F.create_map(*[x for k, v in HOLDS.items() for x in (F.lit(k), F.lit(v))])
+    out = I.rule_trades(candles(spark, folder), rules, parameters.withColumn("max_hold", holds[c("rule_id")]), commission_r=0.02, swap_r=0.001)
+    return rounded(out.select("rule_id", "symbol", "entry_idx", "outcome", "bars_held", "booked_r"), 8)
+
+
 @query("j11_rules_across_symbols", f"""{_CROSS_SQL} SELECT rule_id, symbol, count(*) AS trades, round(avg(booked), 8) AS expectancy_r, round(sum(booked), 8) AS total_r FROM trades GROUP BY 1, 2""")
 def across_symbols(spark, folder):
     out = rule_trades(spark, folder, "signal").groupBy("rule_id", "symbol").agg(
@@ -314,6 +328,21 @@ def long_replay(spark, folder):
                       F.round("exit_price", 6).alias("exit_price"), F.round("net_pnl", 4).alias("net_pnl"))
 
 
+_DEEP = _LONG.replace("WHEN 1 THEN 60 WHEN 2 THEN 200 ELSE 500 END AS mh", "WHEN 1 THEN 500 WHEN 2 THEN 5000 ELSE 50000 END AS mh").replace("coalesce(kg, 9999)", "coalesce(kg, 999999)")
+
+
+@query("j2_mixed_hold_replay", _DEEP)
+def mixed_replay(spark, folder):
+    """Holds of 5 and of 50,000 bars side by side: a row carries one cell of extremes whatever its hold."""
+    bars, signals = _quote_signals(spark, folder)
+    turn = c("bar_idx") % 4
+    signals = signals.withColumns({
+        "max_hold_bars": F.when(turn == 0, 5).when(turn == 1, 500).when(turn == 2, 5000).otherwise(50_000), "stop_distance": F.lit(150.0), "target_distance": F.lit(250.0)})
+    out = J.bar_replay(bars, signals, commission_per_lot=7.0)
+    return out.select("symbol", "signal_time", "entry_time", "exit_reason", c("hold_bars").cast("long").alias("hold_bars"), F.round("entry_price", 6).alias("entry_price"),
+                      F.round("exit_price", 6).alias("exit_price"), F.round("net_pnl", 4).alias("net_pnl"))
+
+
 _TRAIL = f"""WITH RECURSIVE {sql.QUOTES}, sg AS (SELECT *, CASE WHEN close > open + 5 THEN 1 WHEN close < open - 5 THEN -1 END AS sd FROM bars),
 en AS (SELECT s.symbol, s.bar_idx, n.time AS entry_time, sd, CASE sd WHEN 1 THEN n.ask_open ELSE n.bid_open END AS en FROM sg s JOIN bars n ON n.symbol = s.symbol AND n.bar_idx = s.bar_idx + 1 WHERE sd IS NOT NULL),
 st AS (SELECT symbol, bar_idx, entry_time, sd, en, 0 AS k, en - sd * 20 AS stop, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS px, entry_time AS xt FROM en
