@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tickloom.llm.ngram_join import BLOCK, FINE, CountTree, jaccard_components, needed_overlap
+from tickloom.llm.ngram_join import BLOCK, COARSE, COUNT, FINE, CountTree, fold, jaccard_components, needed_overlap, representatives
 from tickloom.llm.text import BLANK, NOT_LETTER, Words
 
 
@@ -86,6 +86,27 @@ def test_tree_keeps_every_close_point():
     assert BLOCK > CountTree.LEAF
 
 
+def test_counts_beyond_sixteen_bits():
+    """Groups of 80,000 shingles: a bound from wrapped counts would rule out equal sets."""
+    point = np.full((1, FINE), 80_000 // (FINE // COARSE), dtype=COUNT)
+    point[0, :3] = 80_000
+    assert fold(point)[0].astype(np.int64).sum() == point.astype(np.int64).sum() and fold(point)[0, 0] > 65_535
+    size = np.array([int(point.sum())])
+    assert CountTree(point, size).search(point[0], size[0], 85, 100).tolist() == [0]
+
+
+def test_one_row_of_each_group_stays(spark, odd):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, text), (3, text), (None, text), (None, text), (2, text + " more"), (7, "one text of its own"), (7, text), (None, "alone without an id"), (8, None), (8, None), (9, " ")]
+    df = spark.createDataFrame([(*r, k, "s") for k, r in enumerate(rows)], "doc_id long, text string, row int, component_id string")
+    kept = representatives(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(2, text + " more"), (7, "one text of its own"), (0, "alone without an id"), (8, ""), (8, ""), (9, " ")])
+    none = df.where("doc_id IS NULL")
+    assert sorted(r.text for r in representatives(none).collect()) == ["alone without an id", text]
+    assert representatives(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("separators,pattern", [(BLANK, r"[^\x20\x09-\x0D]+"), (NOT_LETTER, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
 def test_words(separators, pattern):
     texts = ["", None, "A b", "é\x0bü 12-x", "  lead", "trail ", "x", "Straße y"]

@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.store import components, partitions, store
+from tickloom.llm.store import components, fresh, partitions, store
 from tickloom.llm.text import BLANK, U, Words, mix, signed, slices
 
 #: Groups of a point: coarse ones for boxes and first tests, fine ones for points that pass.
 COARSE, FINE = 64, 1024
+#: Counts in a group; a text of 2**32 shingles would take more than a row can hold.
+COUNT = np.uint32
 SMALL = 64
 #: Points that one search holds at once; larger families meet block by block.
 BLOCK = 4000
@@ -116,7 +118,7 @@ _FACTS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()),
 
 def fold(fine: np.ndarray) -> np.ndarray:
     """Counts in the coarse groups, each a sum of fine ones."""
-    return fine.reshape(len(fine), FINE // COARSE, COARSE).sum(axis=1, dtype=np.uint16)
+    return fine.reshape(len(fine), FINE // COARSE, COARSE).sum(axis=1, dtype=COUNT)
 
 
 def _facts(width: int):
@@ -127,7 +129,7 @@ def _facts(width: int):
                 for found in shingle_sets(part.column("text"), width):
                     n.append(len(found))
                     names.append(set_name(found))
-                    own = np.bincount((found & U(FINE - 1)).astype(np.int64), minlength=FINE).astype(np.uint16)
+                    own = np.bincount((found & U(FINE - 1)).astype(np.int64), minlength=FINE).astype(COUNT)
                     counts.append(fold(own[None, :]).tobytes())
                     fine.append(own.tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(counts, pa.binary()), pa.array(fine, pa.binary())], schema=_FACTS)
@@ -249,7 +251,7 @@ class CountTree:
 
 
 def _vectors(column, groups: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint16).reshape(-1, groups)
+    return np.frombuffer(b"".join(column), dtype=COUNT).reshape(-1, groups)
 
 
 def _search_families(num: int, den: int):
@@ -313,6 +315,21 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return joined.select("a", "b", "text_a", "text").mapInArrow(_verify(width, num, den), "a long, b long").distinct()
 
 
+def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """The rows of `docs` of which one per group of linked texts stays: that with the least id.
+
+    Rows are grouped, not ids: of repeated rows one stays, and so of copies that share an id or have
+    none (a null id comes after all others); two texts under one id are judged each by itself.  Null,
+    empty and blank texts link with nothing and all stay.  All columns come back, whatever their names.
+    """
+    key = fresh("row", docs)
+    rows = store(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows.select(key, F.col(text_column).alias("text")), key, "text", width, num, den).select(F.col(key).alias("k"), F.col("component_id").alias("c"))
+    ids = rows.select(F.col(key).alias("k"), F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col(key).alias("row")).alias("rank"))
+    best = found.join(ids, "k").groupBy("c").agg(F.min("rank").alias("best")).select(F.col("best.row").alias(key))
+    return rows.join(best, key, "left_semi").select(*docs.columns)
+
+
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row per row of `docs`: the id, `n_shingles` and `component_id`.
 

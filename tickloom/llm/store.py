@@ -24,6 +24,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """`name`, or with underscores in front of it, so that `df` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession, rows: int, each: int) -> int:
     """How many partitions hold `rows` at about `each` per partition, at least the session's number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
