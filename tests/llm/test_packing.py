@@ -57,6 +57,18 @@ def test_equal_lengths_share_larger_sequences():
     assert sorted(dict(zip(bins.tolist(), capacity.tolist())).values())[0] == 512
 
 
+def test_placement_does_not_depend_on_partitions(spark, docs):
+    """A third of the rows are copies of one; any number of lots, any partitioning."""
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, "a b c d")] * 100, "doc_id long, text string"))
+    for lot in (40, 100_000):
+        pick = lambda df: sorted(tuple(r) for r in pack_documents(df, lot=lot, sizes=(64, 512)).select("doc_id", "piece", "n_tokens", "lot", "bin", "bin_offset", "capacity").collect())
+        one = pick(rows.repartition(3))
+        assert one == pick(rows.repartition(7)) == pick(rows.coalesce(1))
+        if lot == 40:
+            copies = [r[3] for r in one if r[0] == -1]
+            assert len(set(copies)) > 5  # copies part
+
+
 def test_odd_rows(spark, odd, none):
     rows = pack_documents(odd).collect()
     assert sum(r.n_tokens for r in rows if r.doc_id in (1, 2, 3)) == 3 and sum(r.n_tokens for r in rows if r.doc_id == 5) == 60_002

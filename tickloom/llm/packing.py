@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.store import store
@@ -24,6 +24,8 @@ from tickloom.llm.text import BLANK, Words, slices
 SIZES = (256, 512, 1024, 2048, 4096)
 #: Pieces in a lot: hundreds of sequences even of the greatest length, seconds of work.
 LOT = 25_000
+#: Heaps in which equal pieces are counted.
+SALTS = 64
 #: Cost of a sequence: its length plus the square over this (attention), in tokens.
 ATTENTION = 16_384
 
@@ -108,12 +110,26 @@ def _packed(sizes: Sequence[int]):
     return run
 
 
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """Add `turn`: the number of a piece among equal ones, so that copies part and partitions do not matter.
+
+    Equal pieces are counted in heaps by `salt` first: no task numbers more than one heap of them.
+    """
+    before = Window.partitionBy("spread").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    sums = pieces.groupBy("spread", "salt").agg(F.count("*").alias("n"))
+    again = sums.groupBy("spread").agg(F.sum("n").alias("all")).where("all > 1").select("spread")
+    begins = sums.join(again, "spread", "left_semi").select("spread", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    inside = F.row_number().over(Window.partitionBy("spread", "salt").orderBy("piece"))
+    return pieces.withColumn("own", inside).join(begins, ["spread", "salt"], "left").withColumn("turn", F.coalesce("begin", F.lit(0)) + F.col("own") - 1).drop("salt", "own", "begin")
+
+
 def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = None, sizes: Sequence[int] = SIZES, lot: int = LOT) -> DataFrame:
     """One row per piece: its document and tokens, and the sequence (`lot`, `bin`), place in it and capacity.
 
     A document's tokens are its words and one end, or what `length_column` says (null or less
     than one: none, so no piece).  A null or empty text is a single end.  Repeated rows are
-    packed each; rows with a null id are packed as well.  Other columns are ignored.
+    packed each; rows with a null id are packed as well.  The placement depends on the rows alone:
+    a lot is dealt by the hash of a piece and its number among equal pieces, not by partitions.  Other columns are ignored.
     """
     greatest = max(sizes)
     base = docs.select(F.col(id_column).alias("id"), *([F.col(length_column).cast("long").alias("tokens")] if length_column else [F.col(text_column).cast("string").alias("text")]))
@@ -124,9 +140,9 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     firsts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / greatest))
     pieces = base.select("id", "tokens", F.explode(firsts).alias("piece")).select(
         "id", "piece", (F.col("piece") * greatest).alias("first_token"), F.least(F.lit(greatest).cast("long"), F.col("tokens") - F.col("piece") * greatest).alias("n_tokens"))
-    pieces = store(pieces.withColumn("spread", F.xxhash64("id", "piece", F.lit(5))), "pieces")
+    pieces = pieces.withColumns({"spread": F.xxhash64("id", "piece", F.lit(5)), "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))})
+    pieces = store(pieces, "pieces")
     lots = max(1, -(-pieces.count() // lot))
-    # Copies of a row hash alike, but a lot of them is not larger for it: equal rows are dealt by turns.
-    dealt = pieces.withColumn("lot", F.pmod(F.xxhash64("spread", F.monotonically_increasing_id()) if lots > 1 else F.col("spread"), F.lit(lots)))
+    dealt = _numbered(pieces).withColumn("lot", F.pmod(F.xxhash64("spread", "turn"), F.lit(lots)))
     out = dealt.groupBy("lot").applyInPandas(_packed(tuple(sizes)), f"id {kind}, piece long, first_token long, n_tokens long, lot long, bin long, bin_offset long, capacity long")
     return out.withColumnRenamed("id", id_column)
