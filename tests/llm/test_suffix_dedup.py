@@ -48,6 +48,15 @@ def test_documents(docs, texts):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == brute(list(texts.items()))
 
 
+def test_kept_text(docs, texts):
+    """What is left comes back as text: its bytes have the hash, but where a cut splits a character."""
+    for r in repeated_spans(docs).collect():
+        data, at, rest = (texts[r.doc_id] or "").encode(), 0, b""
+        for a, b in r.spans:
+            rest, at = rest + data[at:a], b
+        assert r.text == (rest + data[at:]).decode("utf-8", "replace")
+
+
 def test_odd_rows(odd, none):
     rows = repeated_spans(odd).collect()
     assert len(rows) == 9

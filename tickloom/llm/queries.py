@@ -41,8 +41,7 @@ def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = suffix_dedup.repeated_spans(table(spark, folder, "documents"))
-    return found.drop("spans")
+    return suffix_dedup.repeated_spans(table(spark, folder, "documents"))
 
 
 def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:

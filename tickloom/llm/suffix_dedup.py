@@ -106,8 +106,8 @@ def _facts(length: int):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists["place"]])]).astype(np.int32)
                 nested = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists[c]) if lists[c] else [], pa.int64())) for c in _LISTS]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("k1"), part.column("k2"), pa.array(np.diff(edges), pa.int64()), pa.array(sha, pa.string()), pa.array(own, pa.list_(pa.list_(pa.int64()))), *nested],
-                    names=["id", "k1", "k2", "n_bytes", "sha", "own", *_LISTS])
+                    [part.column("id"), part.column("k1"), part.column("k2"), pa.array(np.diff(edges), pa.int64()), pa.array(sha, pa.string()), pa.array(own, pa.list_(pa.list_(pa.int64()))), *nested, part.column("text")],
+                    names=["id", "k1", "k2", "n_bytes", "sha", "own", *_LISTS, "text"])
     return run
 
 
@@ -253,7 +253,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             data, edges = column_bytes(part.column("text"))
-            removed, count, sha, spans = [], [], [], []
+            removed, count, sha, kept, spans = [], [], [], [], []
             for i, rows in enumerate(part.column("spans").to_pylist()):
                 merged: list[list[int]] = []
                 for a, b in sorted(rows):
@@ -266,15 +266,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keep[a:b] = False
                 removed.append(int((~keep).sum()))
                 count.append(len(merged))
-                sha.append(hashlib.sha256(data[edges[i]: edges[i + 1]][keep].tobytes()).hexdigest())
+                rest = data[edges[i]: edges[i + 1]][keep].tobytes()
+                sha.append(hashlib.sha256(rest).hexdigest())
+                kept.append(rest.decode("utf-8", "replace"))  # a cut may fall inside a character
                 spans.append(merged)
             yield pa.RecordBatch.from_arrays(
-                [part.column("k1"), part.column("k2"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
-                names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "spans"])
+                [part.column("k1"), part.column("k2"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
+                names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """One row per row of `docs`: bytes, removed bytes, maximal removed runs (`spans`) and the hash of what is left.
+    """One row per row of `docs`: bytes, removed bytes, maximal removed runs (`spans`), the hash of what is left, and that as text.
 
     A byte goes if a string of `length` bytes over it also starts anywhere else.  Null and empty
     texts have no bytes; repeated rows are copies of each other and lose what is long enough;
@@ -284,7 +286,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     base = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(F.col(id_column), text).alias("k1"), F.xxhash64(F.col(id_column), F.lit(1)).alias("k2"))
     kind = base.schema["id"].dataType.simpleString()
-    facts = store(base.mapInArrow(_facts(length), f"id {kind}, k1 long, k2 long, n_bytes long, sha string, own array<array<bigint>>, " + ", ".join(f"{c} array<bigint>" for c in _LISTS)), "anchors")
+    facts = store(base.mapInArrow(_facts(length), f"id {kind}, k1 long, k2 long, n_bytes long, sha string, own array<array<bigint>>, " + ", ".join(f"{c} array<bigint>" for c in _LISTS) + ", text string"), "anchors")
     total = facts.agg(F.sum(F.size("place"))).first()[0] or 0
     suffixes = facts.select("k1", "k2", F.explode(F.arrays_zip(*_LISTS)).alias("a")).select("a.gram", "a.right", "a.left", "k1", "k2", "a.place", "a.low", "a.high")
     shared = suffixes.repartition(partitions(spark, total, 500_000), "gram").mapInArrow(_shared, "gram long, k1 long, k2 long, place long, low long, high long")
@@ -313,8 +315,9 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spans = around.repartitionByRange(parts, "lead").mapInArrow(_match(length), "k1 long, k2 long, begin long, end long")
     spans = spans.union(hits) if hits is not None else spans
     per = spans.union(alone).groupBy("k1", "k2").agg(F.collect_list(F.array("begin", "end")).alias("spans"))
-    cut = texts.select("k1", "k2", "text").join(per, ["k1", "k2"]).mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>").dropDuplicates(["k1", "k2"])
-    out = facts.select("id", "k1", "k2", "n_bytes", "sha").join(cut, ["k1", "k2"], "left")
+    cut = texts.select("k1", "k2", "text").join(per, ["k1", "k2"]).mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<array<bigint>>").dropDuplicates(["k1", "k2"])
+    out = facts.select("id", "k1", "k2", "n_bytes", "sha", "text").join(cut, ["k1", "k2"], "left")
     return out.select(
         F.col("id").alias(id_column), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.expr("CAST(array() AS array<array<bigint>>)")).alias("spans"))
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.expr("CAST(array() AS array<array<bigint>>)")).alias("spans"),
+        F.coalesce("kept", "text").alias(text_column))
