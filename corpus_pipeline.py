@@ -1,4 +1,7 @@
-"""A training corpus from `documents`: rule out, deduplicate, decontaminate, redact, pack."""
+"""A training corpus from `documents`: rule out, deduplicate, decontaminate, redact, pack.
+
+Every stage takes an empty table and gives one; columns it does not know pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.decontaminate import remove_contamination
-from tickloom.llm.ngram_join import jaccard_components
+from tickloom.llm.ngram_join import representatives
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.pii import redact
 from tickloom.llm.quality_forest import keep_good
@@ -23,29 +26,39 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the isolation forest reject go."""
+    """Documents that the base rules or the isolation forest reject go.
+
+    Null, empty and very short texts fail the base rules; repeated rows are judged alike and both stay or go.
+    """
     return keep_good(docs, table(ship(spark), sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays.  Rows without an id stay."""
-    found = jaccard_components(docs, width=WORDS, num=NUM, den=DEN)
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked rows the one with the least id stays; rows without words link with nothing and stay."""
+    return representatives(docs, width=WORDS, num=NUM, den=DEN)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark are cut out; documents of which nothing is left go."""
+    """Passages of the benchmark are cut out; documents of which nothing is left go.
+
+    Texts without words have no passages and stay; repeated rows are each cut; whole texts of any length are read.
+    """
     return _counted(remove_contamination(docs, table(ship(spark), sf_dir, "benchmark")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind.
+
+    A null or empty text stays as it is; repeated rows are each redacted; ties between overlapping spans go to the first.
+    """
     return _counted(redact(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document: its tokens and its place in a training sequence."""
+    """One row per piece of a document: its tokens and its place in a training sequence.
+
+    A null or empty text is a single end token; repeated rows are packed each; long texts become several pieces.
+    """
     return pack_documents(docs)
 
 
