@@ -106,8 +106,8 @@ def _facts(length: int):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists["place"]])]).astype(np.int32)
                 nested = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists[c]) if lists[c] else [], pa.int64())) for c in _LISTS]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("k1"), part.column("k2"), pa.array(np.diff(edges), pa.int64()), pa.array(sha, pa.string()), pa.array(own, pa.list_(pa.list_(pa.int64()))), *nested, part.column("text")],
-                    names=["id", "k1", "k2", "n_bytes", "sha", "own", *_LISTS, "text"])
+                    [part.column("id"), part.column("k1"), part.column("k2"), pa.array(np.diff(edges), pa.int64()), pa.array(sha, pa.string()), pa.array(own, pa.list_(pa.list_(pa.int64()))), *nested],
+                    names=["id", "k1", "k2", "n_bytes", "sha", "own", *_LISTS])
     return run
 
 
@@ -286,7 +286,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     base = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(F.col(id_column), text).alias("k1"), F.xxhash64(F.col(id_column), F.lit(1)).alias("k2"))
     kind = base.schema["id"].dataType.simpleString()
-    facts = store(base.mapInArrow(_facts(length), f"id {kind}, k1 long, k2 long, n_bytes long, sha string, own array<array<bigint>>, " + ", ".join(f"{c} array<bigint>" for c in _LISTS) + ", text string"), "anchors")
+    facts = store(base.mapInArrow(_facts(length), f"id {kind}, k1 long, k2 long, n_bytes long, sha string, own array<array<bigint>>, " + ", ".join(f"{c} array<bigint>" for c in _LISTS)), "anchors")
     total = facts.agg(F.sum(F.size("place"))).first()[0] or 0
     suffixes = facts.select("k1", "k2", F.explode(F.arrays_zip(*_LISTS)).alias("a")).select("a.gram", "a.right", "a.left", "k1", "k2", "a.place", "a.low", "a.high")
     shared = suffixes.repartition(partitions(spark, total, 500_000), "gram").mapInArrow(_shared, "gram long, k1 long, k2 long, place long, low long, high long")
@@ -316,7 +316,9 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spans = spans.union(hits) if hits is not None else spans
     per = spans.union(alone).groupBy("k1", "k2").agg(F.collect_list(F.array("begin", "end")).alias("spans"))
     cut = texts.select("k1", "k2", "text").join(per, ["k1", "k2"]).mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<array<bigint>>").dropDuplicates(["k1", "k2"])
-    out = facts.select("id", "k1", "k2", "n_bytes", "sha", "text").join(cut, ["k1", "k2"], "left")
+    # Equal rows share their results; the texts come from the table itself once more, not from a stored copy.
+    results = facts.select("k1", "k2", "n_bytes", "sha").dropDuplicates(["k1", "k2"]).join(cut, ["k1", "k2"], "left")
+    out = base.join(results, ["k1", "k2"])
     return out.select(
         F.col("id").alias(id_column), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.expr("CAST(array() AS array<array<bigint>>)")).alias("spans"),
