@@ -135,7 +135,7 @@ def test_stream_reports_first_touch(spark, tmp_path):
     t.coalesce(1).write.parquet(path)
     stream = spark.readStream.schema(t.schema).parquet(path)
     signals = stream.filter("second(time) = 0").select("symbol", "time", F.lit("up").alias("signal_id"), F.lit(1).alias("side"), F.lit(95.0).alias("stop_price"), F.lit(101.0).alias("target_price"), F.lit(None).cast("timestamp").alias("deadline"))
-    rows = drain(first_touch_stream(touch_events(signals, stream, shards=2)), spark, tmp_path, "touched").collect()
+    rows = drain(first_touch_stream(touch_events(signals, stream, shards=2), lateness="0 seconds"), spark, tmp_path, "touched").collect()
     assert [(r.signal_id, r.exit_price, r.exit_reason) for r in rows] == [("up", 101.5, "take_profit")]
 
 

@@ -269,15 +269,16 @@ def gap_bars(spark, folder):
 
 
 @query("q1_streaming_first_touch", f"""WITH {sql.TICKS}, sg AS (SELECT symbol, time, seq, CASE WHEN seq % 20 = 0 THEN 1 ELSE -1 END AS sd, CASE WHEN seq % 20 = 0 THEN ask ELSE bid END AS px, time + INTERVAL 12 HOUR AS dl FROM ticks WHERE seq % 10 = 0),
+m AS (SELECT date_trunc('milliseconds', max(time)) - INTERVAL 10 MINUTE AS w FROM ticks),
 h AS (SELECT s.symbol, s.seq, k.time, CASE sd WHEN 1 THEN k.bid ELSE k.ask END AS p, CASE WHEN k.time >= dl THEN 'max_hold' WHEN sd * (CASE sd WHEN 1 THEN k.bid ELSE k.ask END - (px - sd * 25)) <= 0 THEN 'stop_loss' WHEN sd * (CASE sd WHEN 1 THEN k.bid ELSE k.ask END - (px + sd * 25)) >= 0 THEN 'take_profit' END AS r
-  FROM sg s JOIN ticks k ON k.symbol = s.symbol AND k.time > s.time AND k.time < s.time + INTERVAL 72 HOUR)
+  FROM sg s JOIN ticks k ON k.symbol = s.symbol AND k.time > s.time, m WHERE k.time <= m.w)
 SELECT symbol, CAST(seq AS VARCHAR) AS signal_id, min(time) AS exit_time, round(arg_min(p, time), 6) AS exit_price, arg_min(r, time) AS exit_reason FROM h WHERE r IS NOT NULL GROUP BY symbol, seq""")
 def streaming_touch(spark, folder):
-    """Every tenth quote opens a signal; the stream reports which level it touches first."""
+    """Every tenth quote opens a signal; the stream reports which level it touches first, up to its watermark."""
     quotes = tick_stream(spark, folder)
     opened = quotes.filter("seq % 10 = 0").withColumns({
         "signal_id": c("seq").cast("string"), "side": F.when(c("seq") % 20 == 0, 1).otherwise(-1), "deadline": c("time") + F.expr("INTERVAL 12 HOURS")})
     price = F.when(c("side") > 0, c("ask")).otherwise(c("bid"))
     opened = opened.withColumns({"stop_price": price - c("side") * 25, "target_price": price + c("side") * 25})
-    out = drain(first_touch_stream(touch_events(opened, quotes, shards=4)), spark)
+    out = drain(first_touch_stream(touch_events(opened, quotes, shards=4), silence="7 days"), spark)
     return rounded(out.select("symbol", "signal_id", c("exit_time").cast("timestamp_ntz").alias("exit_time"), "exit_price", "exit_reason"))
