@@ -85,3 +85,26 @@ def test_range_join_equals_brute_force(spark):
     got = range_join(spark.createDataFrame(points), spark.createDataFrame(spans), "p", "lo", "hi", 10.0).count()
     want = sum(((points.p >= lo) & (points.p < hi)).sum() for lo, hi in spans.values)
     assert got == want
+
+
+def test_asof_reads_each_side_once(spark, bars, tmp_path):
+    """The plan has one scan per side and deals the stacked rows once."""
+    bars.write.parquet(str(tmp_path / "l"))
+    bars.select("symbol", "time", F.col("close").alias("x")).write.parquet(str(tmp_path / "r"))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in "lr")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for direction in ("backward", "forward"):
+            plan = asof_join(left, right, ["x"], direction=direction)._jdf.queryExecution().executedPlan().toString()
+                assert plan.count("FileScan") == 2 and "ReusedExchange" in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_asof_ties_take_the_order_asked_for(spark):
+    """Several right rows at one moment: the last by `right_order` looking back, the first looking ahead."""
+    left = spark.createDataFrame([("A", "2024-01-01 10:00:00", 1), ("A", "2024-01-03 00:00:00", 2), (None, "2024-01-01 10:00:00", 3)], "symbol string, at string, n int").withColumn("time", F.col("at").cast("timestamp")).drop("at")
+    right = spark.createDataFrame([("A", "2024-01-01 10:00:00", k, float(k)) for k in (3, 1, 2)] + [("A", "2024-01-05 00:00:00", k, 10.0 + k) for k in (2, 1)], "symbol string, at string, seq int, x double")
+    right = right.withColumn("time", F.col("at").cast("timestamp"))
+    pick = lambda direction: sorted((r.n, r.x) for r in asof_join(left, right, ["x"], direction=direction, right_order=["seq"], bucket_seconds=3600).collect())
+    assert pick("backward") == [(1, 3.0), (2, 3.0)] and pick("forward") == [(1, 1.0), (2, 11.0)]

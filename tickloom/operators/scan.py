@@ -320,14 +320,16 @@ def asof_join(
 ) -> DataFrame:
     """Attach the latest right row at or before (or, forward, the first at or after) each left row.
 
-    Both sides are stacked and sorted inside (key, time bucket); the right row carried
-    into a bucket comes from one summary row per bucket.  Added columns are
+    Both sides are stacked, dealt by (key, time bucket) once and sorted there, so each is read
+    once; the right row carried into a bucket comes from one summary row per bucket.  Left rows
+    without a key or a time drop out.  Added columns are
     `prefix + name`.  `right_order` breaks ties between right rows of equal time.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"unknown as-of direction: {direction}")
     keys = list(keys)
-    sign = 1 if direction == "backward" else -1
+    backward = direction == "backward"
+    sign = 1 if backward else -1
     payload = F.struct(*[F.col(c).alias(prefix + c) for c in columns])
     tie = F.struct(*[F.col(c) for c in right_order]) if right_order else F.lit(0)
 
@@ -335,19 +337,20 @@ def asof_join(
         return df.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")) * sign).withColumn(
             "_bucket", F.floor(F.col("_t") / (bucket_seconds * 1_000_000)).cast("long"))
 
-    right_last = placed(right.filter(F.col(right_time).isNotNull()), right_time).groupBy(*keys, "_bucket", "_t").agg(
-        (F.max_by if direction == "backward" else F.min_by)(payload, tie).alias("_right"))
+    right_rows = placed(right.filter(F.col(right_time).isNotNull()), right_time).select(
+        *keys, "_bucket", "_t", payload.alias("_right"), tie.alias("_tie"), F.lit(0).alias("_side"))
     left_rows = placed(left, left_time).select(
-        *keys, "_bucket", "_t", F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
-    stacked = left_rows.withColumn("_side", F.lit(1)).unionByName(
-        right_last.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+        *keys, "_bucket", "_t", F.struct(*[F.col(c) for c in left.columns]).alias("_left"), F.lit(1).alias("_side"))
+    # Dealt once: with the same columns and the same filters both readers below share one exchange.
+    stacked = left_rows.unionByName(right_rows, allowMissingColumns=True).filter(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "_bucket"])).repartition(*keys, "_bucket")
+    # Of right rows at one moment the last by `right_order` counts looking back, the first looking ahead.
+    nearest = (F.max_by if backward else F.min_by)("_right", F.when((F.col("_side") == 0) & F.col("_left").isNull(), F.struct(F.col("_t") * sign, "_tie")))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        stacked.groupBy(*keys, "_bucket").agg(F.max_by("_right", F.when(F.col("_side") == 0, F.col("_t"))).alias("_end"))
+        stacked.groupBy(*keys, "_bucket").agg(nearest.alias("_end"))
         .select(*keys, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
     )
-    inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side", F.col("_tie").asc() if backward else F.col("_tie").desc()).rowsBetween(Window.unboundedPreceding, 0)
     matched = (
         stacked.join(carry, [*keys, "_bucket"])
         .withColumn("_match", F.coalesce(F.last("_right", ignorenulls=True).over(inside), F.col("_carry")))
