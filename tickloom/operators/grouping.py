@@ -128,8 +128,16 @@ def refine_by_shape(
     return better
 
 
-def fit_win_filter(train: DataFrame, columns: Sequence[str], won: str = "won", seed: int = 42) -> PipelineModel:
-    """Win-probability model on the signal bar's features."""
+def fit_win_filter(train: DataFrame, columns: Sequence[str], won: str = "won", seed: int = 42, least: int = 120) -> PipelineModel:
+    """Win-probability model on the signal bar's features.
+
+    Raises ValueError under `least` trades, and where all of them won or all lost.
+    """
+    seen = train.agg(F.count(won).alias("n"), F.min(won).alias("low"), F.max(won).alias("high")).first()
+    if seen.n < least:
+        raise ValueError(f"only {seen.n} trades to learn from, {least} are needed")
+    if seen.low == seen.high:
+        raise ValueError("all trades to learn from ended alike")
     vectors = VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="keep")
     trees = GBTClassifier(featuresCol="_features", labelCol=won, maxDepth=4, maxIter=20, stepSize=0.1, minInstancesPerNode=30, seed=seed)
     return Pipeline(stages=[vectors, trees]).fit(train)

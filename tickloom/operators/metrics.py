@@ -138,6 +138,25 @@ def worst_streak(trades: DataFrame, keys: Sequence[str], order: Sequence[str], l
     return trades.select(*keys).distinct().join(longest, list(keys), "left").fillna(0, subset=["max_consecutive_losses"])
 
 
+def r_metrics(
+    trades: DataFrame, days: DataFrame, keys: Sequence[str] = ("rule_id",), r: str = "booked_r", order: Sequence[str] = ("entry_idx",),
+    bucket: Column | None = None,
+) -> DataFrame:
+    """All metrics in units of risk: those of `rule_scores`, largest drawdown, longest losing run, trades per day.
+
+    `days` has `trading_days` per key (or one row for all, without the keys).  The drawdown is measured from
+    the running peak of summed R, which starts at 0.
+    """
+    keys = list(keys)
+    bucket = F.floor(c(order[0]) / 4096) if bucket is None else bucket
+    out = rule_scores(trades, keys, r)
+    fallen = drawdowns(trades, 0.0, keys, pnl=r, order=order, bucket=bucket).select(*keys, c("max_drawdown").alias("max_drawdown_r"))
+    out = out.join(fallen, keys).join(worst_streak(trades, keys, order, c(r) <= 0, bucket), keys)
+    shared = [k for k in keys if k in days.columns]
+    out = out.join(days.select(*shared, "trading_days"), shared) if shared else out.crossJoin(F.broadcast(days.select("trading_days").limit(1)))
+    return out.withColumn("per_day", c("trades") / F.greatest(c("trading_days"), F.lit(1)))
+
+
 def wilson_interval(wins: Column, trades: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.greatest(wilson_lower(wins, trades, z), F.lit(0.0)), F.least(wilson_upper(wins, trades, z), F.lit(1.0))
 
@@ -191,16 +210,21 @@ def composite_score(
 
 
 def recent_degradation(
-    trades: DataFrame, keys: Sequence[str] = ("strategy_id",), won: Column | None = None, recent_rows: int = 200,
-    position: str = "trade_idx",
+    trades: DataFrame, keys: Sequence[str] = ("strategy_id",), won: Column | None = None, recent_rows: int = 8000,
+    position: str = "trade_idx", least: int = 10,
 ) -> DataFrame:
-    """Win rate overall and over the most recent third, at most `recent_rows` trades; needs positions."""
+    """Win rate overall and over the most recent third, at most `recent_rows` trades; needs positions.
+
+    Under `least` trades both are 0; where no trade counts as recent, the overall rate stands in.
+    """
     won = c("net_pnl") > 0 if won is None else won
     sizes = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     aged = trades.join(sizes, list(keys))
     late = c(position) >= c("_n") - F.least(F.lit(recent_rows), F.floor(c("_n") / 3))
+    overall, recent = F.avg(won.cast("int")), F.avg(F.when(late, won.cast("int")))
+    few = F.max("_n") < least
     return aged.groupBy(*keys).agg(
-        F.round(F.avg(won.cast("int")) * 100, 1).alias("overall_wr"), F.round(F.avg(F.when(late, won.cast("int"))) * 100, 1).alias("recent_wr"))
+        F.when(few, 0.0).otherwise(F.round(overall * 100, 1)).alias("overall_wr"), F.when(few, 0.0).otherwise(F.round(F.coalesce(recent, overall) * 100, 1)).alias("recent_wr"))
 
 
 # End hour (exclusive) and name of the report's entry-hour sessions.
@@ -266,6 +290,41 @@ def role_checks(role: str, min_positive: float = 0.5, min_positive_years: int =
     return checks
 
 
+def report_checks(
+    min_trades: int = 100, min_factor: float = 1.15, min_payoff: float = 0.0, min_net: float = 0.0, max_drawdown_pct: float = 20.0,
+) -> dict[str, Column]:
+    """Promotion policy of a tester report: a missing figure counts as 0, a missing drawdown as failed."""
+    known = lambda name: F.coalesce(c(name), F.lit(0.0))
+    return {
+        "trades": known("trades") >= min_trades, "profit_factor": known("profit_factor") >= min_factor, "expected_payoff": known("expected_payoff") > min_payoff,
+        "net_profit": known("net_profit") > min_net, "equity_drawdown": c("max_drawdown_pct") <= max_drawdown_pct}
+
+
+# Bounds of the discovery filters, and which of them alone rule a candidate out.
+DISCOVERY_BOUNDS = {
+    "implied_rr": (0.30, "min"), "composite_score": (0.25, "min"), "max_drawdown_r": (12.0, "max"), "max_consecutive_losses": (8, "max"), "per_day": (0.3, "min"),
+    "gated_test_trades": (50, "min"), "box_test_profit_factor": (1.20, "min"), "box_test_expectancy_r": (0.05, "min"), "box_test_wilson_edge": (0.0, "min"), "time_consistency": (0.35, "min")}
+HARD_FILTERS = ("profit_factor", "per_day", "test_trades", "gated_test_trades", "box_test_profit_factor", "box_test_expectancy_r", "box_test_wilson_edge")
+
+
+def discovery_filters(
+    candidates: DataFrame, min_win_rate: float, min_factor: float, min_test_trades: float, hard: Sequence[str] = HARD_FILTERS, max_soft: int = 3,
+    bounds: Mapping[str, tuple[float, str]] = DISCOVERY_BOUNDS,
+) -> DataFrame:
+    """Add `hard_failed`, `soft_failed` and `decision`: drop, marginal or pass.
+
+    A failed hard filter drops a candidate, and so do more than `max_soft` failed soft ones; with fewer it
+    is marginal.  A missing figure fails.
+    """
+    limits = {
+        "win_rate_pct": (min_win_rate, "min"), "wilson_wr": (min_win_rate * 0.9, "min"), "profit_factor": (min_factor, "min"), "test_trades": (min_test_trades, "min"), **bounds}
+    held = {name: c(name) >= bound if kind == "min" else c(name) <= bound for name, (bound, kind) in limits.items()}
+    failed = lambda names: F.array_compact(F.array(*[F.when(~F.coalesce(held[n], F.lit(False)), F.lit(n)) for n in names]))
+    out = candidates.withColumns({"_hard": failed([n for n in limits if n in hard]), "_soft": failed([n for n in limits if n not in hard])})
+    decision = F.when((F.size("_hard") > 0) | (F.size("_soft") > max_soft), "drop").when(F.size("_soft") > 0, "marginal").otherwise("pass")
+    return out.withColumns({"hard_failed": F.array_join("_hard", ","), "soft_failed": F.array_join("_soft", ","), "decision": decision}).drop("_hard", "_soft")
+
+
 def validation_checks(min_trades: int, min_factor: float, min_sharpe: float, max_drawdown_pct: float, lower_trades: bool = False) -> dict[str, Column]:
     required = max(1, int(min_trades * (0.35 if lower_trades else 1.0)))
     return {

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tickloom.operators.extremes import build_levels, resolve
 from tickloom.operators.outcomes import book_r, forward_path, free_after_cooldown, free_after_signal_cooldown, non_overlapping, priced_entries, touch
 from tickloom.operators.quantiles import exact_quantiles
+from tickloom.operators.rule_index import match_by_bitmaps
 from tickloom.operators.scan import CHUNK, over_chunks
 from tickloom.schema import require_columns
-from tickloom.session import spread
+from tickloom.session import cut_lineage, spread
 
 c = F.col
 COMPILED_RULES = 256
@@ -89,7 +90,7 @@ def match_rules(
     """Every (row, rule) pair whose conditions all hold; adds `rule_id` to the row.
 
     Up to `compile_limit` rules become one generated expression per row, with no join.
-    More rules meet the rows in an equi-join on the narrowest condition's value cell.
+    More rules meet the rows through an index of bitmaps, in one pass and without a join.
     Unknown columns are skipped; a rule made only of them matches nothing.
     """
     require_columns(rules, ["rule_id", "column", "lo", "hi"], "rules")
@@ -104,30 +105,7 @@ def match_rules(
             inside = reduce(lambda a, b: a & b, [c(x["column"]).between(x["lo"], x["hi"]) for x in row.conditions])
             tests.append(F.when(inside, F.lit(row.rule_id)))
         return frame.withColumn("rule_id", F.explode(F.array_compact(F.array(*tests))))
-    return _match_by_cells(frame, usable, packed)
-
-
-def _match_by_cells(frame: DataFrame, rules: DataFrame, packed: DataFrame, cells: int = 64) -> DataFrame:
-    names = sorted(row["column"] for row in rules.select("column").distinct().collect())
-    steps = [i / cells for i in range(1, cells)]
-    edges = frame.agg(*[F.percentile_approx(c(n).cast("double"), steps).alias(n) for n in names]).first()
-    cuts = {n: sorted(set(edges[n] or [])) for n in names}
-
-    def cell(value: Column, limits: Sequence[float]) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(float(x)) for x in limits]), lambda x: x < value)) if limits else F.lit(0)
-
-    by_column = lambda value: reduce(
-        lambda acc, n: acc.when(c("column") == n, cell(value, cuts[n])), names[1:], F.when(c("column") == names[0], cell(value, cuts[names[0]])))
-    spans = rules.withColumns({"_from": by_column(c("lo")), "_to": by_column(c("hi"))})
-    narrowest = spans.groupBy("rule_id").agg(F.min(F.struct((c("_to") - c("_from")).alias("w"), "column", "_from", "_to")).alias("_pivot"))
-    pivots = narrowest.join(packed, "rule_id").select(
-        "rule_id", "conditions", c("_pivot.column").alias("_column"), F.explode(F.sequence("_pivot._from", "_pivot._to")).alias("_cell"))
-    places = F.array(*[F.struct(F.lit(n).alias("k"), cell(c(n).cast("double"), cuts[n]).alias("v")) for n in names])
-    values = F.create_map(*[x for n in names for x in (F.lit(n), c(n).cast("double"))])
-    rows = frame.withColumn("_values", values).withColumn("_place", F.explode(places)).withColumns({
-        "_column": c("_place.k"), "_cell": c("_place.v")})
-    holds = F.forall("conditions", lambda x: c("_values")[x["column"]].between(x["lo"], x["hi"]))
-    return rows.join(pivots, ["_column", "_cell"]).filter(holds).drop("_values", "_place", "_column", "_cell", "conditions")
+    return match_by_bitmaps(frame, usable)
 
 
 def match_counts(frame: DataFrame, rules: DataFrame, group_rows: int | None = None) -> DataFrame:
@@ -256,6 +234,56 @@ def fit_tree_discriminator(resolved: DataFrame, frame: DataFrame, columns: Seque
     return DecisionTreeClassifier(maxDepth=2, minInstancesPerNode=5, seed=42).fit(vectors.select("label", "features"))
 
 
+def fit_group_trees(
+    resolved: DataFrame, frame: DataFrame, group: str, columns: Sequence[str], bins: int = 16, min_rows: int = 30, min_leaf: int = 5, min_accuracy: float = 0.62,
+    depth: int = 2, keys: Sequence[str] = ("symbol",), idx: str = "bar_idx",
+) -> DataFrame:
+    """A small decision tree per group, for all groups in one pass per level.
+
+    The rows are bars where only one side won.  Thresholds are the inner `bins` quantiles of a column in
+    its group; each level counts (group, node, column, bin) histograms and takes the split of least Gini impurity
+    with `min_leaf` rows on either side (ties: earlier column, lower threshold).  Groups need `min_rows` rows
+    and the finished tree `min_accuracy` on them.  Rows with a missing value are left out.
+
+    Returns group, `n_bars`, `accuracy`, `splits` (node, column, thresh; rows at or below it go to node 2n+1, the rest
+    to 2n+2) and `leaves` (node, long, n_bars).
+    """
+    if len(columns) < 2:
+        raise ValueError("a tree needs two columns at least")
+    won = F.when((c("long_outcome") == "target") & (c("short_outcome") == "stop"), 1).when((c("long_outcome") == "stop") & (c("short_outcome") == "target"), 0)
+    decided = resolved.select(*keys, idx, group, won.alias("_long")).filter("_long IS NOT NULL")
+    rows = decided.join(frame.select(*keys, idx, *[c(n).cast("double").alias(n) for n in columns]), [*keys, idx]).na.drop(subset=list(columns))
+    rows = rows.select(group, "_long", *columns, F.lit(0).alias("_node"))
+    large = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_bars")).filter(c("n_bars") >= min_rows)
+    rows = cut_lineage(rows.join(large.select(group), group, "left_semi"))
+    names = [f"_q{i}" for i in range(1, bins)]
+    cuts = exact_quantiles(stacked(rows, columns, [group]), [group, "column"], {n: ("value", (i + 1) / bins) for i, n in enumerate(names)})
+    cuts = cut_lineage(cuts.select(group, "column", F.array(*names).alias("_cuts")))
+    place = F.element_at(F.create_map(*[x for i, n in enumerate(columns) for x in (F.lit(n), F.lit(i))]), c("column"))
+    splits = None
+    for _ in range(depth):
+        binned = stacked(rows, columns, [group, "_node", "_long"]).join(cuts, [group, "column"])
+        counts = binned.select(group, "_node", "column", "_long", "_cuts", F.size(F.filter("_cuts", lambda x: x < c("value"))).alias("_bin")).groupBy(group, "_node", "column", "_bin").agg(
+            F.count(F.lit(1)).alias("_n"), F.sum("_long").alias("_p"), F.first("_cuts").alias("_cuts"))
+        own = Window.partitionBy(group, "_node", "column")
+        upto = own.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        sides = counts.withColumns({"nl": F.sum("_n").over(upto), "pl": F.sum("_p").over(upto), "n": F.sum("_n").over(own), "p": F.sum("_p").over(own)})
+        mixed = lambda p, n: 2 * p * (n - p) / n
+        able = (c("nl") >= min_leaf) & (c("n") - c("nl") >= min_leaf) & (c("p") > 0) & (c("p") < c("n")) & (c("_bin") < bins - 1)
+        gini = mixed(c("pl"), c("nl")) + mixed(c("p") - c("pl"), c("n") - c("nl"))
+        rank = F.struct(F.round(gini, 9).alias("gini"), place.alias("place"), "_bin", "column", F.get("_cuts", c("_bin")).alias("thresh"))
+        best = cut_lineage(sides.filter(able).groupBy(group, "_node").agg(F.min(rank).alias("_b")).select(group, "_node", c("_b.column").alias("column"), c("_b.thresh").alias("thresh")))
+        value = F.element_at(F.create_map(*[x for n in columns for x in (F.lit(n), c(n))]), c("column"))
+        side = F.when(c("column").isNull(), c("_node")).when(value <= c("thresh"), 2 * c("_node") + 1).otherwise(2 * c("_node") + 2)
+        rows = rows.join(best, [group, "_node"], "left").withColumn("_node", side).select(group, "_long", *columns, "_node")
+        splits = best if splits is None else splits.unionByName(best)
+    leaves = rows.groupBy(group, "_node").agg(F.count(F.lit(1)).alias("_n"), F.sum("_long").alias("_p"))
+    leaf = F.struct(c("_node").alias("node"), (2 * c("_p") > c("_n")).alias("long"), c("_n").alias("n_bars"))
+    out = leaves.groupBy(group).agg(F.sum("_n").alias("n_bars"), (F.sum(F.greatest(c("_p"), c("_n") - c("_p"))) / F.sum("_n")).alias("accuracy"), F.array_sort(F.collect_list(leaf)).alias("leaves"))
+    trees = splits.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(c("_node").alias("node"), "column", "thresh"))).alias("splits"))
+    return out.filter(c("accuracy") >= min_accuracy).join(trees, group).select(group, "n_bars", "accuracy", "splits", "leaves")
+
+
 def expand_grid(base: DataFrame, family: str, axes: dict[str, Sequence]) -> DataFrame:
     """All parameter combinations of a signal family for each row of `base` (a symbol, say),
     with canonical JSON and a stable id."""

@@ -115,10 +115,22 @@ def composite(spark, folder):
     return rounded(K.composite_score(base).select("strategy_id", "composite_score"))
 
 
+@query("k5_r_metrics", f"""{TRADES_SQL}, o AS (SELECT rule_id, symbol, entry_idx, booked, sum(booked) OVER w AS e, sum(CASE WHEN booked > 0 THEN 1 ELSE 0 END) OVER w AS wn FROM trades WINDOW w AS (PARTITION BY rule_id, symbol ORDER BY entry_idx ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, greatest(0, max(e) OVER (PARTITION BY rule_id, symbol ORDER BY entry_idx ROWS UNBOUNDED PRECEDING)) AS pk FROM o), s AS (SELECT rule_id, symbol, max(n) AS n FROM (SELECT rule_id, symbol, wn, count(*) AS n FROM o WHERE booked <= 0 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+dd AS (SELECT symbol, count(DISTINCT CAST(time AS DATE)) AS d FROM bars GROUP BY 1),
+m AS (SELECT rule_id, symbol, count(*) AS trades, avg(booked) FILTER (booked > 0) AS w, avg(-booked) FILTER (booked < 0) AS l, max(pk - e) AS dd, CAST(count(*) FILTER (booked > 0) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY 1, 2)
+SELECT rule_id, symbol, trades, round(dd, 6) AS max_drawdown_r, coalesce(s.n, 0) AS max_consecutive_losses, round(trades / d, 6) AS per_day, round(coalesce(w / l, 0), 6) AS payoff_ratio,
+  round(CASE WHEN w / l > 0 THEN 100 / (1 + w / l) ELSE 100 END, 6) AS breakeven_wr, round(100 * greatest({_wil(K.two_sided_z(0.85), '-', 'k', 'm.n')}, 0), 6) AS wilson_wr FROM m LEFT JOIN s USING (rule_id, symbol) JOIN dd USING (symbol)""")
+def r_metrics(spark, folder):
+    days = candles(spark, folder).groupBy("symbol").agg(F.countDistinct(F.to_date("time")).alias("trading_days"))
+    out = K.r_metrics(rule_trades(spark, folder), days, ["rule_id", "symbol"])
+    return rounded(out.select("rule_id", "symbol", "trades", "max_drawdown_r", "max_consecutive_losses", "per_day", "payoff_ratio", "breakeven_wr", "wilson_wr"))
+
+
 @query("k10_recent_degradation", f"""{LED}, p AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY exit_time, trade_id) - 1 AS i, count(*) OVER (PARTITION BY strategy_id) AS n FROM ledger)
 SELECT strategy_id, round(avg(CAST(net_pnl > 0 AS INTEGER)) * 100, 1) AS overall_wr, round(avg(CAST(net_pnl > 0 AS INTEGER)) FILTER (i >= n - least(200, floor(n / 3))) * 100, 1) AS recent_wr FROM p GROUP BY 1""")
 def degradation(spark, folder):
-    return K.recent_degradation(L.positioned_trades(S.ledger(spark, folder)))
+    return K.recent_degradation(L.positioned_trades(S.ledger(spark, folder)), recent_rows=200)
 
 
 @query("k11_breakdown", f"""{LED}, t AS (SELECT *, CASE WHEN hour(entry_time) < 7 THEN 'asia' WHEN hour(entry_time) < 12 THEN 'london' WHEN hour(entry_time) < 17 THEN 'ny_overlap' WHEN hour(entry_time) < 22 THEN 'ny_late' ELSE 'rollover' END AS sess FROM ledger),
@@ -141,6 +153,36 @@ def gates(spark, folder):
     return K.gate(metrics, K.role_checks("validation")).select("strategy_id", "failed", "decision")
 
 
+@query("k13_report_policy", f"""{LED}, {_EQ}, d AS (SELECT strategy_id, max((peak - equity) / peak * 100) AS dd FROM pk GROUP BY 1), h AS (SELECT strategy_id, count(*) AS n, {_PF} AS pf, avg(net_pnl) AS ep, sum(net_pnl) AS net FROM ledger GROUP BY 1),
+f AS (SELECT strategy_id, concat_ws(',', CASE WHEN n < 100 THEN 'trades' END, CASE WHEN coalesce(pf, 0) < 1.15 THEN 'profit_factor' END, CASE WHEN ep <= 0 THEN 'expected_payoff' END, CASE WHEN net <= 0 THEN 'net_profit' END, CASE WHEN NOT coalesce(dd <= 20, FALSE) THEN 'equity_drawdown' END) AS failed FROM h JOIN d USING (strategy_id))
+SELECT strategy_id, failed, CASE WHEN failed = '' THEN 'promote' ELSE 'reject' END AS decision FROM f""")
+def report_policy(spark, folder):
+    led = S.ledger(spark, folder)
+    return K.gate(K.headline(led).join(K.drawdowns(led, 100_000.0), "strategy_id"), K.report_checks()).select("strategy_id", "failed", "decision")
+
+
+_CAND = """cand AS (SELECT CAST(o_custkey AS VARCHAR) AS candidate, count(*) AS trades, avg(o_totalprice) / 3000 AS win_rate_pct, avg(o_totalprice) / 3300 AS wilson_wr, avg(o_totalprice) / 120000 AS profit_factor, max(o_totalprice) / 25000 AS max_drawdown_r,
+  CAST(min(o_orderkey) % 12 AS DOUBLE) AS max_consecutive_losses, count(*) / 25.0 AS per_day, CAST(count(*) * 8 AS DOUBLE) AS test_trades, CAST(count(*) * 4 AS DOUBLE) AS gated_test_trades, min(o_totalprice) / 9000 AS box_test_profit_factor,
+  CASE WHEN min(o_orderkey) % 7 > 0 THEN CAST(min(o_orderkey) % 7 AS DOUBLE) / 20 END AS box_test_expectancy_r, CAST(min(o_orderkey) % 5 AS DOUBLE) - 1 AS box_test_wilson_edge, CAST(min(o_orderkey) % 10 AS DOUBLE) / 10 AS time_consistency,
+  CAST(max(o_orderkey) % 9 AS DOUBLE) / 10 AS implied_rr, CAST(max(o_orderkey) % 8 AS DOUBLE) / 10 AS composite_score FROM orders GROUP BY 1)"""
+_LIMITS = [("win_rate_pct", ">= 48"), ("wilson_wr", f">= {48 * 0.9}"), ("profit_factor", ">= 1.1"), ("test_trades", ">= 60"), *((n, f"{'>=' if kind == 'min' else '<='} {x}") for n, (x, kind) in K.DISCOVERY_BOUNDS.items())]
+_fails = lambda hard: "concat_ws(',', " + ", ".join(f"CASE WHEN NOT coalesce({n} {test}, FALSE) THEN '{n}' END" for n, test in _LIMITS if (n in K.HARD_FILTERS) == hard) + ")"
+
+
+@query("k13_discovery_filters", f"""WITH {_CAND}, f AS (SELECT candidate, {_fails(True)} AS hard_failed, {_fails(False)} AS soft_failed FROM cand)
+SELECT candidate, hard_failed, soft_failed, CASE WHEN hard_failed <> '' OR len(string_split(soft_failed, ',')) > 3 THEN 'drop' WHEN soft_failed <> '' THEN 'marginal' ELSE 'pass' END AS decision FROM f""")
+def discovery(spark, folder):
+    """Candidates with figures from the orders of each customer, through all hard and soft filters."""
+    price, key = c("o_totalprice"), c("o_orderkey")
+    mod = lambda value, n: (value % n).cast("double")
+    cand = S.table(spark, folder, "orders").groupBy(c("o_custkey").cast("string").alias("candidate")).agg(
+        F.count(F.lit(1)).alias("trades"), F.avg(price).alias("avg"), F.max(price).alias("top"), F.min(price).alias("low"), F.min(key).alias("a"), F.max(key).alias("b")).withColumns({
+            "win_rate_pct": c("avg") / 3000, "wilson_wr": c("avg") / 3300, "profit_factor": c("avg") / 120000, "max_drawdown_r": c("top") / 25000, "max_consecutive_losses": mod(c("a"), 12), "per_day": c("trades") / 25.0,
+            "test_trades": c("trades") * 8.0, "gated_test_trades": c("trades") * 4.0, "box_test_profit_factor": c("low") / 9000, "box_test_expectancy_r": F.when(c("a") % 7 > 0, mod(c("a"), 7) / 20), "box_test_wilson_edge": mod(c("a"), 5) - 1,
+            "time_consistency": mod(c("a"), 10) / 10, "implied_rr": mod(c("b"), 9) / 10, "composite_score": mod(c("b"), 8) / 10})
+    return K.discovery_filters(cand, 48.0, 1.1, 60.0).select("candidate", "hard_failed", "soft_failed", "decision")
+
+
 @query("k14_ranking")
 def ranking(spark, folder):
     return rounded(K.rank_parents(K.summarize(S.ledger(spark, folder), 100_000.0)).select("strategy_id", "quant_score", "profit_factor", "trade_sharpe"), 4)

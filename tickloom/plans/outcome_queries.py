@@ -131,6 +131,28 @@ def match_by_cells(spark, folder):
     return rounded(I.match_rules(candles(spark, folder), rules, compile_limit=0).select("rule_id", "symbol", "bar_idx", "close"), 8)
 
 
+def _many(n: int) -> str:
+    """SQL of `n` boxes of three conditions, made from their number alone."""
+    return f"""many AS (SELECT i, CAST(i AS VARCHAR) AS rule_id, (i * 37 % 100) / 100.0 AS b0, (i * 53 % 90) / 100.0 AS u0, i * 17 % 60 AS w0 FROM range({n}) t(i)),
+hits AS (SELECT rule_id, symbol, bar_idx, close FROM bars JOIN many ON body_pct BETWEEN b0 AND b0 + 0.15 AND uwk_pct BETWEEN u0 AND u0 + 0.25 AND volume BETWEEN w0 AND w0 + 25)"""
+
+
+def many_rules(spark, n):
+    i = c("id")
+    share = lambda step, size: (i * step % size) / 100.0
+    sides = F.array(*[F.struct(F.lit(name).alias("column"), lo.cast("double").alias("lo"), (lo + width).cast("double").alias("hi")) for name, lo, width in (
+        ("body_pct", share(37, 100), 0.15), ("uwk_pct", share(53, 90), 0.25), ("volume", i * 17 % 60, 25.0))])
+    return spark.range(n).select(i.cast("string").alias("rule_id"), F.explode(sides).alias("s")).select("rule_id", "s.*")
+
+
+for _n in (2000, 20_000):
+    @query(f"g9_match_{_n}_rules", f"WITH {CANDLES}, {_many(_n)} SELECT rule_id, count(*) AS matched, CAST(sum(bar_idx) AS BIGINT) AS places, count(DISTINCT symbol) AS symbols FROM hits GROUP BY 1")
+    def match_many(spark, folder, n=_n):
+        """Thousands of boxes in one pass over the bars."""
+        return I.match_rules(candles(spark, folder).select("symbol", "bar_idx", "close", "body_pct", "uwk_pct", "volume"), many_rules(spark, n)).groupBy("rule_id").agg(
+            F.count(F.lit(1)).alias("matched"), F.sum("bar_idx").alias("places"), F.countDistinct("symbol").alias("symbols"))
+
+
 @query("i1_column_ranges", f"""
 WITH {CANDLES}, s AS (SELECT grp, unnest(['body_pct', 'uwk_pct', 'lwk_pct']) AS "column", unnest([body_pct, uwk_pct, lwk_pct]) AS v FROM bars)
 SELECT CAST(grp AS BIGINT) AS grp, "column", round(quantile_cont(v, 0.05), 6) AS lo, round(quantile_cont(v, 0.95), 6) AS hi FROM s WHERE v IS NOT NULL GROUP BY 1, 2""")
@@ -268,6 +290,38 @@ def tree_discriminator(spark, folder):
     return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("bars"))
 
 
+_CUTS = "[" + ", ".join(str(i / 16) for i in range(1, 16)) + "]"
+
+
+def _level(k: int) -> str:
+    """One level of the trees from `d{k}` (grp, node, y, columns): its best splits `b{k}` and the rows after them, `d{k + 1}`."""
+    cols = "['body_pct', 'uwk_pct', 'lwk_pct']"
+    return f"""v{k} AS (SELECT grp, node, y, unnest({cols}) AS col, unnest([body_pct, uwk_pct, lwk_pct]) AS v, unnest([0, 1, 2]) AS ci FROM d{k}),
+c{k} AS (SELECT grp, node, col, any_value(ci) AS ci, i, any_value(t) AS t, count(*) FILTER (v <= t) AS nl, count(*) FILTER (v <= t AND y = 1) AS pl, count(*) AS n, count(*) FILTER (y = 1) AS p FROM v{k} JOIN cuts USING (grp, col) GROUP BY 1, 2, 3, 5),
+b{k} AS (SELECT grp, node, col, t FROM c{k} WHERE nl >= 5 AND n - nl >= 5 AND p > 0 AND p < n QUALIFY row_number() OVER (PARTITION BY grp, node ORDER BY round(2 * pl * (nl - pl) / nl + 2 * (p - pl) * (n - nl - p + pl) / (n - nl), 9), ci, i) = 1),
+d{k + 1} AS (SELECT d.* EXCLUDE (node), CASE WHEN b.col IS NULL THEN d.node WHEN CASE b.col WHEN 'body_pct' THEN body_pct WHEN 'uwk_pct' THEN uwk_pct ELSE lwk_pct END <= b.t THEN 2 * d.node + 1 ELSE 2 * d.node + 2 END AS node FROM d{k} d LEFT JOIN b{k} b USING (grp, node))"""
+
+
+@query("i9_group_trees", f"""
+WITH {CANDLES}, {_SIDES}, a AS (SELECT o.grp, CAST(lo = 'target' AS INTEGER) AS y, 0 AS node, body_pct, uwk_pct, lwk_pct FROM oc o JOIN bars USING (symbol, bar_idx)
+  WHERE ((lo = 'target' AND so = 'stop') OR (lo = 'stop' AND so = 'target')) AND body_pct IS NOT NULL AND uwk_pct IS NOT NULL AND lwk_pct IS NOT NULL),
+d0 AS (SELECT * FROM a WHERE grp IN (SELECT grp FROM a GROUP BY 1 HAVING count(*) >= 30)),
+cuts AS (SELECT grp, col, unnest(range(15)) AS i, unnest(quantile_cont(v, {_CUTS})) AS t FROM (SELECT grp, unnest(['body_pct', 'uwk_pct', 'lwk_pct']) AS col, unnest([body_pct, uwk_pct, lwk_pct]) AS v FROM d0) GROUP BY 1, 2),
+{_level(0)}, {_level(1)},
+lf AS (SELECT grp, node, count(*) AS n, count(*) FILTER (y = 1) AS p FROM d2 GROUP BY 1, 2),
+ac AS (SELECT grp, CAST(sum(n) AS BIGINT) AS n_bars, sum(greatest(p, n - p)) / sum(n) AS accuracy, string_agg(node || ':' || (2 * p > n) || ':' || n, ' ' ORDER BY node) AS leaves FROM lf GROUP BY 1),
+trees AS (SELECT grp, string_agg(node || ':' || col || ':' || printf('%.6f', t), ' ' ORDER BY node) AS splits FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1) GROUP BY 1)
+SELECT CAST(grp AS BIGINT) AS grp, n_bars, round(accuracy, 6) AS accuracy, splits, leaves FROM ac JOIN trees USING (grp) WHERE accuracy >= 0.5""")
+def group_trees(spark, folder):
+    """One tree of depth two per group; the splits are recomputed in SQL."""
+    frame, resolved = resolved_sides(spark, folder)
+    out = I.fit_group_trees(resolved, frame, "grp", ["body_pct", "uwk_pct", "lwk_pct"], min_accuracy=0.5)
+    text = lambda name, item: F.array_join(F.transform(name, item), " ").alias(name)
+    return rounded(out.select(
+        "grp", "n_bars", "accuracy", text("splits", lambda x: F.concat_ws(":", x["node"].cast("string"), x["column"], F.format_string("%.6f", x["thresh"]))),
+        text("leaves", lambda x: F.concat_ws(":", x["node"].cast("string"), x["long"].cast("string"), x["n_bars"].cast("string")))))
+
+
 @query("i3_parameter_grid", """
 WITH sy AS (SELECT DISTINCT event_type AS symbol FROM events), g AS (SELECT '{"atr_stop":' || s || ',"atr_trail":' || t || ',"channel_bars":' || b || ',"max_hold_bars":' || h || '}' AS parameters
   FROM (SELECT unnest(['1.0', '2.0']) AS s), (SELECT unnest(['0.0', '3.0']) AS t), (SELECT unnest(['20', '55', '96']) AS b), (SELECT unnest(['48', '96']) AS h))
