@@ -293,11 +293,26 @@ def signals(
     return out.withColumn("_fired", F.explode(fired)).select(*keys, idx, "time", "_fired.*")
 
 
+def volatility_median(
+    frame: DataFrame, column: str = "h4_atr_pct", name: str = "h4_atr_median", per_day: int = 96, days: int = 60, least_days: int = 20,
+    keys: Sequence[str] = ("symbol",), idx: str = "bar_idx",
+) -> DataFrame:
+    """Add the rolling median of a slow timeframe's column over the execution bars of `days` days.
+
+    Counts execution bars (`per_day` of them a day: 96 of a quarter of an hour make windows of 5,760 with
+    1,920 at least).  Only key, position and value go through the rolling pass, in lots of four windows,
+    each with one window of earlier rows before it.
+    """
+    rows = days * per_day
+    spec = RollingQuantile(column, rows, 0.5, least_days * per_day)
+    slim = over_chunks(frame.select(*keys, idx, column), lambda w: {}, before=rows, keys=keys, idx=idx, chunk=4 * rows, quantiles={name: spec})
+    return frame.join(slim.select(*keys, idx, name), [*keys, idx])
+
+
 def h4_volatility_median(slow: DataFrame, rows: int = 5760, minimum: int = 1920, per_bar: int = 16, keys: Sequence[str] = ("symbol",), idx: str = "bar_idx", chunk: int = CHUNK) -> DataFrame:
-    """Rolling median of the slow timeframe's ATR share, on its own bars.
+    """A cheaper stand-in for `volatility_median`: the median over the slow timeframe's own bars.
 
-    The reference frame of the filter counts execution bars; each slow bar stands for
-    `per_bar` of them, so the window shrinks by that factor and costs as much less.
+    Each slow bar stands for `per_bar` execution bars, so the window shrinks by that factor.
     """
     spec = RollingQuantile("atr_pct", max(1, rows // per_bar), 0.5, max(1, minimum // per_bar))
     return over_chunks(slow, lambda w: {}, before=spec.rows, keys=keys, idx=idx, chunk=chunk, quantiles={"h4_atr_median": spec})

@@ -179,6 +179,18 @@ def quantile_families(spark, folder):
     return rounded(out.select("strategy_id", "symbol", "time", "signal_direction", "stop_distance", "signal_target_price"))
 
 
+@query("h43_volatility_on_execution_bars", f"""WITH {sql.QUOTES}, {sql.quote_bars('4 hours', 'slow')}, p AS (SELECT symbol, time, lag((high - low) / close) OVER (PARTITION BY symbol ORDER BY time) AS a FROM slow),
+j AS (SELECT b.symbol, b.time, b.bar_idx, b.close, b.open, p.a FROM bars b ASOF LEFT JOIN p ON b.symbol = p.symbol AND b.time >= p.time),
+m AS (SELECT *, CASE WHEN count(a) OVER w >= 480 THEN quantile_cont(a, 0.5) OVER w END AS med FROM j WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS 1439 PRECEDING))
+SELECT symbol, time, round(med, 6) AS h4_atr_median, coalesce(a > med, FALSE) AS open_for_signals FROM m""")
+def volatility_on_execution_bars(spark, folder):
+    """The four-hour filter with its median over sixty days of the hourly bars that carry the signals."""
+    slow = S.quote_bars(spark, folder, "h4").withColumn("atr_pct", (c("high") - c("low")) / c("close"))
+    frame = join_previous_completed(S.quote_bars(spark, folder), slow, ["atr_pct"], "h4")
+    out = G.volatility_median(frame, per_day=24)
+    return rounded(out.select("symbol", "time", "h4_atr_median", F.coalesce(c("h4_atr_pct") > c("h4_atr_median"), F.lit(False)).alias("open_for_signals")))
+
+
 @query("h44_h45_box_signal_and_side", f"""{_FR} SELECT symbol, time, CAST(CASE WHEN rsi14 >= 50 THEN 1 ELSE -1 END AS BIGINT) AS side FROM k
   WHERE session IN (1, 2) AND rsi14 BETWEEN 30 AND 70 AND body_pct BETWEEN 0.2 AND 1""")
 def box_signal(spark, folder):
