@@ -17,7 +17,7 @@ from tickloom.operators.bars import dense_daily_pnl
 from tickloom.operators.labels import best_move
 from tickloom.operators.scan import over_chunks
 from tickloom.plans import sql, standins as S
-from tickloom.plans.outcome_queries import CANDLES, RULES, TRADES_SQL, _RULE_SQL, candles, rule_tables, rule_trades
+from tickloom.plans.outcome_queries import CANDLES, RULES, TRADES_SQL, _RULE_SQL, candles, many_rules, rule_tables, rule_trades
 from tickloom.plans.registry import query, r, rounded
 
 c = F.col
@@ -519,6 +519,27 @@ def rule_similarity(spark, folder):
     return rounded(N.rule_similarity(_supplier_rules(spark, folder)))
 
 
+_MANY = """m AS (SELECT i, CAST(i AS VARCHAR) AS rule_id, (i * 37 % 100) / 100.0 AS b0, (i * 53 % 90) / 100.0 AS u0, CAST(i * 17 % 60 AS DOUBLE) AS w0 FROM range(2000) t(i)),
+rules AS (SELECT rule_id, unnest(['body_pct', 'uwk_pct', 'volume']) AS "column", unnest([b0, u0, w0]) AS lo, unnest([b0 + 0.15, u0 + 0.25, w0 + 25]) AS hi FROM m)"""
+
+
+@query("n1_similar_rules", f"""WITH {_MANY}, pr AS (SELECT a.rule_id AS a_rule_id, b.rule_id AS b_rule_id, count(*) AS shared,
+  avg(CASE WHEN greatest(a.hi, b.hi) - least(a.lo, b.lo) > 0 THEN greatest(least(a.hi, b.hi) - greatest(a.lo, b.lo), 0) / (greatest(a.hi, b.hi) - least(a.lo, b.lo)) ELSE 1 END) AS iou FROM rules a JOIN rules b ON a."column" = b."column" AND a.rule_id < b.rule_id GROUP BY 1, 2)
+SELECT a_rule_id, b_rule_id, shared, round(iou, 6) AS avg_iou, round(0.5 + 0.5 * iou, 6) AS score FROM pr WHERE 0.5 + 0.5 * iou >= 0.8 - 1e-12""")
+def similar_rules(spark, folder):
+    """Two thousand boxes over the same columns: those that overlap enough, without meeting all pairs."""
+    return rounded(N.similar_rules(many_rules(spark, 2000), 0.8).select("a_rule_id", "b_rule_id", "shared", "avg_iou", "score"))
+
+
+@query("n2_similar_trade_months", """WITH m AS (SELECT DISTINCT o_custkey AS id, strftime(o_orderdate, '%Y-%m') AS token FROM orders), s AS (SELECT id, string_agg(token, ',' ORDER BY token) AS k, count(*) AS n FROM m GROUP BY 1),
+r AS (SELECT min(id) AS id, any_value(n) AS n FROM s GROUP BY k), sh AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM m a JOIN m b ON a.token = b.token AND a.id < b.id WHERE a.id IN (SELECT id FROM r) AND b.id IN (SELECT id FROM r) GROUP BY 1, 2)
+SELECT a, b, shared, round(shared / (x.n + y.n - shared), 6) AS score FROM sh JOIN r x ON x.id = a JOIN r y ON y.id = b WHERE shared / (x.n + y.n - shared) >= 0.3 - 1e-12""")
+def similar_months(spark, folder):
+    """Customers that trade in the same months, Jaccard of 0.3 and more; customers with equal months stand as one."""
+    members = S.table(spark, folder, "orders").select(c("o_custkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM").alias("token"))
+    return rounded(N.similar_sets(members, 0.3).select("a", "b", "shared", "score"))
+
+
 _TS = f"""{LED}, t AS (SELECT DISTINCT strategy_id, entry_time FROM ledger), n AS (SELECT strategy_id, count(*) AS n FROM t GROUP BY 1), sh AS (SELECT a.strategy_id AS a, b.strategy_id AS b, count(*) AS shared FROM t a JOIN t b ON a.entry_time = b.entry_time AND a.strategy_id < b.strategy_id GROUP BY 1, 2),
 ts AS (SELECT a, b, shared, x.n AS trades_a, y.n AS trades_b, shared / (x.n + y.n - shared) AS score FROM sh JOIN n x ON x.strategy_id = a JOIN n y ON y.strategy_id = b)"""
 
