@@ -100,5 +100,30 @@ it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x))
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
-#: SQL cannot express the other queries: encoders, forests, models, suffix bytes, graphs and packing are tested against brute force.
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op2_decontamination": _OP2}
+#: Damage by a table-driven crc32, faults by windows, and the repair row by row over the four states of the role pattern.
+_OP12 = r"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([CAST(n AS BIGINT)], list_transform(range(8), lambda i: CAST(i AS BIGINT))), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+drawn AS (SELECT src.*, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 20 AS draw FROM src, crc),
+hurt AS (SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM drawn, range(2) c(n) WHERE draw <> 0 AND (n = 0 OR draw = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS k, regexp_extract(text, '([^ \t\n\x0B\f\r])[ \t\n\x0B\f\r]*$', 1) AS last FROM hurt),
+marked AS (SELECT *, left(role, 1) AS i, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (k > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY 1),
+ins(p, q, letters, price) AS (VALUES (0, 0, '', 0), (0, 2, 'I', 2), (0, 3, 'II', 4), (1, 1, '', 0), (1, 2, 'I', 2), (1, 3, 'II', 4), (2, 2, '', 0), (2, 3, 'I', 2), (3, 3, '', 0), (3, 2, 'I', 2)),
+moves(p, i, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+acts AS (SELECT p, q, i, 'K' AS letter, 0 AS price FROM moves UNION ALL SELECT p, q, NULL, 'R', 2 FROM moves WHERE i <> 's' UNION ALL SELECT p, p, NULL, 'D', 3 FROM range(4) t(p)),
+walk AS (SELECT DISTINCT conv_id, 0 AS k, 0 AS state, 0 AS cost, '' AS audit FROM conversations
+  UNION ALL SELECT conv_id, k, state, cost, audit FROM (SELECT w.conv_id, m.k, a.q AS state, w.cost + n.price + a.price + CASE WHEN a.letter <> 'D' AND m.fault = 'truncated' THEN 1 ELSE 0 END AS cost, w.audit || n.letters || a.letter AS audit
+    FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.k = w.k + 1 JOIN ins n ON n.p = w.state JOIN acts a ON a.p = n.q AND (a.letter = 'D' OR m.fault NOT IN ('blank', 'duplicate')) AND (a.letter <> 'K' OR a.i = m.i)
+    QUALIFY row_number() OVER (PARTITION BY w.conv_id, a.q ORDER BY w.cost + n.price + a.price + CASE WHEN a.letter <> 'D' AND m.fault = 'truncated' THEN 1 ELSE 0 END, w.audit || n.letters || a.letter) = 1)),
+done AS (SELECT w.conv_id, w.cost + n.price AS cost, w.audit || n.letters AS audit FROM walk w JOIN ins n ON n.p = w.state AND n.q IN (0, 3) QUALIFY rank() OVER (PARTITION BY w.conv_id ORDER BY w.k DESC) = 1 AND row_number() OVER (PARTITION BY w.conv_id ORDER BY w.k DESC, w.cost + n.price, w.audit || n.letters) = 1),
+letters AS (SELECT conv_id, pos, audit[pos] AS letter FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS pos FROM done)),
+seated AS (SELECT *, count(*) FILTER (letter <> 'I') OVER w AS k, count(*) FILTER (letter <> 'D') OVER w AS seat FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+kept AS (SELECT s.conv_id, pos, letter, seat, m.role, m.text, max(CASE WHEN seat = 1 AND letter = 'K' AND m.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id) AS led FROM seated s LEFT JOIN marked m ON s.letter <> 'I' AND m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.k = s.k WHERE letter <> 'D'),
+lines AS (SELECT conv_id, string_agg(CASE letter WHEN 'K' THEN role ELSE CASE WHEN (seat - led) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS repaired FROM kept GROUP BY 1)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM done d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+#: SQL cannot express the other queries: encoders, forests, models, suffix bytes, graphs, packing, eigenvectors and
+#: classifiers are tested against brute force.
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op2_decontamination": _OP2, "op12_conversation_repair": _OP12}
