@@ -183,7 +183,9 @@ def discovery(spark, folder):
     return K.discovery_filters(cand, 48.0, 1.1, 60.0).select("candidate", "hard_failed", "soft_failed", "decision")
 
 
-@query("k14_ranking")
+@query("k14_ranking", f"""{LED}, {_EQ}, d AS (SELECT strategy_id, max((peak - equity) / peak * 100) AS dd FROM pk GROUP BY 1), m AS (SELECT strategy_id, avg(CAST(p > 0 AS INTEGER)) AS v FROM (SELECT strategy_id, strftime(exit_time, '%Y-%m') AS k, sum(net_pnl) AS p FROM ledger GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT strategy_id, count(*) AS n, 100 * count(*) FILTER (net_pnl > 0) / count(*) AS wr, {_PF} AS pf, avg(net_pnl) AS ep, avg(net_pnl) / stddev_samp(net_pnl) * sqrt(count(*)) AS sh FROM ledger GROUP BY 1)
+SELECT strategy_id, round(40 * greatest(coalesce(pf, 0) - 1, 0) + 12 * coalesce(sh, 0) + 20 * greatest(wr / 100 - 0.45, 0) + 0.04 * ep + 4 * least(n / 250, 1) + 10 * v - 1.2 * dd, 4) AS quant_score, round(pf, 4) AS profit_factor, round(sh, 4) AS trade_sharpe FROM h JOIN d USING (strategy_id) JOIN m USING (strategy_id)""")
 def ranking(spark, folder):
     return rounded(K.rank_parents(K.summarize(S.ledger(spark, folder), 100_000.0)).select("strategy_id", "quant_score", "profit_factor", "trade_sharpe"), 4)
 

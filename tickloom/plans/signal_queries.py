@@ -111,6 +111,25 @@ def further_blocks(spark, folder):
     return out.groupBy("symbol").agg(*[F.sum(f"b{i}_{s}").alias(f"{b['name']}_{i}_{s}") for i, b in enumerate(_OTHER) for s in ("long", "short")])
 
 
+_STEPS = "last_value({} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx)"
+_MORE_SQL = f"""w AS (SELECT *, CASE WHEN bar_idx >= 2 AND lag(high, 1) OVER o = max(high) OVER s2 THEN lag(high, 1) OVER o END AS sh11, CASE WHEN bar_idx >= 2 AND lag(low, 1) OVER o = min(low) OVER s2 THEN lag(low, 1) OVER o END AS sl11,
+  CASE WHEN bar_idx >= 5 AND lag(high, 2) OVER o = max(high) OVER s5 THEN lag(high, 2) OVER o END AS sh32, CASE WHEN bar_idx >= 5 AND lag(low, 2) OVER o = min(low) OVER s5 THEN lag(low, 2) OVER o END AS sl32,
+  {", ".join(f"max(CASE WHEN hour(time) >= {a} AND hour(time) < {b} THEN high END) OVER dd AS h{a}_{b}, min(CASE WHEN hour(time) >= {a} AND hour(time) < {b} THEN low END) OVER dd AS l{a}_{b}" for a, b in ((6, 10), (12, 15), (0, 4)))}
+  FROM k WINDOW o AS (PARTITION BY symbol ORDER BY bar_idx), s2 AS (PARTITION BY symbol ORDER BY bar_idx ROWS 2 PRECEDING), s5 AS (PARTITION BY symbol ORDER BY bar_idx ROWS 5 PRECEDING), dd AS (PARTITION BY symbol, d)),
+u AS (SELECT *, {_STEPS.format("sh11")} AS ih, {_STEPS.format("sl11")} AS il, {_STEPS.format("sh32")} AS mh, {_STEPS.format("sl32")} AS ml FROM w)"""
+_sweep = lambda a, b: (f"hour(time) >= {b} AND low < l{a}_{b} AND close > l{a}_{b}", f"hour(time) >= {b} AND high > h{a}_{b} AND close < h{a}_{b}")
+_MORE = [
+    ({"name": "internal_structure_break"}, "close > ih AND c1 <= ih", "close < il AND c1 >= il"), ({"name": "premium_discount"}, "close <= (mh + ml) / 2", "close >= (mh + ml) / 2"),
+    ({"name": "london_sweep"}, *_sweep(6, 10)), ({"name": "ny_sweep"}, *_sweep(12, 15)), ({"name": "session_liquidity", "range_end_utc": 4}, *_sweep(0, 4)),
+    ({"name": "volatility_regime", "mode": "high_vol_kill", "max_rng_atr": 1.2}, "rng_atr <= 1.2", "rng_atr <= 1.2"), ({"name": "volatility_regime"}, "rng_atr >= 1", "rng_atr >= 1")]
+
+
+@query("h4_h6_h8_h21_blocks", f"""{_FR}, {_MORE_SQL} SELECT symbol, time, {", ".join(f"{_flag(long)} AS b{i}_long, {_flag(short)} AS b{i}_short" for i, (_, long, short) in enumerate(_MORE))} FROM u""")
+def more_blocks(spark, folder):
+    out = H.evaluate_blocks(signal_frame(spark, folder), [block for block, _, _ in _MORE])
+    return rounded(out.select("symbol", "time", *[f"b{i}_{s}" for i in range(len(_MORE)) for s in ("long", "short")]))
+
+
 @query("h26_h28_block_combination", f"""
 {_FR}, kk AS (SELECT * REPLACE (coalesce(last_value(nullif(atr14, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx), 1.0) AS atr14) FROM k), v AS (SELECT *, {_flag('close > lsh AND c1 <= lsh')} + {_flag('rsi14 > 50 AND low <= ema20 + 0.5 * atr14 AND close > ema20')} + {_flag('low > h2')} AS lv, {_flag('close < lsl AND c1 >= lsl')} + {_flag('high >= ema20 - 0.5 * atr14 AND close < ema20 AND rsi14 < 50')} + {_flag('high < l2')} AS sv FROM kk),
 g AS (SELECT *, CASE WHEN sv >= 1 THEN -1 WHEN lv >= 1 THEN 1 ELSE 0 END AS dir, least(greatest(CASE WHEN sv >= 1 THEN abs(lsh - close) WHEN lv >= 1 THEN abs(close - lsl) END, atr14 * 0.5), 3 * atr14) AS st FROM v)
