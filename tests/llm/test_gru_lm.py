@@ -113,3 +113,13 @@ def test_short_last_window_trains():
     before = model.flat()
     model.train(*lanes_of(entry, np.zeros(3, dtype=np.int64), 128)[:3], {}, 0.01)
     assert not np.array_equal(before, model.flat())
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    from tickloom.llm import gru_lm
+
+    monkeypatch.setattr(gru_lm, "LOT", 60_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, many = ({r.doc_id: r.score for r in score_documents(docs.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == many.keys()
+    assert all(abs(one[i] - many[i]) <= 1e-4 * max(1, abs(one[i])) for i in one)

@@ -10,10 +10,12 @@ frequency bins with a learned softmax inside, tail words in their class with
 one per hash bucket; a bucket's task has all occurrences of its words, counts them, and sends
 back one sum per document.  Nothing that grows with the vocabulary is broadcast.
 
-**Training** is truncated backpropagation through time on all training documents, in all
-tasks at once; their weights are averaged after each round.  Sequences are
+**Training** is truncated backpropagation through time on all training documents.  They are dealt
+into lots of about `LOT` tokens by a hash of id and text; each lot trains weights of its own, which are averaged
+after each round.  Lots and the order in them do not depend on how the table is partitioned.  Sequences are
 laid in lanes one after the other, the state is carried from window to window and cleared
-where a document begins, in training and in scoring.
+where a document begins, in training and in scoring.  Texts are turned into entries once;
+training and scoring read those.
 """
 
 from __future__ import annotations
@@ -34,9 +36,11 @@ from tickloom.llm.text import BLANK, U, Words, mix, slices
 #: Frequent words (a multiple of INNER, the end token among them), words in a bin, tail classes.
 FREQUENT, INNER, TAIL = 1024, 32, 32
 HEADS = FREQUENT // INNER
-HIDDEN, WINDOW, LANES, SCORE_LANES = 16, 24, 128, 768
+HIDDEN, WINDOW, LANES, SCORE_LANES = 16, 24, 256, 768
 #: Tokens that one task scores at a time, and tokens of a training sequence: longer texts train as several.
 AT_ONCE, PIECE = 2_000_000, 1024
+#: Tokens of a lot that trains its own weights, and of those laid in lanes at a time.
+LOT, LAID = 2_000_000, 500_000
 #: Training: one in SHARE training documents (all of them), rounds of averaging, step size.
 SHARE, ROUNDS, RATE, SEED = 1, 2, 0.01, 5
 #: Tail occurrences in a bucket of the count.
@@ -119,7 +123,7 @@ def pieces_of(text: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights: input table, recurrent matrix (update, reset, new), class softmax and the softmax inside each bin."""
+    """Weights: input tables and recurrent matrices (update, reset, new), class softmax and the softmax inside each bin."""
 
     NAMES = ("inputs", "recur", "classes", "class_bias", "inner", "inner_bias")
 
@@ -135,7 +139,7 @@ class Model:
         heads = counts[:FREQUENT].reshape(HEADS, INNER)
         mass = np.concatenate([heads.sum(axis=1), counts[FREQUENT:]])
         return cls({
-            "inputs": small(FREQUENT + TAIL + 1, 3 * HIDDEN), "recur": small(HIDDEN, 3 * HIDDEN), "classes": small(HIDDEN, HEADS + TAIL) * np.float32(0.1),
+            "inputs": small(3, FREQUENT + TAIL + 1, HIDDEN), "recur": small(3, HIDDEN, HIDDEN), "classes": small(HIDDEN, HEADS + TAIL) * np.float32(0.1),
             "class_bias": np.log(mass / mass.sum()).astype(np.float32), "inner": small(HEADS, HIDDEN, INNER) * np.float32(0.1), "inner_bias": np.log(heads / heads.sum(axis=1, keepdims=True)).astype(np.float32)})
 
     def flat(self) -> np.ndarray:
@@ -151,26 +155,26 @@ class Model:
     def forward(self, given: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States after each step of a window, and with `keep` what the way back needs."""
         recur, fresh = self.w["recur"], given < 0
-        x = self.w["inputs"][np.where(fresh, FREQUENT + TAIL, given)]
+        x = np.take(self.w["inputs"], np.where(fresh, FREQUENT + TAIL, given), axis=1)
         carried = (~fresh).astype(recur.dtype)[:, :, None]
-        states, saved, wide = np.empty((len(given), *state.shape), dtype=recur.dtype), [], 2 * HIDDEN
+        states, saved = np.empty((len(given), *state.shape), dtype=recur.dtype), []
         for t in range(len(given)):
             state = state * carried[t]
             a = state @ recur
-            gates = x[t, :, :wide] + a[:, :wide]
+            gates = x[:2, t] + a[:2]
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            new = gates[:, HIDDEN:] * a[:, wide:]
-            new += x[t, :, wide:]
+            new = gates[1] * a[2]
+            new += x[2, t]
             np.tanh(new, out=new)
             after = states[t]
             np.subtract(new, state, out=after)
-            after *= gates[:, :HIDDEN]
+            after *= gates[0]
             after += state
             if keep:
-                saved.append((state, gates[:, :HIDDEN], gates[:, HIDDEN:], a[:, wide:], new))
+                saved.append((state, gates[0], gates[1], a[2], new))
             state = after
         return states, saved
 
@@ -184,7 +188,9 @@ class Model:
     @staticmethod
     def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """exp of the logits, shifted, with the log of their sum in the unshifted scale."""
-        top = logits.max(axis=1, keepdims=True)
+        top = logits.max() if logits.size else logits.dtype.type(0)
+        if logits.size and top - logits.min() > 60:  # one shift for all rows would lose the low ones
+            top = logits.max(axis=1, keepdims=True)
         logits -= top
         np.exp(logits, out=logits)
         total = logits.sum(axis=1, keepdims=True)
@@ -229,28 +235,29 @@ class Model:
             back[own] += q @ w["inner"][c].T
         back = back.reshape(steps, lanes, HIDDEN)
         carried = (given >= 0).astype(h.dtype)[:, :, None]
-        d, turned = np.zeros_like(state), np.ascontiguousarray(w["recur"].T)
-        inputs, recur = np.empty((steps, lanes, 3 * HIDDEN), dtype=h.dtype), np.empty((steps, lanes, 3 * HIDDEN), dtype=h.dtype)
+        before, update, reset, held, new = (np.stack(part) for part in zip(*saved))
+        by_update, by_reset, by_new = (1 - update) * (new - before), held * reset * (1 - reset), 1 - new * new
+        d, turned = np.zeros_like(state), np.ascontiguousarray(w["recur"].transpose(0, 2, 1))
+        into, through = np.empty((3, steps, lanes, HIDDEN), dtype=h.dtype), np.empty((steps, lanes, HIDDEN), dtype=h.dtype)
         for t in range(steps - 1, -1, -1):
-            before, update, reset, held, new = saved[t]
-            d = d + back[t]
-            moved = d * update
-            into = inputs[t]
-            np.multiply(moved, 1 - new * new, out=into[:, 2 * HIDDEN:])
-            np.multiply(moved * (1 - update), new - before, out=into[:, :HIDDEN])
-            np.multiply(into[:, 2 * HIDDEN:] * held, reset * (1 - reset), out=into[:, HIDDEN: 2 * HIDDEN])
-            recur[t] = into
-            recur[t, :, 2 * HIDDEN:] *= reset
+            d += back[t]
+            moved = d * update[t]
+            np.multiply(moved, by_new[t], out=into[2, t])
+            np.multiply(moved, by_update[t], out=into[0, t])
+            np.multiply(into[2, t], by_reset[t], out=into[1, t])
+            np.multiply(into[2, t], reset[t], out=through[t])
             d -= moved
-            d += recur[t] @ turned
+            d += into[0, t] @ turned[0]
+            d += into[1, t] @ turned[1]
+            d += through[t] @ turned[2]
             d *= carried[t]
-        befores = np.stack([x[0] for x in saved]).reshape(-1, HIDDEN)
-        g["recur"] = befores.T @ recur.reshape(-1, 3 * HIDDEN)
+        befores = before.reshape(-1, HIDDEN).T
+        g["recur"] = np.stack([befores @ part.reshape(-1, HIDDEN) for part in (into[0], into[1], through)])
         tokens = np.where(given < 0, FREQUENT + TAIL, given).ravel()
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens.astype(np.int16), kind="stable")
         heads = np.flatnonzero(np.concatenate([[True], np.diff(tokens[order]) > 0]))
         g["inputs"] = np.zeros_like(w["inputs"])
-        g["inputs"][tokens[order][heads]] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], heads, axis=0)
+        g["inputs"][:, tokens[order][heads]] = np.add.reduceat(into.reshape(3, -1, HIDDEN)[:, order], heads, axis=1)
         return g, states[-1]
 
     def train(self, given: np.ndarray, target: np.ndarray, owner: np.ndarray, moments: dict, rate: float) -> None:
@@ -390,20 +397,78 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(logs), pa.array(known)], names=["k1", "k2", "tail_logs", "tail_known"])
 
 
-def _train(shared, share: int, rate: float):
+_ENCODED = "k1 long, k2 long, held_out boolean, learns boolean, entries binary"
+
+
+def _encoded(shared, share: int):
+    """The entries of each text, two bytes each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = shared.value
-        model, moments, seen = Model({n: v.copy() for n, v in model.w.items()}), {}, 0
+        vocabulary = shared.value
         for batch in batches:
-            ids = batch.column("id").to_pylist()
-            chosen = batch.filter(pa.array(~held_out(ids) & in_share(ids, share)))
-            for part in slices(chosen, "text"):
+            for part in slices(batch, "text"):
+                ids = part.column("id").to_pylist()
                 hashes, text, tail = tokens_of(part.column("text"))
-                given, target, owner, _ = lanes_of(vocabulary.entries(hashes, tail), pieces_of(text), LANES)
+                entry = vocabulary.entries(hashes, tail).astype(np.int16)
+                edges = np.zeros(part.num_rows + 1, dtype=np.int32)
+                np.cumsum(2 * np.bincount(text, minlength=part.num_rows), out=edges[1:])
+                entries = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(edges), pa.py_buffer(entry)])
+                held = held_out(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("k1"), part.column("k2"), pa.array(held), pa.array(~held & in_share(ids, share)), entries],
+                    names=["id", "k1", "k2", "held_out", "learns", "entries"])
+    return run
+
+
+def entries_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, tokens of each text) of a column of encoded texts."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int64)[column.offset: column.offset + len(column) + 1] // 2
+    return np.frombuffer(data, dtype=np.int16, count=int(edges[-1]))[edges[0]:], np.diff(edges)
+
+
+def _train(shared, rate: float):
+    """Trains each lot, which comes whole and in order; the sum of the weights, each by its tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, seen, total = shared.value, 0, 0
+        lot, block, behind, held = None, 0, 0, []
+        model, moments = start, {}
+
+        def lay() -> None:
+            if held:
+                entry, size = (np.concatenate(x) for x in zip(*held))
+                text = np.repeat(np.arange(len(size)), size)
+                given, target, owner, _ = lanes_of(entry.astype(np.int32), pieces_of(text), LANES)
                 model.train(given, target, owner, moments, rate)
-                seen += len(hashes)
+                held.clear()
+
+        def close() -> None:
+            nonlocal seen, total
+            lay()
+            if behind:
+                seen, total = seen + behind, total + model.flat().astype(np.float64) * behind
+
+        for batch in batches:
+            lots = batch.column("lot").to_numpy()
+            entry, size = entries_of(batch.column("entries"))
+            edges = np.concatenate([[0], np.cumsum(size)])
+            for begin, end in zip(*(lambda cuts: (cuts[:-1], cuts[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(lots)) + 1, [len(lots)]]))):
+                if lots[begin] != lot:
+                    close()
+                    lot, block, behind = lots[begin], 0, 0
+                    model, moments = Model({n: v.copy() for n, v in start.w.items()}), {}
+                # Where the lanes are cut depends on the tokens of the lot so far, not on batches.
+                own = (behind + edges[begin:end] - edges[begin]) // LAID
+                heads = np.flatnonzero(np.concatenate([[True], np.diff(own) > 0]))
+                for first, last in zip(heads, np.append(heads[1:], end - begin)):
+                    if own[first] != block:
+                        lay()
+                        block = own[first]
+                    held.append((entry[edges[begin + first]: edges[begin + last]], size[begin + first: begin + last]))
+                behind += int(edges[end] - edges[begin])
+        close()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(model.flat().astype(np.float64) * seen).tobytes()], pa.binary())], names=["seen", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "weights"])
     return run
 
 
@@ -418,7 +483,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model, entry_counts, class_log = shared.value
+        model, entry_counts, class_log = shared.value
         logs, known = np.log10(entry_counts[:FREQUENT] + 1.0), entry_counts[:FREQUENT] > 0
         held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
 
@@ -432,15 +497,20 @@ def _score(shared):
             total -= np.bincount(text[~common], weights=class_log[entry[~common] - FREQUENT], minlength=size)
             column = lambda c: pa.concat_arrays([part.column(c) for part, _, _ in held])
             yield pa.RecordBatch.from_arrays(
-                [column("id"), column("k1"), column("k2"), pa.array(held_out(column("id").to_pylist())), pa.array(np.bincount(text, minlength=size).astype(np.int64)),
+                [column("id"), column("k1"), column("k2"), column("held_out"), pa.array(np.bincount(text, minlength=size).astype(np.int64)),
                  pa.array(np.bincount(text[common], weights=known[entry[common]], minlength=size).astype(np.int64)), pa.array(np.bincount(text[common], weights=logs[entry[common]], minlength=size)), pa.array(total)],
                 names=["id", "k1", "k2", "held_out", "n_tokens", "known", "logs", "part"])
             held.clear()
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, text, tail = tokens_of(part.column("text"))
-                held.append((part.select(["id", "k1", "k2"]), vocabulary.entries(hashes, tail), text.astype(np.int32)))
+            entry, size = entries_of(batch.column("entries"))
+            edges = np.concatenate([[0], np.cumsum(size)])
+            begin = 0
+            while begin < len(size):
+                end = max(begin + 1, int(np.searchsorted(edges, edges[begin] + AT_ONCE // 4, side="right")) - 1)
+                part = batch.slice(begin, end - begin).select(["id", "k1", "k2", "held_out"])
+                held.append((part, entry[edges[begin]: edges[end]].astype(np.int32), np.repeat(np.arange(end - begin, dtype=np.int32), size[begin:end])))
+                begin = end
                 if sum(len(e) for _, e, _ in held) >= AT_ONCE:
                     yield from flush()
         if held:
@@ -469,9 +539,11 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         ranked = np.concatenate([ranked, spare[~np.isin(spare, ranked)][: FREQUENT - len(ranked)]])
     vocabulary = Vocabulary(ranked)
 
+    known = context.broadcast(vocabulary)
+    encoded = store(base.mapInArrow(_encoded(known, share), f"id {kind}, {_ENCODED}"), "entries")
     words = base.select(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // 12 // BUCKET))
-    blocks = base.mapInArrow(_blocks(context.broadcast(vocabulary), buckets), "bucket int, slice long, hash binary, doc binary, n binary, kind binary, train binary, k1 binary, k2 binary")
+    blocks = base.mapInArrow(_blocks(known, buckets), "bucket int, slice long, hash binary, doc binary, n binary, kind binary, train binary, k1 binary, k2 binary")
     # Blocks of one slice's entry counts are dealt by the slice; those of words by the bucket.
     dealt = blocks.repartition(buckets, F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket").cast("long")))
     counted = store(dealt.mapInArrow(_counted, _KNOWN), "counts")
@@ -483,17 +555,19 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     train_tokens, vocabulary_size = int(entry_counts.sum()), int((entry_counts[:FREQUENT] > 0).sum() + distinct.sum())
 
     model = Model.start(entry_counts)
+    lots = max(1, -(-train_tokens // LOT))
+    lot = F.pmod(F.xxhash64("k1", "k2"), F.lit(lots)).cast("int").alias("lot")
+    dealt = encoded.where("learns").select(lot, "k1", "k2", "entries").repartitionById(lots, F.col("lot")).sortWithinPartitions("lot", "k1", "k2").select("lot", "entries")
     for k in range(rounds):
-        shared = context.broadcast((vocabulary, model))
-        trained = base.select("id", "text").mapInArrow(_train(shared, share, rate / (1 + k)), "seen long, weights binary")
+        trained = dealt.mapInArrow(_train(context.broadcast(model), rate / (1 + k)), "seen long, weights binary")
         rows = trained.repartition(32).mapInArrow(_added, "seen long, weights binary").collect()
         seen = sum(r.seen for r in rows)
         if seen:
             model = model.with_flat(sum(np.frombuffer(r.weights, dtype=np.float64) for r in rows) / seen)
 
     class_log = np.log10(entry_counts[FREQUENT:] + distinct + 1.0)
-    shared = context.broadcast((vocabulary, model, entry_counts, class_log))
-    scored = base.mapInArrow(_score(shared), f"id {kind}, k1 long, k2 long, held_out boolean, n_tokens long, known long, logs double, part double")
+    shared = context.broadcast((model, entry_counts, class_log))
+    scored = encoded.mapInArrow(_score(shared), f"id {kind}, k1 long, k2 long, held_out boolean, n_tokens long, known long, logs double, part double")
     sums = counted.where("slice IS NOT NULL").repartition(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slice").mapInArrow(_summed, "k1 long, k2 long, tail_logs double, tail_known long")
     # Equal rows in different slices have sums of their own; each row needs one of them.
     sums = sums.dropDuplicates(["k1", "k2"])
