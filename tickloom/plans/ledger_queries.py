@@ -14,6 +14,7 @@ from tickloom.operators import rules as I
 from tickloom.operators import similar as N
 from tickloom.operators import validate as L
 from tickloom.operators.bars import dense_daily_pnl
+from tickloom.operators.correlate import correlated_pairs
 from tickloom.operators.labels import best_move
 from tickloom.operators.scan import over_chunks
 from tickloom.plans import sql, standins as S
@@ -593,6 +594,18 @@ def correlations(spark, folder):
     return rounded(N.correlations(dense_daily_pnl(S.ledger(spark, folder))))
 
 
+_MONTHLY = """s AS (SELECT o_custkey AS k, year(o_orderdate) * 12 + month(o_orderdate) AS mo, sum(o_totalprice) AS x FROM orders GROUP BY 1, 2), t AS (SELECT max(mo) - min(mo) + 1 AS n FROM s)"""
+
+
+@query("n6_correlated_pairs", f"""WITH {_MONTHLY}, m AS (SELECT k, sum(x) AS sx, sqrt(sum(x * x) - sum(x) * sum(x) / n) AS nn FROM s, t GROUP BY k, n),
+p AS (SELECT a.k AS a, b.k AS b, sum(a.x * b.x) AS d FROM s a JOIN s b ON a.mo = b.mo AND a.k < b.k GROUP BY 1, 2), r AS (SELECT a, b, (d - x.sx * y.sx / n) / (x.nn * y.nn) AS c FROM p JOIN m x ON x.k = a JOIN m y ON y.k = b, t)
+SELECT a, b, round(c, 6) AS correlation FROM r WHERE c >= 0.6 - 1e-9""")
+def correlated_months(spark, folder):
+    """Customers whose monthly order values move together (0.6 and more), met by their leading Fourier coefficients."""
+    monthly = S.table(spark, folder, "orders").select("o_custkey", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("at"), "o_totalprice")
+    return rounded(correlated_pairs(monthly, 0.6, key="o_custkey", pnl="o_totalprice"))
+
+
 @query("n7_n8_union_and_distinct", f"{LED}, u AS (SELECT 'train' AS split, strategy_id, regime FROM ledger WHERE year(exit_time) < 2000 UNION ALL SELECT 'test', strategy_id, regime FROM ledger WHERE year(exit_time) >= 1999) SELECT DISTINCT split, strategy_id, CAST(regime AS BIGINT) AS regime FROM u")
 def union_distinct(spark, folder):
     led = S.ledger(spark, folder).select("strategy_id", "regime", "exit_time")
