@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -10,11 +12,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import non_zero
 from tickloom.operators.scan import CHUNK, Stage, over_chunks
+from tickloom.session import cut_lineage
 
 c = F.col
 
@@ -103,29 +106,61 @@ def _correlation(x: Column, y: Column, width: int) -> Column:
     return F.when(under > 0, over / under)
 
 
+def _unit(shape: Column, width: int) -> Column:
+    """The shape centred and scaled to length one (NULL if it is level): correlation r means a distance of sqrt(2 - 2 r)."""
+    mean = F.aggregate(shape, F.lit(0.0), lambda s, v: s + v) / width
+    centred = F.transform(shape, lambda v: v - mean)
+    norm = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v))
+    return F.when(norm > 0, F.transform(centred, lambda v: v / norm))
+
+
+def mean_shapes(usable: DataFrame, group: str, width: int) -> DataFrame:
+    """(g, m): the mean shape of each group."""
+    means = usable.groupBy(group).agg(*[F.avg(c("shape")[i]).alias(f"m{i}") for i in range(width)])
+    return means.select(c(group).alias("g"), F.array(*[f"m{i}" for i in range(width)]).alias("m"))
+
+
+def shapes_in_reach(usable: DataFrame, means: DataFrame, width: int, least: float, block: int, axes: int = 3) -> tuple[DataFrame, int]:
+    """`usable` with `_means`, the groups near enough to correlate by `least`, and the most blocks that a cell has.
+
+    Unit shapes lie in cells as wide as the farthest pair wanted, along the coordinates in which the mean
+    shapes spread most.  A cell lists the groups in and around it in blocks of at most `block`; a row meets
+    the list of its own cell, and none at all where no group is near.
+    """
+    reach = math.sqrt(2 * (1 - least)) + 1e-6
+    units = means.withColumn("_u", _unit(c("m"), width)).filter("_u IS NOT NULL")
+    spread = units.agg(*[F.coalesce(F.stddev_pop(c("_u")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(width)]).first()
+    chosen = sorted(range(width), key=lambda i: (-spread[i], i))[: min(axes, width)]
+    cell = lambda shift: F.array(*[F.floor(c("_u")[i] / reach).cast("int") + step for i, step in zip(chosen, shift)])
+    homes = units.select("g", "m", F.explode(F.array(*[cell(shift) for shift in product((-1, 0, 1), repeat=len(chosen))])).alias("_cell"))
+    numbered = homes.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy("_cell").orderBy("g")) - 1) / block))
+    table = cut_lineage(numbered.groupBy("_cell", "_block").agg(F.array_sort(F.collect_list(F.struct("g", "m"))).alias("_means")))
+    blocks = table.agg(F.coalesce(F.max("_block") + 1, F.lit(1))).first()[0]
+    rows = usable.withColumn("_u", _unit(c("shape"), width)).withColumn("_cell", F.when(c("_u").isNotNull(), cell((0,) * len(chosen))))
+    return rows.join(table, "_cell", "left").drop("_u", "_cell", "_block"), blocks
+
+
 def refine_by_shape(
     rows: DataFrame, group: str = "group_id", width: int = 5, least: float = 0.75, block: int = 500,
     keys: Sequence[str] = ("symbol",), idx: str = "bar_idx", chunk: int = CHUNK,
 ) -> DataFrame:
-    """Move each row to the group whose mean shape it follows best, if the correlation reaches `least`.
+    """Move each row to the group whose mean shape it follows best, if the correlation reaches `least` (above 0).
 
-    Mean shapes use all members of a group.  They are dealt into blocks of about `block`
-    groups; a row meets the blocks one array at a time, and the best of the blocks counts.
+    Mean shapes use all members of a group.  A row is compared with the groups of its cell only (see
+    `shapes_in_reach`): a correlation of `least` bounds the distance of shapes scaled to length one.
+    Of equal correlations the least group wins; level shapes stay where they are.
     """
+    if not 0 < least <= 1:
+        raise ValueError("the least correlation must be above 0 and at most 1")
     shaped = over_chunks(rows, relative_shape(width), before=width, keys=keys, idx=idx, chunk=chunk)
     usable = shaped.filter(~F.exists("shape", lambda x: x.isNull()))
-    means = usable.groupBy(group).agg(*[F.avg(c("shape")[i]).alias(f"m{i}") for i in range(width)]).select(
-        c(group).alias("g"), F.array(*[f"m{i}" for i in range(width)]).alias("m"))
-    blocks = max(1, -(-means.count() // block))
-    table = means.groupBy(F.pmod(F.xxhash64("g"), F.lit(blocks)).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("g", "m"))).alias("_means"))
-    met = usable.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(table, "_block")
+    met, blocks = shapes_in_reach(usable, mean_shapes(usable, group, width), width, least, block)
     scored = met.withColumn(
         "_best", F.array_max(F.transform("_means", lambda x: F.struct(F.coalesce(_correlation(c("shape"), x["m"], width), F.lit(-2.0)).alias("r"), (-x["g"]).alias("g")))))
     if blocks > 1:
         rest = [n for n in usable.columns if n not in (*keys, idx)]
         scored = scored.groupBy(*keys, idx).agg(F.max("_best").alias("_best"), *[F.first(n).alias(n) for n in rest]).withColumn("_means", F.lit(None))
-    better = scored.withColumn("refined_group", F.when(c("_best.r") >= least, -c("_best.g")).otherwise(c(group))).drop("_best", "_means", "_block", "shape")
-    return better
+    return scored.withColumn("refined_group", F.when(c("_best.r") >= least, -c("_best.g")).otherwise(c(group))).drop("_best", "_means", "shape")
 
 
 def fit_win_filter(train: DataFrame, columns: Sequence[str], won: str = "won", seed: int = 42, least: int = 120) -> PipelineModel:

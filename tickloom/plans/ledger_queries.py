@@ -661,10 +661,18 @@ def tree_leaves(spark, folder):
     return both.agg(F.count_if(~c("matched").eqNullSafe(c("assigned"))).alias("differing_leaves"), (F.sum("matched") == F.sum("assigned")).alias("every_row_in_one_box"))
 
 
-@query("o6_shape_refinement")
+_LAGS = ", ".join(f"(lag(close, {5 - i}) OVER o - lag(close, 5) OVER o) / nullif(lag(close, 5) OVER o, 0) * 100 AS s{i}" for i in range(5))
+_DOT = lambda x, y: "(" + " + ".join(f"{x}{i} * {y}{i}" for i in range(5)) + ")"
+_SUM = lambda x: "(" + " + ".join(f"{x}{i}" for i in range(5)) + ")"
+
+
+@query("o6_shape_refinement", f"""WITH {CANDLES}, l AS (SELECT symbol, bar_idx, grp, {_LAGS} FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY bar_idx)), sh AS (SELECT * FROM l WHERE s0 IS NOT NULL),
+m AS (SELECT grp AS g, {", ".join(f"avg(s{i}) AS m{i}" for i in range(5))} FROM sh GROUP BY 1), v AS (SELECT *, (5 * {_DOT("s", "s")} - {_SUM("s")} * {_SUM("s")}) * (5 * {_DOT("m", "m")} - {_SUM("m")} * {_SUM("m")}) AS under FROM sh, m),
+r AS (SELECT *, CASE WHEN under > 0 THEN (5 * {_DOT("s", "m")} - {_SUM("s")} * {_SUM("m")}) / sqrt(under) ELSE -2 END AS r FROM v), b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY symbol, bar_idx ORDER BY r DESC, g) = 1)
+SELECT CAST(grp AS BIGINT) AS group_id, CAST(CASE WHEN r >= 0.75 THEN g ELSE grp END AS BIGINT) AS refined_group, count(*) AS bars FROM b GROUP BY 1, 2""")
 def shape_refinement(spark, folder):
     rows = candles(spark, folder).withColumn("group_id", c("grp"))
-    return O.refine_by_shape(rows).groupBy("group_id", "refined_group").agg(F.count(F.lit(1)).alias("bars"))
+    return rounded(O.refine_by_shape(rows).groupBy("group_id", "refined_group").agg(F.count(F.lit(1)).alias("bars")))
 
 
 @query("o7_win_filter")
