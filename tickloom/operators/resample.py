@@ -17,7 +17,7 @@ from tickloom.operators.align import windows_of
 from tickloom.session import spread
 
 c = F.col
-BATCHES = 64
+BATCHES, PER_BATCH = 64, 256
 
 
 def packed_series(daily: DataFrame, keys: Sequence[str] = ("strategy_id",), day: str = "day", pnl: str = "pnl", opened: str = "opened") -> DataFrame:
@@ -45,8 +45,8 @@ def bootstrap_paths(
     `block` > 1 draws runs of consecutive days.  `scales` multiplies the P&L, as another
     position size would.
     """
-    per_batch = -(-paths // BATCHES)
-    spread = packed.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(min(BATCHES, paths) - 1)))).repartition(*keys, "_batch")
+    per_batch = max(1, min(PER_BATCH, -(-paths // BATCHES)))
+    spread = packed.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(-(-paths // per_batch) - 1)))).repartition(*keys, "_batch")
     ids = F.sequence(c("_batch") * per_batch, F.least((c("_batch") + 1) * per_batch, F.lit(paths)) - 1)
     rows = spread.filter(c("_batch") * per_batch < paths).withColumn("path_id", F.explode(ids.cast("array<bigint>"))).drop("_batch")
     n = F.size("series").cast("long")
@@ -142,9 +142,8 @@ def race_summary(races: DataFrame, keys: Sequence[str] = ("strategy_id", "scale"
 
 def equity_fan(paths: DataFrame, balance: float, keys: Sequence[str] = ("strategy_id",)) -> DataFrame:
     """Percentiles of equity over all paths at each step."""
-    sums = F.aggregate("pnl", F.struct(F.lit(float(balance)).alias("eq"), F.array().cast("array<double>").alias("xs")),
-                       lambda a, x: F.struct((a["eq"] + x).alias("eq"), F.concat(a["xs"], F.array(a["eq"] + x)).alias("xs")), lambda a: a["xs"])
-    steps = paths.select(*keys, F.posexplode(sums).alias("step", "_eq"))
+    so_far = Window.partitionBy(*keys, "scale", "path_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    steps = path_steps(paths, keys).select(*keys, "step", (F.sum("pnl").over(so_far) + float(balance)).alias("_eq"))
     levels = [5, 25, 50, 75, 95]
     out = steps.groupBy(*keys, "step").agg(F.percentile("_eq", F.array(*[F.lit(p / 100) for p in levels])).alias("_q"))
     return out.select(*keys, "step", *[c("_q")[i].alias(f"p{p}") for i, p in enumerate(levels)])

@@ -229,7 +229,19 @@ def purged(spark, folder):
     return rounded(out.groupBy("symbol", "fold", "role").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("close"), 2).alias("total")))
 
 
-@query("l3_calendar_walk_forward")
+_BY_FOLD = "PARTITION BY fold, role, strategy_id ORDER BY exit_time, trade_id ROWS UNBOUNDED PRECEDING"
+_FOLD_CHECKS = (("minimum_trades", "x.trades >= 10"), ("net_profit_positive", "x.net > 0"), ("profit_factor", "x.pf >= 1.2"), ("sharpe", "x.sh >= 0.5"), ("drawdown", "x.dd <= 15"),
+                ("positive_months", "x.pm >= 0.5"), ("concentration", "x.cm <= 65"))
+
+
+@query("l3_calendar_walk_forward", f"""{LED}, f AS (SELECT k + 1 AS fold, DATE '1995-01-01' + to_months(6 * k) AS a, DATE '1995-01-01' + to_months(6 * k + 24) AS b, DATE '1995-01-01' + to_months(6 * k + 30) AS e FROM (SELECT CAST(unnest(range(100)) AS INTEGER) AS k)
+  WHERE DATE '1995-01-01' + to_months(6 * k + 30) <= DATE '2001-08-01'),
+pl AS (SELECT fold, CASE WHEN d < b THEN 'train' ELSE 'test' END AS role, l.* FROM (SELECT *, CAST(exit_time AS DATE) AS d FROM ledger) l JOIN f ON d >= a AND d < e), eq AS (SELECT *, 100000 + sum(net_pnl) OVER ({_BY_FOLD}) AS equity FROM pl),
+pk AS (SELECT *, greatest(100000, max(equity) OVER ({_BY_FOLD})) AS peak FROM eq), d AS (SELECT fold, role, strategy_id, max((peak - equity) / peak * 100) AS dd, count(*) AS trades, sum(net_pnl) AS net, {_PF} AS pf, avg(net_pnl) / stddev_samp(net_pnl) * sqrt(252) AS sh FROM pk GROUP BY 1, 2, 3),
+m AS (SELECT fold, role, strategy_id, avg(CAST(p > 0 AS INTEGER)) AS pm, coalesce(max(abs(p)) * 100 / nullif(abs(sum(p)), 0), 0) AS cm FROM (SELECT fold, role, strategy_id, strftime(exit_time, '%Y-%m') AS k, sum(net_pnl) AS p FROM pl GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+s AS (SELECT *, coalesce(pf, 0) * 1000 + net - dd * 10 AS score FROM d JOIN m USING (fold, role, strategy_id)), best AS (SELECT fold, strategy_id, score FROM s WHERE role = 'train' QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score DESC, strategy_id DESC) = 1),
+g AS (SELECT fold, strategy_id, best.score, x.trades, x.net, concat_ws(',', {", ".join(f"CASE WHEN NOT coalesce({test}, FALSE) THEN '{name}' END" for name, test in _FOLD_CHECKS)}) AS failed FROM best LEFT JOIN (SELECT * FROM s WHERE role = 'test') x USING (fold, strategy_id))
+SELECT CAST(fold AS BIGINT) AS fold, strategy_id, round(score, 4) AS train_score, trades, round(net, 4) AS net_profit, failed, CASE WHEN failed = '' THEN 'pass' ELSE 'reject' END AS decision FROM g""")
 def calendar_walk_forward(spark, folder):
     folds = L.calendar_folds(date(1995, 1, 1), date(2001, 8, 1))
     out = L.calendar_walk_forward(S.ledger(spark, folder), folds, 100_000.0)
