@@ -10,8 +10,11 @@ from tickloom.operators import features as D
 from tickloom.operators import structure as E
 from tickloom.operators.scan import ema, exp_smooth, with_position
 from tickloom.plans import sql, standins as S
+from tickloom.plans.outcome_queries import CANDLES, candles
 from tickloom.plans.registry import query, r, rounded
 
+c = F.col
+
 _H1_H4 = f"{sql.TICKS}, {sql.quote_bars()}, {sql.quote_bars('4 hours', 'slow')}"
 
 
@@ -287,3 +290,23 @@ def window_vectors(spark, folder):
     frame = D.trend_score(D.build_features(S.quote_bars(spark, folder)), [])
     out = D.encode_windows(frame)
     return out.select("symbol", "time", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+_PAST = lambda name, k: f"lag({name}, {k}) OVER o"
+_WINDOW_PARTS = [
+    *[f"({_PAST('close', k)} - {_PAST('close', 5)}) / nullif({_PAST('close', 5)}, 0) * 100" for k in range(5, 0, -1)],
+    *[f"coalesce({_PAST(n, k)}, 0)" for k in range(5, 0, -1) for n in ("body_pct", "uwk_pct", "lwk_pct")], *[_PAST("bull", k) for k in range(5, 0, -1)],
+    "(" + " + ".join(f"{_PAST('rsi14', 5 - k)} * {(k - 2) / 10}" for k in range(5)) + ") / 100", "(" + " + ".join(f"{_PAST('atr14', 5 - k)} * {(k - 2) / 10}" for k in range(5)) + ") / (atr14 + 1e-9)",
+    f"({_PAST('rsi14', 1)} - {_PAST('rsi14', 5)}) / 100", "bull", "rsi14 / 100", "(close - open) / (atr14 + 1e-9)", "atr14 / close", "sign(close - open)", "grp / 3",
+    f"(close - {_PAST('close', 5)}) / nullif({_PAST('close', 5)} * 5, 0) * 100", "volume / 10", "body_pct", "grp / 4", "1 - bull", "uwk_pct"]
+
+
+@query("d25_window_vectors_of_candles", f"""WITH {CANDLES}, f AS (SELECT *, CAST(volume % 100 AS DOUBLE) AS rsi14, high - low AS atr14 FROM bars), v AS (SELECT symbol, time, atr14, {" + ".join(_WINDOW_PARTS)} AS total FROM f WINDOW o AS (PARTITION BY symbol ORDER BY bar_idx))
+SELECT symbol, time, {len(_WINDOW_PARTS)}::BIGINT AS dims, round(total, 6) AS total FROM v WHERE atr14 <> 0 AND total IS NOT NULL""")
+def candle_vectors(spark, folder):
+    """Window vectors over candle columns that stand in for the indicators: size and sum of each vector."""
+    frame = candles(spark, folder).withColumns({
+        "rsi14": (c("volume") % 100).cast("double"), "atr14": c("high") - c("low"), "bb_expanding": c("bull"), "macd_hist": c("close") - c("open"), "bb_width": (c("high") - c("low")) / c("close"),
+        "trend": F.signum(c("close") - c("open")), "mtf_bull_score": c("grp"), "vol_ratio": c("volume") / 10, "vol_body_conf": c("body_pct"), "regime": c("grp"), "vol_price_div": 1 - c("bull"), "prev_sess_bias": c("uwk_pct")})
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return rounded(D.encode_windows(frame).select("symbol", "time", F.size("vector").alias("dims"), total.alias("total")))
